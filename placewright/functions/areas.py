@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from placewright import fixed_values as fv
-from placewright.functions.text import clean, clean_nullish
-
-
-def _map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+from placewright.functions.text import clean, clean_nullish, lit_array, lit_map as _map
 
 
 def _strip_city(text: Column) -> Column:
@@ -19,7 +15,7 @@ def _strip_city(text: Column) -> Column:
 
 
 def _first_contained(text: Column, names) -> Column:
-    return F.get(F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(text, n)), F.lit(0))
+    return F.get(F.filter(lit_array(names), lambda n: F.contains(text, n)), F.lit(0))
 
 
 def norm_area(c, areas=None, aliases=None) -> Column:
@@ -108,8 +104,7 @@ def relation(a: Column, b: Column, adjacency: dict | None = None) -> Column:
             both.setdefault(x, []).append(y)
             both.setdefault(y, []).append(x)
     if both:
-        table = F.create_map(*[z for x, ys in both.items()
-                               for z in (F.lit(x), F.array(*[F.lit(y) for y in sorted(set(ys))]))])
+        table = _map({x: sorted(set(ys)) for x, ys in both.items()})
         near = F.coalesce(F.array_contains(F.try_element_at(table, a), b), F.lit(False))
     else:
         near = F.lit(False)

@@ -16,6 +16,34 @@ _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 _PLAIN = "^[ -~가-힣\\s！-～]*$"
 
 
+def sql_lit(v) -> str:
+    """SQL literal of a Python value; numbers are doubles unless int."""
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, float):
+        return f"{v!r}D"
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(sql_lit(x) for x in v) + ")"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def lit_array(values) -> Column:
+    """Literal array as one expression."""
+    return F.expr(sql_lit(list(values)))
+
+
+def lit_map(table: dict) -> Column:
+    """Literal map as one expression."""
+    return F.expr("map(" + ", ".join(f"{sql_lit(k)}, {sql_lit(v)}" for k, v in table.items()) + ")")
+
+
+def lookup(c: Column, table: dict, other) -> Column:
+    """Value of a fixed table, else ``other``."""
+    return F.coalesce(F.try_element_at(lit_map(table), c), other if isinstance(other, Column) else F.lit(other))
+
+
 @F.pandas_udf("string")
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC; Spark has no built-in for it."""
@@ -84,7 +112,7 @@ def contains_any(text: Column, words) -> Column:
 
 
 def matched_keywords(text: Column, words) -> Column:
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    return F.filter(lit_array(words), lambda w: F.contains(text, w))
 
 
 def first_rule(text: Column, rules, default: str) -> Column:
@@ -143,8 +171,7 @@ def leading_number(c) -> Column:
 
 def label_map(c: Column, mapping: dict, other: Column) -> Column:
     """Value of a small fixed dictionary, else ``other``."""
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), c), other)
+    return lookup(c, mapping, other)
 
 
 def route_type(c) -> Column:
@@ -190,7 +217,7 @@ def display_name(name, place_type, areas=None) -> Column:
     stems = [a.replace(fv.AREA_SUFFIX, "") for a in names]
     stem = F.regexp_replace(compact, fv.AREA_SUFFIX + "$", "")
     full = label_map(compact, dict(zip(stems, names)), compact)
-    override = F.try_element_at(F.create_map(*[F.lit(x) for kv in fv.NAME_OVERRIDES.items() for x in kv]), compact)
+    override = F.try_element_at(lit_map(fv.NAME_OVERRIDES), compact)
     is_area = compact.isin(names + stems)
     transit = kind == "교통거점"
     return (

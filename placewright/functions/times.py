@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from placewright import fixed_values as fv
-from placewright.functions.text import clean, clean_nullish
+from placewright.functions.text import clean, clean_nullish, lit_array, lookup
 
 
 def _hhmm(hour: Column, minute: Column, fallback: Column) -> Column:
@@ -68,7 +68,7 @@ def as_date(c) -> Column:
 def day_of_week(c) -> Column:
     """Monday-first weekday label; blank for a bad date."""
     day = F.weekday(as_date(c))
-    return F.coalesce(F.get(F.array(*[F.lit(d) for d in fv.WEEKDAYS]), day), F.lit(""))
+    return F.coalesce(F.get(lit_array(fv.WEEKDAYS), day), F.lit(""))
 
 
 def d_day(c, reference: str = fv.REFERENCE_DAY) -> Column:
@@ -124,10 +124,7 @@ def time_slots(start, end, n) -> Column:
 def time_table(hour: Column, kind: Column, bands, other) -> Column:
     """Value of (hour band, type) in a fixed table; ``other`` outside bands."""
     def pick(table):
-        out = None
-        for name, value in table.items():
-            out = F.when(kind == name, value) if out is None else out.when(kind == name, value)
-        return out.otherwise(0.0) if out is not None else F.lit(0.0)
+        return lookup(kind, table, 0.0) if table else F.lit(0.0)
 
     out = F.when(hour.isNull(), 0.0)
     for low, high, table in bands:

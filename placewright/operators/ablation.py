@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placewright import fixed_values as fv
-from placewright.functions.text import clean, contains_any, place_key
+from placewright.functions.text import clean, contains_any, lit_array, place_key
 from placewright.operators.evaluation import evaluate, flatten_summary, summarise
 from placewright.operators.matching import match_pairs, near_pairs, prepare_gold, prepare_recs
 from placewright.operators.ranking import RANK_ORDER, TUNED_FEATURES, in_area, weighted
@@ -90,7 +90,7 @@ def leave_one_out(features: DataFrame, gold: DataFrame, weights, removed, prefix
     names = ["", *removed]
     gone = F.col("candidate_source").startswith(prefix)
     tagged = features.withColumn("ablation", F.explode(F.filter(
-        F.array(*[F.lit(n) for n in names]), lambda a: (a == "") | ~(gone & (F.col(type_col) == a)))))
+        lit_array(names), lambda a: (a == "") | ~(gone & (F.col(type_col) == a)))))
     scored = in_area(tagged, list_col, areas).withColumn("score", F.round(weighted(TUNED_FEATURES, weights), 6))
     recs = first_per(scored, ["ablation", list_col], RANK_ORDER, 10, "rank")
     metrics = flatten_summary(summarise(evaluate(gold, recs, ks, list_col, aliases, "ablation", names, areas), ["ablation"]), "ablation", ks)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from placewright import fixed_values as fv
 from placewright.functions.areas import norm_area, standard_area
-from placewright.functions.text import all_rules, clean, contains_any, first_rule, join_context, label_map, place_key
+from placewright.functions.text import all_rules, clean, contains_any, join_context, label_map, lit_array, place_key
 from placewright.functions.times import time_slot2
 from placewright.operators.shaping import first_per, type_compatible
 
@@ -26,7 +26,7 @@ def request_types(text: Column) -> Column:
     for kind, words in fv.REQUEST_TYPE_RULES:
         hit = contains_any(text, words)
         out = F.when(hit, F.array(F.lit(kind))) if out is None else out.when(hit, F.array(F.lit(kind)))
-    return out.otherwise(F.array(*[F.lit(t) for t in fv.REQUEST_TYPE_DEFAULT]))
+    return out.otherwise(lit_array(fv.REQUEST_TYPE_DEFAULT))
 
 
 def expected_types(*cols) -> Column:
@@ -140,7 +140,7 @@ def variant_recommend(candidates: DataFrame, requests: DataFrame, models=None, k
     distinct = requests.select(*texts).distinct().withColumn("list_id", F.concat_ws("|", *texts))
     rows = variant_features(distinct.join(candidates, "pool_id"), online=True)
     chosen = models or fv.MODEL_VARIANTS
-    rows = rows.withColumn("model", F.explode(F.array(*[F.lit(m) for m in chosen])))
+    rows = rows.withColumn("model", F.explode(lit_array(chosen)))
     on = lambda *m: F.col("model").isin(*m, "combined").cast("double")
     score = (F.col("base_score") + on("area_weighted") * F.col("area_bonus") + on("type_weighted") * F.col("type_bonus")
              + on("time_weighted") * F.col("time_bonus") + on() * F.col("context_bonus"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from placewright import fixed_values as fv
 from placewright.functions.numbers import dcg_gain
+from placewright.functions.text import lit_array
 from placewright.operators.matching import first_gold, match_pairs, match_picks, prepare_gold, prepare_recs
 from placewright.operators.shaping import first_per, hash_order
 
@@ -40,7 +41,7 @@ def evaluate(gold: DataFrame, recs: DataFrame, ks=None, list_col="query_id", ali
     sizes = r.groupBy(*keys, "list_id").agg(F.max("rank").alias("_last"), F.count("*").alias("_n"))
     base = gold_stats(g, ks)
     if by:
-        base = base.withColumn(by, F.explode(F.array(*[F.lit(v) for v in by_values])))
+        base = base.withColumn(by, F.explode(lit_array(by_values)))
     rows = base.join(picks, [*keys, "query_id"], "left").join(sizes, [*keys, "list_id"], "left")
     options = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"idcg_{k}").alias("idcg")) for k in ks])
     rows = rows.withColumn("_k", F.explode(options)).withColumns({"k": F.col("_k.k"), "idcg": F.col("_k.idcg")})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from placewright import fixed_values as fv
 from placewright.functions.areas import standard_area
-from placewright.functions.text import clean, near_same_native, partial_match, place_key, ratio
+from placewright.functions.text import clean, lit_array, lookup, partial_match, place_key, ratio
 from placewright.operators.shaping import first_per, salted_join
 
 DETECTION = ["exact", "normalized", "alias", "partial"]
@@ -86,7 +86,7 @@ def match_pairs(gold: DataFrame, recs: DataFrame, aliases: DataFrame | None = No
     if aliases is None:
         return direct
     both = direct.unionByName(alias_pairs(gold, recs, aliases, by).select(*cols))
-    seq = F.array_position(F.array(*[F.lit(m) for m in DETECTION]), F.col("method"))
+    seq = F.array_position(lit_array(DETECTION), F.col("method"))
     return first_per(both.withColumn("_seq", seq), [*by, "query_id", "list_id", "rank", "gold_item"], ["_seq"]).drop("_seq")
 
 
@@ -97,7 +97,7 @@ def match_picks(pairs: DataFrame, k: int, by=()) -> DataFrame:
     best (priority, relevance, order) are enough: at most k*k entries per query
     are collected, however many gold rows a query has.
     """
-    level = F.create_map(*[x for m, p in fv.MATCH_PRIORITY.items() for x in (F.lit(m), F.lit(p))])[F.col("method")]
+    level = lookup(F.col("method"), fv.MATCH_PRIORITY, 0)
     best = first_per(pairs, [*by, "query_id", "rank"], [F.desc(level), F.desc("relevance"), "ord", "gold_item"], k, "pos")
     item = F.struct("rank", "pos", "gold_item", "gold_id", "relevance", "method")
     lists = best.groupBy(*by, "query_id").agg(F.array_sort(F.collect_list(item)).alias("options"))

@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from placewright import fixed_values as fv
-from placewright.functions.areas import first_area, norm_area, standard_area
+from placewright.functions.areas import norm_area, standard_area
 from placewright.functions.numbers import clamp01, overlap_ratio
-from placewright.functions.text import (
-    all_rules, clean, code_type, contains_any, join_context, place_key, split_tokens)
+from placewright.functions.text import clean, code_type, join_context, lit_array, lookup, place_key, split_tokens, sql_lit
 from placewright.functions.times import hour_of, time_bucket6, time_table
 from placewright.operators.shaping import first_per
 
@@ -36,12 +35,20 @@ def signature_candidates(sigs: DataFrame, frozen: DataFrame) -> DataFrame:
 
 
 # --- additive variants --------------------------------------------------------
-def _word_bonus(kind: Column, text: Column, rules) -> Column:
-    out = None
-    for name, value, words in rules:
-        hit = (kind == name) & contains_any(text, words)
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(0.0)
+def _words(words) -> str:
+    return sql_lit("|".join(words))
+
+
+def _word_bonus(kind: str, text: str, rules) -> Column:
+    """First (type, value, words) rule that fits, on named columns."""
+    arms = " ".join(f"WHEN {kind} = {sql_lit(k)} AND {text} RLIKE {_words(ws)} THEN {sql_lit(float(v))}" for k, v, ws in rules)
+    return F.expr(f"CASE {arms} ELSE 0D END")
+
+
+def _rule_set(text: str, rules) -> Column:
+    """Every label whose words occur, on a named column."""
+    arms = ", ".join(f"CASE WHEN {text} RLIKE {_words(ws)} THEN {sql_lit(n)} END" for n, ws in rules)
+    return F.expr(f"array_compact(array({arms}))")
 
 
 def variant_features(rows: DataFrame, online: bool = False, areas=None) -> DataFrame:
@@ -49,25 +56,25 @@ def variant_features(rows: DataFrame, online: bool = False, areas=None) -> DataF
 
     The online form reads more request text than the frozen-pool form.
     """
-    kind = clean("rec_type")
     type_text = ["place_type", "target_group", "context_tags"]
     context_text = ["target_group", "context_tags"]
     if online:
         type_text = ["place_type", "activity_type", "target_group", "context_tags", "evaluation_context"]
         context_text = ["activity_type", *context_text]
     have = lambda cols: [c for c in cols if c in rows.columns]
-    wanted = join_context(*have(type_text))
     # The online rule list lacks one senior word that the frozen one has.
     rules = [(k, [w for w in ws if not (online and k == "senior_friendly" and w == "노년")]) for k, ws in fv.EXPECTED_TYPE_RULES]
-    expected = all_rules(wanted, rules)
-    q, c = norm_area("area", areas), norm_area("rec_area", areas)
-    family = (kind == "park") & contains_any(clean("place_type"), ["체육", "어린이", "가족"])
-    return rows.withColumns({
-        "area_bonus": F.when(F.coalesce(q == c, F.lit(False)), 0.18).otherwise(0.0),
-        "type_bonus": F.when(F.array_contains(expected, kind), 0.15).when(family, 0.10).otherwise(0.0),
-        "time_bonus": time_table(hour_of("time"), kind, fv.VARIANT_TIME_BONUS, {}),
-        "context_bonus": _word_bonus(kind, join_context(*have(context_text)), fv.VARIANT_CONTEXT_BONUS),
-        "target_bonus": _word_bonus(kind, clean("target_group"), fv.VARIANT_TARGET_BONUS)})
+    named = rows.withColumns({"_kind": clean("rec_type"), "_type": join_context(*have(type_text)), "_context": join_context(*have(context_text)),
+                              "_target": clean("target_group"), "_own": clean("place_type"), "_q": norm_area("area", areas),
+                              "_c": norm_area("rec_area", areas), "_hour": hour_of("time")})
+    named = named.withColumn("_expected", _rule_set("_type", rules))
+    return named.withColumns({
+        "area_bonus": F.expr("CASE WHEN _q = _c THEN 0.18D ELSE 0D END"),
+        "type_bonus": F.expr(f"CASE WHEN array_contains(_expected, _kind) THEN 0.15D WHEN _kind = 'park' AND _own RLIKE {_words(['체육', '어린이', '가족'])} THEN 0.10D ELSE 0D END"),
+        "time_bonus": time_table(F.col("_hour"), F.col("_kind"), fv.VARIANT_TIME_BONUS, {}),
+        "context_bonus": _word_bonus("_kind", "_context", fv.VARIANT_CONTEXT_BONUS),
+        "target_bonus": _word_bonus("_kind", "_target", fv.VARIANT_TARGET_BONUS)}).drop(
+        "_kind", "_type", "_context", "_target", "_own", "_q", "_c", "_hour", "_expected")
 
 
 def in_area(rows: DataFrame, key: str, areas=None) -> DataFrame:
@@ -82,7 +89,7 @@ RANK_ORDER = [F.desc("score"), F.desc("base_score"), "raw_rank"]
 def rerank_variants(rows: DataFrame, models=None, k: int = 10, key="sig", areas=None) -> DataFrame:
     """All variants in one pass: models become a column, not a loop."""
     chosen = models or fv.MODEL_VARIANTS
-    scored = in_area(rows, key, areas).withColumn("model", F.explode(F.array(*[F.lit(m) for m in chosen])))
+    scored = in_area(rows, key, areas).withColumn("model", F.explode(lit_array(chosen)))
     on = lambda *m: F.when(F.col("model").isin(*m, "combined"), 1.0).otherwise(0.0)
     bonus = {"area_bonus": on("area_weighted"), "type_bonus": on("type_weighted"), "time_bonus": on("time_weighted"),
              "context_bonus": on(), "target_bonus": on()}
@@ -94,16 +101,16 @@ def rerank_variants(rows: DataFrame, models=None, k: int = 10, key="sig", areas=
 
 
 # --- tuned 0-1 features -------------------------------------------------------
-def categories(text_key: Column, words: dict) -> Column:
-    """Categories whose (normalised) keywords occur in a normalised text."""
+def categories(text_key: str, words: dict) -> Column:
+    """Categories whose (normalised) keywords occur in a named key column."""
     drop = lambda ws: sorted({"".join(ch for ch in w.lower() if ch.isalnum()) for w in ws})
-    return all_rules(text_key, [(c, drop(ws)) for c, ws in words.items()])
+    return _rule_set(text_key, [(c, drop(ws)) for c, ws in words.items()])
 
 
-def relatedness(cats: Column, kind: Column, pairs) -> Column:
-    """1 for membership, else the largest pair weight, else 0."""
-    best = [F.when(F.array_contains(cats, q) & (kind == c), F.lit(w)).otherwise(0.0) for q, c, w in pairs]
-    return F.when(F.array_contains(cats, kind), 1.0).otherwise(F.greatest(*best))
+def relatedness(cats: str, kind: str, pairs) -> Column:
+    """1 for membership, else the largest pair weight, else 0 (named columns)."""
+    best = ", ".join(f"CASE WHEN {kind} = {sql_lit(c)} AND array_contains({cats}, {sql_lit(q)}) THEN {sql_lit(w)} ELSE 0D END" for q, c, w in pairs)
+    return F.expr(f"CASE WHEN array_contains({cats}, {kind}) THEN 1D ELSE greatest({best}) END")
 
 
 def context_tag_score(tags: Column, candidate_key: Column, area_key: Column) -> Column:
@@ -119,27 +126,24 @@ def context_tag_score(tags: Column, candidate_key: Column, area_key: Column) ->
 
 def tuned_features(rows: DataFrame, areas=None) -> DataFrame:
     """Six normalised features; names match the tuned weights."""
-    kind = code_type("rec_type")
     text = lambda *cols: place_key(join_context(*[c for c in cols if c in rows.columns]))
-    asked = categories(text("place_type", "target_group", "context_tags"), fv.TUNED_CATEGORY_WORDS)
-    meant = categories(text("context_tags", "target_group"), fv.TUNED_CATEGORY_WORDS)
-    q, c = standard_area("area", fv.RANK_LANDMARK_AREAS, areas), standard_area("rec_area", fv.RANK_LANDMARK_AREAS, areas)
-    tags = split_tokens("context_tags")
-    own = text("rec_name", "rec_area", "rec_type", "place_id", "candidate_source")
-    listed = context_tag_score(tags, own, place_key("area"))
-    semantic = F.when(F.array_contains(meant, kind), 0.35).when(
-        relatedness(meant, kind, fv.TUNED_RELATEDNESS) > 0, 0.12).otherwise(0.0)
-    target_key = place_key("target_group")
-    target = _word_bonus(kind, target_key, fv.TUNED_TARGET)
-    target = F.when(target > 0, target).when(target_key.contains("일반시민"), 0.25).otherwise(0.0)
-    rank = F.least(F.greatest(F.col("raw_rank").cast("double"), F.lit(1.0)), F.lit(50.0))
-    return rows.withColumns({
-        "area_bonus": F.when((q != "") & (c != "") & (q == c), 1.0).otherwise(0.0),
-        "type_bonus": relatedness(asked, kind, fv.TUNED_RELATEDNESS),
-        "time_bonus": time_table(hour_of("time"), kind, fv.TUNED_TIME_TABLE, fv.TUNED_TIME_OTHER),
-        "context_bonus": F.when(F.size(tags) == 0, 0.0).otherwise(F.least(listed + semantic, F.lit(1.0))),
-        "target_bonus": target,
-        "rank_bonus": F.coalesce(F.round(F.lit(1.0) - (rank - F.lit(1.0)) / F.lit(49.0), 6), F.lit(0.0))})
+    named = rows.withColumns({
+        "_kind": code_type("rec_type"), "_ask": text("place_type", "target_group", "context_tags"), "_mean": text("context_tags", "target_group"),
+        "_own": text("rec_name", "rec_area", "rec_type", "place_id", "candidate_source"), "_akey": place_key("area"), "_target": place_key("target_group"),
+        "_tags": split_tokens("context_tags"), "_hour": hour_of("time"), "_q": standard_area("area", fv.RANK_LANDMARK_AREAS, areas),
+        "_c": standard_area("rec_area", fv.RANK_LANDMARK_AREAS, areas)})
+    named = named.withColumns({"_asked": categories("_ask", fv.TUNED_CATEGORY_WORDS), "_meant": categories("_mean", fv.TUNED_CATEGORY_WORDS)})
+    named = named.withColumns({
+        "_listed": context_tag_score(F.col("_tags"), F.col("_own"), F.col("_akey")), "_related": relatedness("_meant", "_kind", fv.TUNED_RELATEDNESS),
+        "_goal": _word_bonus("_kind", "_target", fv.TUNED_TARGET)})
+    return named.withColumns({
+        "area_bonus": F.expr("CASE WHEN _q <> '' AND _c <> '' AND _q = _c THEN 1D ELSE 0D END"),
+        "type_bonus": relatedness("_asked", "_kind", fv.TUNED_RELATEDNESS),
+        "time_bonus": time_table(F.col("_hour"), F.col("_kind"), fv.TUNED_TIME_TABLE, fv.TUNED_TIME_OTHER),
+        "context_bonus": F.expr("CASE WHEN size(_tags) = 0 THEN 0D ELSE least(_listed + CASE WHEN array_contains(_meant, _kind) THEN 0.35D WHEN _related > 0 THEN 0.12D ELSE 0D END, 1D) END"),
+        "target_bonus": F.expr("CASE WHEN _goal > 0 THEN _goal WHEN contains(_target, '일반시민') THEN 0.25D ELSE 0D END"),
+        "rank_bonus": F.expr("coalesce(round(1D - (least(greatest(cast(raw_rank AS double), 1D), 50D) - 1D) / 49D, 6), 0D)")}).drop(
+        "_kind", "_ask", "_mean", "_own", "_akey", "_target", "_tags", "_hour", "_q", "_c", "_asked", "_meant", "_listed", "_related", "_goal")
 
 
 TUNED_FEATURES = ["base_score", "area_bonus", "type_bonus", "time_bonus", "context_bonus", "target_bonus", "rank_bonus"]
@@ -162,54 +166,41 @@ def rerank_tuned(rows: DataFrame, weights, k: int = 10, key="sig", areas=None) -
 # --- final features -----------------------------------------------------------
 def final_features(rows: DataFrame, areas=None, key="sig") -> DataFrame:
     """Thirteen expression features; style and semantic are joined separately."""
-    kind, bucket = code_type("rec_type"), time_bucket6("time")
     have = lambda *cols: [c for c in cols if c in rows.columns]
     text = lambda *cols: place_key(join_context(*have(*cols)))
-    q = F.coalesce(norm_area("area", areas), clean("area"))
-    c = F.coalesce(norm_area("rec_area", areas), clean("rec_area"))
-    asked = categories(text("place_type", "activity_type", "target_group", "context_tags", "evaluation_context"), fv.FINAL_CATEGORY_WORDS)
-    meant = categories(text("place_type", "activity_type", "target_group", "context_tags"), fv.FINAL_CATEGORY_WORDS)
-    goal = F.concat(place_key("target_group"), place_key("context_tags"))
-    target = _word_bonus(kind, goal, fv.FINAL_TARGET)
-    target = F.when(target > 0, target).when(contains_any(goal, ["일반시민", "지역주민"]), 0.30).otherwise(0.0)
-    by = lambda col, table, other: _lookup(col, table, other)
-    footfall = F.least(F.lit(1.0), F.lit(0.55) * F.col("base_score") + F.lit(0.25) * by(kind, fv.FOOTFALL_TYPE, fv.FOOTFALL_TYPE_OTHER)
-                       + F.lit(0.20) * by(bucket, fv.FOOTFALL_SLOT, fv.FOOTFALL_SLOT_OTHER))
-    worker_text = text("target_group", "context_tags")
-    worker = F.least(F.lit(1.0), F.when(contains_any(worker_text, fv.WORKER_WORDS), 0.45).otherwise(0.0)
-                     + F.when(bucket.isin("morning_commute", "evening_commute"), 0.30).otherwise(0.0)
-                     + F.when(kind == "subway", 0.25).when(kind == "market", 0.10).otherwise(0.0))
-    name, source = place_key("rec_name"), place_key("candidate_source")
-    welfare_text = text("place_type", "activity_type", "context_tags")
-    welfare = F.least(F.lit(1.0), F.when(contains_any(welfare_text, fv.WELFARE_WORDS), 0.45).otherwise(0.0)
-                      + F.when(kind == "senior_friendly", 0.45).otherwise(0.0)
-                      + F.when((kind == "park") & contains_any(welfare_text, fv.WELFARE_PARK_WORDS), 0.20).otherwise(0.0))
-    tags = F.array_distinct(F.transform(split_tokens("context_tags"), lambda t: F.regexp_replace(F.lower(t), fv.KEY_DROP_PATTERN, "")))
-    own = F.concat(F.array(place_key("rec_type"), source, place_key("rec_area")),
-                   categories(text("rec_type", "candidate_source"), fv.FINAL_CATEGORY_WORDS))
-    context = F.least(F.lit(1.0), F.lit(0.75) * relatedness(meant, kind, fv.FINAL_RELATEDNESS) + F.lit(0.25) * overlap_ratio(tags, own))
-    time_match = F.lit(0.0)
-    for name_, table in fv.FINAL_TIME_TABLE.items():
-        time_match = F.when(bucket == name_, _lookup(kind, table, 0.0)).otherwise(time_match)
+    key_of = lambda t: F.regexp_replace(F.lower(t), fv.KEY_DROP_PATTERN, "")
+    named = rows.withColumns({
+        "_kind": code_type("rec_type"), "_bucket": time_bucket6("time"), "_q": F.coalesce(norm_area("area", areas), clean("area")),
+        "_c": F.coalesce(norm_area("rec_area", areas), clean("rec_area")), "_ask": text("place_type", "activity_type", "target_group", "context_tags", "evaluation_context"),
+        "_mean": text("place_type", "activity_type", "target_group", "context_tags"), "_goal": F.concat(place_key("target_group"), place_key("context_tags")),
+        "_work": text("target_group", "context_tags"), "_name": place_key("rec_name"), "_source": place_key("candidate_source"),
+        "_welfare": text("place_type", "activity_type", "context_tags"), "_own": text("rec_type", "candidate_source"),
+        "_tags": F.array_distinct(F.transform(split_tokens("context_tags"), key_of)), "_rkey": place_key("rec_type"), "_akey": place_key("rec_area")})
+    named = named.withColumns({"_asked": categories("_ask", fv.FINAL_CATEGORY_WORDS), "_meant": categories("_mean", fv.FINAL_CATEGORY_WORDS),
+                               "_ownc": categories("_own", fv.FINAL_CATEGORY_WORDS), "_fit": _word_bonus("_kind", "_goal", fv.FINAL_TARGET)})
+    named = named.withColumns({"_related": relatedness("_meant", "_kind", fv.FINAL_RELATEDNESS),
+                               "_overlap": overlap_ratio(F.col("_tags"), F.concat(F.array("_rkey", "_source", "_akey"), F.col("_ownc")))})
+    kind, bucket = F.col("_kind"), F.col("_bucket")
+    slot_table = {f"{b}>{k}": v for b, t in fv.FINAL_TIME_TABLE.items() for k, v in t.items()}
+    footfall = F.least(F.lit(1.0), F.lit(0.55) * F.col("base_score") + F.lit(0.25) * lookup(kind, fv.FOOTFALL_TYPE, fv.FOOTFALL_TYPE_OTHER)
+                       + F.lit(0.20) * lookup(bucket, fv.FOOTFALL_SLOT, fv.FOOTFALL_SLOT_OTHER))
     sizes = F.count("*").over(W.partitionBy(key, "rec_type"))
-    return rows.withColumns({
-        "area_match": F.when((q != "") & (c != "") & (q == c), 1.0).otherwise(0.0),
-        "type_match": relatedness(asked, kind, fv.FINAL_RELATEDNESS), "time_match": time_match, "target_match": target,
-        "footfall": footfall, "worker": worker,
-        "transit": F.when((kind == "subway") | source.contains("subway"), 1.0).when(contains_any(name, fv.TRANSIT_NAME_WORDS), 0.65)
-        .when(kind == "market", 0.25).otherwise(0.10),
-        "market": F.when(kind == "market", 1.0).when(contains_any(name, fv.MARKET_NAME_WORDS), 0.75)
-        .when(kind == "subway", 0.20).otherwise(0.05),
-        "welfare": welfare, "context_match": context,
-        "rank_score": F.greatest(F.lit(0.0), F.lit(1.0) - (F.col("raw_rank").cast("double") - F.lit(1.0)) / F.lit(99.0)),
+    out = named.withColumns({
+        "area_match": F.expr("CASE WHEN _q <> '' AND _c <> '' AND _q = _c THEN 1D ELSE 0D END"),
+        "type_match": relatedness("_asked", "_kind", fv.FINAL_RELATEDNESS), "time_match": lookup(F.concat_ws(">", "_bucket", "_kind"), slot_table, 0.0),
+        "target_match": F.expr(f"CASE WHEN _fit > 0 THEN _fit WHEN _goal RLIKE {_words(['일반시민', '지역주민'])} THEN 0.30D ELSE 0D END"),
+        "footfall": footfall,
+        "worker": F.expr(f"least(1D, CASE WHEN _work RLIKE {_words(fv.WORKER_WORDS)} THEN 0.45D ELSE 0D END + CASE WHEN _bucket IN ('morning_commute', 'evening_commute') "
+                         "THEN 0.30D ELSE 0D END + CASE _kind WHEN 'subway' THEN 0.25D WHEN 'market' THEN 0.10D ELSE 0D END)"),
+        "transit": F.expr(f"CASE WHEN _kind = 'subway' OR contains(_source, 'subway') THEN 1D WHEN _name RLIKE {_words(fv.TRANSIT_NAME_WORDS)} THEN 0.65D WHEN _kind = 'market' THEN 0.25D ELSE 0.10D END"),
+        "market": F.expr(f"CASE WHEN _kind = 'market' THEN 1D WHEN _name RLIKE {_words(fv.MARKET_NAME_WORDS)} THEN 0.75D WHEN _kind = 'subway' THEN 0.20D ELSE 0.05D END"),
+        "welfare": F.expr(f"least(1D, CASE WHEN _welfare RLIKE {_words(fv.WELFARE_WORDS)} THEN 0.45D ELSE 0D END + CASE WHEN _kind = 'senior_friendly' THEN 0.45D ELSE 0D END "
+                          f"+ CASE WHEN _kind = 'park' AND _welfare RLIKE {_words(fv.WELFARE_PARK_WORDS)} THEN 0.20D ELSE 0D END)"),
+        "context_match": F.expr("least(1D, 0.75D * _related + 0.25D * _overlap)"),
+        "rank_score": F.expr("greatest(0D, 1D - (cast(raw_rank AS double) - 1D) / 99D)"),
         "diversity": F.lit(1.0) / F.greatest(sizes, F.lit(1)).cast("double")})
-
-
-def _lookup(col: Column, table: dict, other: float) -> Column:
-    out = None
-    for k, v in table.items():
-        out = F.when(col == k, v) if out is None else out.when(col == k, v)
-    return out.otherwise(other)
+    return out.drop("_kind", "_bucket", "_q", "_c", "_ask", "_mean", "_goal", "_work", "_name", "_source", "_welfare", "_own", "_tags", "_rkey", "_akey", "_asked",
+                    "_meant", "_ownc", "_fit", "_related", "_overlap")
 
 
 def composite(rows: DataFrame) -> DataFrame:
@@ -295,8 +286,8 @@ def actor_profiles(gold: DataFrame, priors: DataFrame | None = None) -> DataFram
     ``priors`` has (actor, key, p): blended as max(share, 0.35 p), and used as
     they are for actors without history.
     """
-    key = place_key(join_context("place_type", "activity_type", "target_group", "context_tags"))
-    cats = categories(key, fv.FINAL_CATEGORY_WORDS)
+    gold = gold.withColumn("_key", place_key(join_context("place_type", "activity_type", "target_group", "context_tags")))
+    cats = categories("_key", fv.FINAL_CATEGORY_WORDS)
     cats = F.when(F.size(cats) == 0, F.array(F.lit("unknown"))).otherwise(cats)
     dims = F.concat(
         F.transform(cats, lambda c: F.struct(F.lit("category").alias("dim"), c.alias("key"))),
@@ -385,9 +376,10 @@ def with_semantic(rows: DataFrame, copies: str | None = None) -> DataFrame:
     """
     have = [c for c in ["place_type", "activity_type", "target_group", "context_tags", "area", "time"] if c in rows.columns]
     ask = F.concat_ws(" ", *[clean(c) for c in have])
-    derived = F.array_join(F.array_sort(categories(place_key(join_context("rec_type", "candidate_source")), fv.FINAL_CATEGORY_WORDS)), ";")
+    rows = rows.withColumn("_own", place_key(join_context("rec_type", "candidate_source")))
+    derived = F.array_join(F.array_sort(categories("_own", fv.FINAL_CATEGORY_WORDS)), ";")
     own = F.concat_ws(" ", clean("rec_type"), clean("candidate_source"), clean("rec_area"), derived, time_bucket6("time"))
-    told = rows.withColumns({"left_doc": ask, "right_doc": own})
+    told = rows.withColumns({"left_doc": ask, "right_doc": own}).drop("_own")
     weight = F.col(copies) if copies else F.lit(1)
     count = lambda c: told.groupBy(F.col(c).alias("doc")).agg(F.sum(weight).alias("copies")).withColumn("tokens", document_tokens("doc"))
     asks, owns = count("left_doc"), count("right_doc")

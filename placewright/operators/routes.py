@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from placewright import fixed_values as fv
 from placewright.functions.areas import norm_area, relation, start_area
 from placewright.functions.numbers import max_share, num
-from placewright.functions.text import clean, clean_nullish, contains_any, display_name, label_map, normalise_address, route_type
+from placewright.functions.text import clean, clean_nullish, contains_any, display_name, label_map, lit_array, lookup, normalise_address, route_type
 from placewright.functions.times import day_of_week, minutes, time_slots
 from placewright.operators.shaping import first_per, latest_period, union_all
 
@@ -181,7 +181,7 @@ def route_candidates(requests: DataFrame, pool: DataFrame, seeds: DataFrame | No
 def _synthetic(short: DataFrame) -> DataFrame:
     """Generated fillers that cycle over areas and types."""
     known = F.coalesce("names", F.array().cast("array<string>"))
-    types = F.when(F.size("preferred_types") > 0, F.col("preferred_types")).otherwise(F.array(*[F.lit(t) for t in fv.SYNTHETIC_TYPES]))
+    types = F.when(F.size("preferred_types") > 0, F.col("preferred_types")).otherwise(lit_array(fv.SYNTHETIC_TYPES))
     item = lambda i: F.struct(
         i.alias("i"), F.concat(F.get("areas", ((i - 1) % F.size("areas")).cast("int")), F.lit(" 생활권 유세 거점 "), i.cast("string")).alias("name"),
         F.get("areas", ((i - 1) % F.size("areas")).cast("int")).alias("area"), F.get(types, ((i - 1) % F.size(types)).cast("int")).alias("type"))
@@ -248,7 +248,7 @@ def recency_penalty(stops: DataFrame, visits: DataFrame) -> DataFrame:
 def time_fit(time: Column, kind: Column, goal: Column) -> Column:
     """Hour x type table plus goal bonuses, at most .38."""
     hour = F.floor(minutes(time) / 60)
-    pick = lambda table: _table(kind, table, 0.06)
+    pick = lambda table: lookup(kind, table, 0.06)
     base = None
     for lo, hi, table in fv.ROUTE_TIME_FIT:
         inside = (hour >= lo) & (hour < hi)
@@ -262,13 +262,6 @@ def time_fit(time: Column, kind: Column, goal: Column) -> Column:
     return F.round(F.least(total, F.lit(0.38)), 4)
 
 
-def _table(kind: Column, table: dict, other: float) -> Column:
-    out = None
-    for k, v in table.items():
-        out = F.when(kind == k, v) if out is None else out.when(kind == k, v)
-    return out.otherwise(other)
-
-
 def target_fit(target: Column, kind: Column, name: Column) -> Column:
     text = F.concat_ws(" ", target, kind, name)
     hit = F.lit(False)
@@ -440,24 +433,28 @@ def package(requests: DataFrame, stops: DataFrame) -> DataFrame:
 def choose_query(requests: DataFrame, queries: DataFrame, areas=None) -> DataFrame:
     """Best stored query per request: +10 area, +3 target, +3 purpose, +2 hour.
 
-    Queries shrink to the first of each distinct (area, target, type, activity,
-    hour) combination, and requests to their distinct combinations, so two
-    dictionary-sized tables are scored, whatever the number of rows.
+    An area match outweighs everything else, so requests meet the queries of
+    their own areas by an equi-join; only requests without one meet the distinct
+    (target, type, activity, hour) combinations of all queries. Both sides are
+    reduced to distinct combinations first.
     """
+    dims = ["target_group", "place_type", "activity_type", "q_hour"]
     keyed = queries.withColumns({"q_area": F.coalesce(norm_area("area", areas), F.lit("")), "q_hour": F.substring(clean("time"), 1, 2)})
-    dims = keyed.groupBy("q_area", "target_group", "place_type", "activity_type", "q_hour").agg(F.min("query_id").alias("query_id"))
+    per_area = keyed.groupBy("q_area", *dims).agg(F.min("query_id").alias("query_id"))
+    per_dims = per_area.groupBy(*dims).agg(F.min("query_id").alias("query_id"))
     want = requests.withColumns({"r_target": clean("target"), "r_purpose": clean("purpose"), "r_hour": F.substring(clean("time"), 1, 2)})
     asks = want.select("r_target", "r_purpose", "r_hour", "areas").distinct()
-    best_of = dims.agg(F.collect_list(F.struct("q_area", "target_group", "place_type", "activity_type", "q_hour", "query_id")).alias("d"))
-    rows = asks.withColumn("_d", F.explode(best_of.scalar())).select("*", "_d.*")
-    score = (F.when(F.array_contains("areas", F.col("q_area")), 10).otherwise(0)
-             + F.when((F.col("r_target") != "") & clean("target_group").contains(F.col("r_target")), 3).otherwise(0)
+    score = (F.when((F.col("r_target") != "") & clean("target_group").contains(F.col("r_target")), 3).otherwise(0)
              + F.when((F.col("r_purpose") != "") & F.concat_ws(" ", clean("place_type"), clean("activity_type")).contains(F.col("r_purpose")), 3).otherwise(0)
              + F.when((F.col("r_hour") != "") & (F.col("q_hour") == F.col("r_hour")), 2).otherwise(0))
-    best = rows.withColumn("score", score).groupBy("r_target", "r_purpose", "r_hour", "areas").agg(
-        F.min(F.struct((-F.col("score")).alias("neg"), "query_id")).alias("_m"))
-    best = best.select("r_target", "r_purpose", "r_hour", "areas", F.col("_m.query_id").alias("query_id"), (-F.col("_m.neg")).alias("score"))
-    return want.join(best, ["r_target", "r_purpose", "r_hour", "areas"]).select("request_id", "query_id", "score")
+    keys = ["r_target", "r_purpose", "r_hour", "areas"]
+    pick = lambda rows, s: rows.groupBy(*keys).agg(F.min(F.struct((-s).alias("neg"), "query_id")).alias("_m"))
+    near = pick(asks.withColumn("q_area", F.explode("areas")).join(per_area, "q_area"), score + 10)
+    rest = asks.join(near.select(*keys), keys, "left_anti")
+    every = per_dims.agg(F.collect_list(F.struct(*dims, "query_id")).alias("d"))
+    far = pick(rest.withColumn("_d", F.explode(every.scalar())).select(*keys, "_d.*"), score)
+    best = near.unionByName(far).select(*keys, F.col("_m.query_id").alias("query_id"), (-F.col("_m.neg")).alias("score"))
+    return want.join(best, keys).select("request_id", "query_id", "score")
 
 
 def broaden(lists: DataFrame, pool: DataFrame, seeds: DataFrame, limit: int = 5) -> DataFrame:
@@ -486,4 +483,4 @@ def display_scores(text: Column) -> dict:
 def feature_labels(text: Column) -> Column:
     """Up to four rule labels, or the two general ones."""
     hit = F.array_compact(F.array(*[F.when(F.lower(text).rlike(p), F.lit(n)) for n, p in fv.FEATURE_LABEL_RULES]))
-    return F.when(F.size(hit) == 0, F.array(*[F.lit(x) for x in fv.FEATURE_LABEL_OTHER])).otherwise(F.slice(hit, 1, 4))
+    return F.when(F.size(hit) == 0, lit_array(fv.FEATURE_LABEL_OTHER)).otherwise(F.slice(hit, 1, 4))

@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placewright import fixed_values as fv
-from placewright.functions.areas import area_from_name, extract_area
-from placewright.functions.numbers import aux_adjust, blend, clamp01, log_area, max_share, min_max_mean, num
-from placewright.functions.text import clean, contains_any, matched_keywords, reason
+from placewright.functions.areas import area_from_name
+from placewright.functions.numbers import num
+from placewright.functions.text import clean, matched_keywords
 from placewright.operators.shaping import filter_area, first_per, latest_period, union_all
 
 CONTEXTS = [(s, a) for s in ("morning", "afternoon") for a in ("20_40", "60_plus")]
@@ -49,184 +49,171 @@ AUX_NOTES = {"worker:age": "auxiliary worker population age match applied",
 
 
 def with_contexts(df: DataFrame, contexts=None) -> DataFrame:
-    rows = [F.struct(F.lit(s).alias("slot"), F.lit(a).alias("age_group")) for s, a in (contexts or CONTEXTS)]
-    return df.withColumn("_c", F.explode(F.array(*rows))).withColumns(
-        {"slot": F.col("_c.slot"), "age_group": F.col("_c.age_group")}).drop("_c")
+    rows = ", ".join(f"struct('{s}' AS slot, '{a}' AS age_group)" for s, a in (contexts or CONTEXTS))
+    return df.select("*", F.expr(f"inline(array({rows}))"))
 
 
-def _series(summary: Column, key: str) -> Column:
-    get = lambda suffix: F.try_element_at(summary, F.lit(f"{key}_{suffix}"))
-    return min_max_mean(get("mean"), get("min"), get("max"))
+def aux_series(aux: DataFrame) -> DataFrame:
+    """One struct of normalised series from the summary map: places then read
+    plain fields instead of normalising a map entry per row."""
+    items = []
+    for key in fv.AUX_FEATURES:
+        mean, low, high = (f"try_element_at(summary, '{key}_{x}')" for x in ("mean", "min", "max"))
+        scaled = f"CASE WHEN {high} > {low} THEN ({mean} - {low}) / ({high} - {low}) ELSE {mean} END"
+        items.append(f"'{key}', CASE WHEN {mean} IS NOT NULL THEN least(greatest({scaled}, 0D), 1D) END")
+    return aux.select(F.expr(f"named_struct({', '.join(items)})").alias("series"))
 
 
-def _aux(summary: Column, kind: str, target: str):
-    """Blended value for a target, and the notes of the series in use."""
+def _aux(kind: str, target: str):
+    """Present values of a target's series (SQL texts) and their notes."""
     values, notes = [], []
     for goal, key, slot, age in [*AUX_RULES[kind], *AUX_COMMON]:
         if goal != target:
             continue
-        when = (F.col("slot") == slot if slot else F.lit(True)) & (F.col("age_group") == age if age else F.lit(True))
-        value = F.when(when, _series(summary, key))
+        conds = [f"slot = '{slot}'"] if slot else []
+        conds += [f"age_group = '{age}'"] if age else []
+        value = f"CASE WHEN {' AND '.join(conds)} THEN _aux.{key} END" if conds else f"_aux.{key}"
         values.append(value)
-        notes.append(F.when(value.isNotNull(), F.lit(AUX_NOTES[f"{key.split('_')[0]}:{goal}"])))
-    return blend(*values), notes
+        notes.append(f"CASE WHEN ({value}) IS NOT NULL THEN '{AUX_NOTES[key.split('_')[0] + ':' + goal]}' END")
+    return values, notes
 
 
-def _finish(df: DataFrame, kind: str, aux: DataFrame | None, interaction, interaction_reason: Column, parts) -> DataFrame:
+def _adjusted(base: str, values) -> Column:
+    """Base plus strength x (mean of the present values - 0.5), clamped."""
+    total = " + ".join(f"coalesce({v}, 0D)" for v in values)
+    count = " + ".join(f"cast(({v}) IS NOT NULL AS int)" for v in values)
+    return F.expr(f"CASE WHEN ({count}) = 0 THEN least(greatest({base}, 0D), 1D) ELSE "
+                  f"least(greatest({base} + {fv.AUX_STRENGTH}D * (({total}) / cast({count} AS double) - 0.5D), 0D), 1D) END")
+
+
+YOUNG, OLDER = "age_group = '20_40'", "age_group = '60_plus'"
+MORNING, AFTERNOON = "slot = 'morning'", "slot = 'afternoon'"
+
+
+def _if(cond: str, yes: float, no: float) -> str:
+    return f"(CASE WHEN {cond} THEN {float(yes)!r}D ELSE {float(no)!r}D END)"
+
+
+def _share(x: str, top: str) -> str:
+    return f"(CASE WHEN coalesce({top}, 0D) <= 0 THEN 0D ELSE least(greatest({x} / {top}, 0D), 1D) END)"
+
+
+def _mix(parts: dict, synergy: str) -> str:
+    return " + ".join(f"{w!r}D * {c}" for c, w in parts.items()) + f" + 0.15D * {synergy}"
+
+
+def _finish(df: DataFrame, kind: str, aux: DataFrame | None, mixed: str, why: str, parts) -> DataFrame:
     """Auxiliary adjustment, interaction feature, weighted score, reasons."""
-    notes: list[Column] = []
+    notes = []
     if aux is not None:
-        df = df.withColumn("_aux", aux.scalar())
-        age, age_notes = _aux(F.col("_aux"), kind, "age")
-        context, context_notes = _aux(F.col("_aux"), kind, "context")
+        df = df.withColumn("_aux", aux_series(aux).scalar())
+        age, age_notes = _aux(kind, "age")
+        context, context_notes = _aux(kind, "context")
         notes = age_notes + context_notes
-        df = df.withColumns({"age_score": aux_adjust(F.col("age_score"), age),
-                             "context_score": aux_adjust(F.col("context_score"), context)})
+        df = df.withColumns({"age_score": _adjusted("age_score", age), "context_score": _adjusted("context_score", context)})
     else:
-        df = df.withColumns({"age_score": clamp01(F.col("age_score")), "context_score": clamp01(F.col("context_score"))})
-    df = df.withColumn("interaction_score", clamp01(interaction))
-    df = df.withColumn("_why", interaction_reason)
-    total = F.lit(0.0)
-    for feature, weight in zip(fv.SCORE_FEATURES, fv.TYPE_WEIGHTS[kind]):
-        total = total + F.col(feature) * F.lit(weight)
-    reasons = F.array_distinct(F.array_compact(F.array(*parts, *notes)))
-    return df.withColumn("raw_score", total).withColumns(
-        {"place_type": F.lit(kind), "score": F.round(total, 4), "reasons": reasons})
-
-
-def _head(time_tail: Column, age_tail: Column, context_tail: str, facility_tail: str):
-    return [reason("time_match_score", F.col("time_score"), time_tail),
-            reason("age_match_score", F.col("age_score"), age_tail),
-            reason("context_score", F.col("context_score"), F.lit(context_tail)),
-            reason("facility_score", F.col("facility_score"), F.lit(facility_tail)),
-            reason("interaction_score", F.col("interaction_score"), F.concat(F.lit("from "), F.col("_why")))]
+        clamped = lambda c: F.expr(f"least(greatest({c}, 0D), 1D)")
+        df = df.withColumns({"age_score": clamped("age_score"), "context_score": clamped("context_score")})
+    df = df.withColumns({"interaction_score": F.expr(f"least(greatest({mixed}, 0D), 1D)"), "_why": F.expr(why)})
+    total = "0D" + "".join(f" + {c} * {w!r}D" for c, w in zip(fv.SCORE_FEATURES, fv.TYPE_WEIGHTS[kind]))
+    reasons = F.expr(f"array_distinct(array_compact(array({', '.join([*parts, *notes])})))")
+    return df.withColumns({"raw_score": F.expr(total), "reasons": reasons}).withColumns({"place_type": F.lit(kind), "score": F.round("raw_score", 4)})
 
 
-def _slot_is(slot):
-    return F.col("slot") == slot
+def _head(time_tail: str, age_tail: str, context_tail: str, facility_tail: str):
+    tails = {"time_match_score": ("time_score", time_tail), "age_match_score": ("age_score", age_tail), "context_score": ("context_score", f"'{context_tail}'"),
+             "facility_score": ("facility_score", f"'{facility_tail}'"), "interaction_score": ("interaction_score", "concat('from ', _why)")}
+    return [f"concat('{n}=', format_string('%.2f', {c}), ' ', {t})" for n, (c, t) in tails.items()]
 
 
-def _age_is(age):
-    return F.col("age_group") == age
+FOR_GROUP = "concat('for target group ', age_group)"
 
 
-_FOR_GROUP = lambda: F.concat(F.lit("for target group "), F.col("age_group"))
+def _texts(rows: DataFrame, cols) -> DataFrame:
+    return rows.withColumns({c: F.expr(f"coalesce(trim({c}), '')") for c in cols})
 
 
 def score_transit(df: DataFrame, aux=None, contexts=None, station_areas=None) -> DataFrame:
     """Columns used: place_id, name, use_month, morning_in, afternoon_in, [area]."""
     rows = latest_period(df.withColumn("use_month", F.col("use_month").try_cast("long")), "use_month")
-    rows = rows.withColumns({"name": clean("name"), "morning_in": num("morning_in"), "afternoon_in": num("afternoon_in")})
-    rows = rows.filter("name <> ''").withColumn("_all", F.col("morning_in") + F.col("afternoon_in"))
+    rows = _texts(rows, ["name"]).withColumns({"morning_in": num("morning_in"), "afternoon_in": num("afternoon_in")})
+    rows = rows.filter("name <> ''").withColumn("_all", F.expr("morning_in + afternoon_in"))
     inferred = area_from_name("name", station_areas)
     rows = rows.withColumn("area", inferred if "area" not in rows.columns else F.coalesce(F.nullif(clean("area"), F.lit("")), inferred))
-    top = rows.agg(F.struct(F.max("morning_in").alias("m"), F.max("afternoon_in").alias("a"), F.max("_all").alias("d")).alias("t"))
+    top = rows.agg(F.expr("struct(max(morning_in) AS m, max(afternoon_in) AS a, max(_all) AS d)").alias("t"))
     rows = with_contexts(rows.withColumn("_top", top.scalar()), contexts)
-    young, morning = _age_is("20_40"), _slot_is("morning")
-    flow = F.when(morning, F.col("morning_in")).otherwise(F.col("afternoon_in"))
-    peak = F.when(morning, F.col("_top.m")).otherwise(F.col("_top.a"))
     rows = rows.withColumns({
-        "time_score": max_share(flow, peak), "age_score": F.when(young, 1.0).otherwise(0.55),
-        "context_score": max_share(F.col("_all"), F.col("_top.d")), "facility_score": F.lit(0.60)})
-    synergy = F.lit(0.15) * F.when(morning & young, 1.0).otherwise(0.78) * F.when(young, 1.0).otherwise(0.60)
-    mixed = (F.lit(0.45) * F.col("time_score") + F.lit(0.25) * F.col("context_score")
-             + F.lit(0.15) * F.col("age_score") + synergy)
-    why = F.when(young, "commuter timing and working-age audience synergy").otherwise(
-        "broad transit exposure interaction for mixed-age outreach")
-    timing = F.concat(F.lit("from "), F.col("slot"), F.lit(" rider volume in latest month "), F.col("use_month").cast("string"))
-    parts = _head(timing, F.lit("for target outreach fit"), "from overall station exposure", "for baseline transit visibility")
-    parts.append(F.when(F.col("age_score") >= 0.95, "suitable for working-age outreach"))
+        "time_score": F.expr(f"CASE WHEN {MORNING} THEN {_share('morning_in', '_top.m')} ELSE {_share('afternoon_in', '_top.a')} END"),
+        "age_score": F.expr(_if(YOUNG, 1.0, 0.55)), "context_score": F.expr(_share("_all", "_top.d")), "facility_score": F.lit(0.60)})
+    mixed = _mix({"time_score": 0.45, "context_score": 0.25, "age_score": 0.15}, f"{_if(f'{MORNING} AND {YOUNG}', 1.0, 0.78)} * {_if(YOUNG, 1.0, 0.60)}")
+    why = f"CASE WHEN {YOUNG} THEN 'commuter timing and working-age audience synergy' ELSE 'broad transit exposure interaction for mixed-age outreach' END"
+    parts = _head("concat('from ', slot, ' rider volume in latest month ', cast(use_month AS string))", "'for target outreach fit'",
+                  "from overall station exposure", "for baseline transit visibility")
+    parts.append("CASE WHEN age_score >= 0.95 THEN 'suitable for working-age outreach' END")
     out = _finish(rows, "subway", aux, mixed, why, parts)
     return first_per(out, ["slot", "age_group", "name"], [F.desc("raw_score"), "place_id"])
 
 
 def score_parks(df: DataFrame, aux=None, contexts=None, known_areas=None) -> DataFrame:
     """Columns used: place_id, name, area, area_sqm, main_facilities, latitude, longitude."""
-    n = float(len(fv.PARK_KEYWORDS))
-    rows = df.withColumns({"name": clean("name"), "area": clean("area"), "area_sqm": num("area_sqm"),
-                           "main_facilities": F.coalesce("main_facilities", F.lit(""))}).filter("name <> ''")
-    rows = rows.withColumns({"_log": log_area(F.col("area_sqm")), "_len": F.length("main_facilities").cast("double"),
-                             "_words": matched_keywords(F.col("main_facilities"), fv.PARK_KEYWORDS)})
-    top = rows.agg(F.struct(F.max("_log").alias("a"), F.max("_len").alias("l")).alias("t"))
-    rows = with_contexts(rows.withColumn("_top", top.scalar()), contexts)
-    known = F.col("area").isin(list(known_areas or fv.AREAS))
-    density = F.size("_words").cast("double") / F.lit(n)
-    young, afternoon = _age_is("20_40"), _slot_is("afternoon")
-    rows = rows.withColumns({
-        "time_score": F.when(afternoon, 1.0).otherwise(0.75), "age_score": F.when(young, 1.0).otherwise(0.70),
-        "context_score": F.lit(0.65) * F.when(known, 1.0).otherwise(0.45) + F.lit(0.35) * density,
-        "facility_score": F.lit(0.75) * max_share(F.col("_log"), F.col("_top.a"))
-        + F.lit(0.25) * max_share(F.col("_len"), F.col("_top.l"))})
-    synergy = F.lit(0.15) * density * F.when(afternoon, 1.0).otherwise(0.75) * F.when(young, 1.0).otherwise(0.78)
-    mixed = (F.lit(0.20) * F.col("time_score") + F.lit(0.22) * F.col("age_score") + F.lit(0.23) * F.col("context_score")
-             + F.lit(0.20) * F.col("facility_score") + synergy)
-    why = (F.when(young & afternoon, "afternoon leisure context and working-age outreach synergy")
-           .when(afternoon, "afternoon park footfall and neighborhood outreach synergy")
-           .otherwise("park amenity context interaction applied"))
-    parts = _head(F.concat(F.lit("because parks fit "), F.col("slot"), F.lit(" outreach")), _FOR_GROUP(),
-                  "from place context and district fit", "from park scale and facilities")
-    parts += [F.when(F.size("_words") > 0, F.concat(F.lit("context keyword match: "), F.array_join("_words", ", "))),
-              F.when(known, "located in a Seoul district").otherwise("non-Seoul district penalty applied")]
+    rows = _texts(df, ["name", "area"]).withColumns({"area_sqm": num("area_sqm"), "main_facilities": F.expr("coalesce(main_facilities, '')")}).filter("name <> ''")
+    rows = rows.withColumns({"_log": F.expr("ln(greatest(area_sqm, 1D))"), "_len": F.expr("cast(length(main_facilities) AS double)"),
+                             "_words": matched_keywords(F.col("main_facilities"), fv.PARK_KEYWORDS), "_known": F.col("area").isin(list(known_areas or fv.AREAS))})
+    top = rows.agg(F.expr("struct(max(_log) AS a, max(_len) AS l)").alias("t"))
+    rows = rows.withColumns({"_top": top.scalar(), "_density": F.expr(f"cast(size(_words) AS double) / {float(len(fv.PARK_KEYWORDS))!r}D")})
+    rows = with_contexts(rows, contexts).withColumns({
+        "time_score": F.expr(_if(AFTERNOON, 1.0, 0.75)), "age_score": F.expr(_if(YOUNG, 1.0, 0.70)),
+        "context_score": F.expr(f"0.65D * {_if('_known', 1.0, 0.45)} + 0.35D * _density"),
+        "facility_score": F.expr(f"0.75D * {_share('_log', '_top.a')} + 0.25D * {_share('_len', '_top.l')}")})
+    mixed = _mix({"time_score": 0.20, "age_score": 0.22, "context_score": 0.23, "facility_score": 0.20},
+                 f"_density * {_if(AFTERNOON, 1.0, 0.75)} * {_if(YOUNG, 1.0, 0.78)}")
+    why = (f"CASE WHEN {YOUNG} AND {AFTERNOON} THEN 'afternoon leisure context and working-age outreach synergy' WHEN {AFTERNOON} THEN "
+           "'afternoon park footfall and neighborhood outreach synergy' ELSE 'park amenity context interaction applied' END")
+    parts = _head("concat('because parks fit ', slot, ' outreach')", FOR_GROUP, "from place context and district fit", "from park scale and facilities")
+    parts += ["CASE WHEN size(_words) > 0 THEN concat('context keyword match: ', array_join(_words, ', ')) END",
+              "CASE WHEN _known THEN 'located in a Seoul district' ELSE 'non-Seoul district penalty applied' END"]
     return _finish(rows, "park", aux, mixed, why, parts)
 
 
 def score_seniors(df: DataFrame, aux=None, contexts=None) -> DataFrame:
     """Columns used: place_id, name, area, facility_type, facility_address."""
-    rows = df.withColumns({c: clean(c) for c in ["name", "area", "facility_type", "facility_address"]})
-    rows = rows.filter("name <> '' and area <> '' and facility_type <> ''")
-    text = F.concat_ws(" ", "name", "facility_type")
-    raw = F.lit(0.0)
-    for word, weight in fv.SENIOR_KEYWORD_WEIGHTS.items():
-        raw = raw + F.when(text.contains(word), F.lit(weight)).otherwise(0.0)
-    rows = rows.withColumns({"_words": matched_keywords(text, list(fv.SENIOR_KEYWORD_WEIGHTS)), "_raw": raw,
-                             "_len": F.length("name").cast("double")})
-    top = rows.agg(F.struct(F.max("_raw").alias("r"), F.max("_len").alias("l")).alias("t"))
-    rows = with_contexts(rows.withColumn("_top", top.scalar()), contexts)
-    has = F.size("_words") > 0
-    older, afternoon = _age_is("60_plus"), _slot_is("afternoon")
-    rows = rows.withColumns({
-        "time_score": F.when(afternoon, 1.0).otherwise(0.85), "age_score": F.when(older, 1.0).otherwise(0.45),
-        "context_score": F.lit(0.80) * F.when(F.col("facility_address") != "", 1.0).otherwise(0.50)
-        + F.lit(0.20) * max_share(F.col("_len"), F.col("_top.l")),
-        "facility_score": F.lit(0.65) * F.when(has, 1.0).otherwise(0.40) + F.lit(0.35) * max_share(F.col("_raw"), F.col("_top.r"))})
-    synergy = (F.lit(0.15) * F.when(has, 1.0).otherwise(0.55) * F.when(afternoon, 1.0).otherwise(0.82)
-               * F.when(older, 1.0).otherwise(0.65))
-    mixed = (F.lit(0.18) * F.col("time_score") + F.lit(0.30) * F.col("age_score") + F.lit(0.17) * F.col("context_score")
-             + F.lit(0.20) * F.col("facility_score") + synergy)
-    why = F.when(older, "afternoon senior welfare context and 60_plus outreach synergy").otherwise(
-        "senior-friendly facility interaction applied")
-    parts = _head(F.concat(F.lit("for "), F.col("slot"), F.lit(" senior outreach timing")), _FOR_GROUP(),
-                  "from district and address context", "from facility keyword relevance")
-    parts += [F.when(has, F.concat(F.lit("facility keyword match: "), F.array_join("_words", ", ")))
-              .otherwise("basic senior-friendly facility match"), F.lit("district diversity applied")]
+    rows = _texts(df, ["name", "area", "facility_type", "facility_address"]).filter("name <> '' and area <> '' and facility_type <> ''")
+    rows = rows.withColumn("_text", F.expr("concat_ws(' ', name, facility_type)"))
+    raw = "0D" + "".join(f" + CASE WHEN contains(_text, '{k}') THEN {w!r}D ELSE 0D END" for k, w in fv.SENIOR_KEYWORD_WEIGHTS.items())
+    rows = rows.withColumns({"_words": matched_keywords(F.col("_text"), list(fv.SENIOR_KEYWORD_WEIGHTS)), "_raw": F.expr(raw),
+                             "_len": F.expr("cast(length(name) AS double)")})
+    top = rows.agg(F.expr("struct(max(_raw) AS r, max(_len) AS l)").alias("t"))
+    has = "size(_words) > 0"
+    rows = with_contexts(rows.withColumn("_top", top.scalar()), contexts).withColumns({
+        "time_score": F.expr(_if(AFTERNOON, 1.0, 0.85)), "age_score": F.expr(_if(OLDER, 1.0, 0.45)),
+        "context_score": F.expr("0.80D * " + _if("facility_address <> ''", 1.0, 0.50) + " + 0.20D * " + _share("_len", "_top.l")),
+        "facility_score": F.expr(f"0.65D * {_if(has, 1.0, 0.40)} + 0.35D * {_share('_raw', '_top.r')}")})
+    mixed = _mix({"time_score": 0.18, "age_score": 0.30, "context_score": 0.17, "facility_score": 0.20},
+                 f"{_if(has, 1.0, 0.55)} * {_if(AFTERNOON, 1.0, 0.82)} * {_if(OLDER, 1.0, 0.65)}")
+    why = f"CASE WHEN {OLDER} THEN 'afternoon senior welfare context and 60_plus outreach synergy' ELSE 'senior-friendly facility interaction applied' END"
+    parts = _head("concat('for ', slot, ' senior outreach timing')", FOR_GROUP, "from district and address context", "from facility keyword relevance")
+    parts += [f"CASE WHEN {has} THEN concat('facility keyword match: ', array_join(_words, ', ')) ELSE 'basic senior-friendly facility match' END",
+              "'district diversity applied'"]
     out = _finish(rows, "senior_friendly", aux, mixed, why, parts)
     return first_per(out, ["slot", "age_group", "area"], [F.desc("raw_score"), "name", "place_id"])
 
 
 def score_markets(df: DataFrame, aux=None, contexts=None) -> DataFrame:
     """Columns used: place_id, name, area, market_type, market_address, store_count, floor_area."""
-    rows = df.withColumns({c: clean(c) for c in ["name", "area", "market_type", "market_address"]})
-    rows = rows.withColumns({"store_count": num("store_count"), "floor_area": F.greatest(num("floor_area"), F.lit(0.0))})
+    rows = _texts(df, ["name", "area", "market_type", "market_address"]).withColumns({
+        "store_count": num("store_count"), "floor_area": F.greatest(num("floor_area"), F.lit(0.0))})
     rows = rows.filter("name <> '' and area <> '' and market_address <> ''")
-    top = rows.agg(F.struct(F.max("store_count").alias("s"), F.max("floor_area").alias("f")).alias("t"))
-    rows = with_contexts(rows.withColumn("_top", top.scalar()), contexts)
-    by_kind = lambda a, b, c: F.when(F.col("market_type").contains("골목형"), a).when(
-        F.col("market_type").contains("건물형"), b).otherwise(c)
-    young, older, afternoon = _age_is("20_40"), _age_is("60_plus"), _slot_is("afternoon")
-    rows = rows.withColumns({
-        "time_score": F.when(afternoon, 1.0).otherwise(0.70), "age_score": F.when(young, 0.65).otherwise(0.82),
-        "context_score": by_kind(0.78, 0.68, 0.60),
-        "facility_score": F.lit(0.60) * max_share(F.col("store_count"), F.col("_top.s"))
-        + F.lit(0.40) * max_share(F.col("floor_area"), F.col("_top.f"))})
-    synergy = F.lit(0.15) * by_kind(1.0, 0.85, 0.70) * F.when(afternoon, 1.0).otherwise(0.72) * F.when(older, 1.0).otherwise(0.80)
-    mixed = (F.lit(0.18) * F.col("time_score") + F.lit(0.22) * F.col("age_score") + F.lit(0.20) * F.col("context_score")
-             + F.lit(0.25) * F.col("facility_score") + synergy)
-    why = (F.when(older & afternoon, "afternoon market activity and senior neighborhood outreach synergy")
-           .when(afternoon, "afternoon market activity and working-age neighborhood contact synergy")
-           .otherwise("market context interaction applied"))
-    parts = _head(F.concat(F.lit("for "), F.col("slot"), F.lit(" market outreach timing")), _FOR_GROUP(),
-                  "from market type and local context", "from store count and floor area")
-    parts += [F.concat(F.lit("market type: "), F.col("market_type")), F.concat(F.lit("district: "), F.col("area"))]
+    top = rows.agg(F.expr("struct(max(store_count) AS s, max(floor_area) AS f)").alias("t"))
+    by_kind = lambda a, b, c: f"(CASE WHEN contains(market_type, '골목형') THEN {a!r}D WHEN contains(market_type, '건물형') THEN {b!r}D ELSE {c!r}D END)"
+    rows = with_contexts(rows.withColumn("_top", top.scalar()), contexts).withColumns({
+        "time_score": F.expr(_if(AFTERNOON, 1.0, 0.70)), "age_score": F.expr(_if(YOUNG, 0.65, 0.82)), "context_score": F.expr(by_kind(0.78, 0.68, 0.60)),
+        "facility_score": F.expr(f"0.60D * {_share('store_count', '_top.s')} + 0.40D * {_share('floor_area', '_top.f')}")})
+    mixed = _mix({"time_score": 0.18, "age_score": 0.22, "context_score": 0.20, "facility_score": 0.25},
+                 f"{by_kind(1.0, 0.85, 0.70)} * {_if(AFTERNOON, 1.0, 0.72)} * {_if(OLDER, 1.0, 0.80)}")
+    why = (f"CASE WHEN {OLDER} AND {AFTERNOON} THEN 'afternoon market activity and senior neighborhood outreach synergy' WHEN {AFTERNOON} THEN "
+           "'afternoon market activity and working-age neighborhood contact synergy' ELSE 'market context interaction applied' END")
+    parts = _head("concat('for ', slot, ' market outreach timing')", FOR_GROUP, "from market type and local context", "from store count and floor area")
+    parts += ["concat('market type: ', market_type)", "concat('district: ', area)"]
     return _finish(rows, "market", aux, mixed, why, parts)
 
 

@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from placewright import fixed_values as fv
+from placewright.functions.text import lit_array
 from placewright.operators.evaluation import gold_stats, objective
 from placewright.operators.matching import first_gold, match_pairs, prepare_gold, prepare_recs
 from placewright.operators.ranking import TUNED_FEATURES, in_area
@@ -31,7 +32,7 @@ def grid_trials(spark: SparkSession, names, grid) -> DataFrame:
     for name, values in zip(names, grid):
         stride //= len(values)
         pos = F.floor(F.col("grid_id") / F.lit(stride)) % len(values)
-        cols[name] = F.get(F.array(*[F.lit(float(v)) for v in values]), pos.cast("int"))
+        cols[name] = F.get(lit_array([float(v) for v in values]), pos.cast("int"))
     return rows.withColumns(cols)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from placewright import fixed_values as fv
 from placewright.functions.areas import first_area, norm_area
-from placewright.functions.text import clean, contains_any, slug
+from placewright.functions.text import clean, contains_any, lit_map, slug
 from placewright.functions.numbers import valid_coords
 from placewright.session import cut_lineage
 
@@ -58,8 +58,7 @@ def split_by_area(df: DataFrame, selected, cols, areas=None) -> tuple[DataFrame,
 def type_compatible(query_type: Column, other_type: Column, table=None) -> Column:
     """True when blank, equal, or listed as compatible."""
     table = table or fv.TYPE_COMPATIBILITY
-    pairs = [x for k, vs in table.items() for x in (F.lit(k), F.array(*[F.lit(v) for v in vs]))]
-    listed = F.coalesce(F.array_contains(F.try_element_at(F.create_map(*pairs), query_type), other_type), F.lit(False))
+    listed = F.coalesce(F.array_contains(F.try_element_at(lit_map(table), query_type), other_type), F.lit(False))
     return (query_type == "") | (other_type == "") | (query_type == other_type) | listed
 
 
