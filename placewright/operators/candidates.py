@@ -120,7 +120,7 @@ def pool_candidates(pools: DataFrame, context: DataFrame) -> DataFrame:
     return first_per(rows.filter("rec_name <> ''"), ["pool_id", "rec_name", "rec_area", "rec_type"], ["type_pos", "list_pos"])
 
 
-BASE_ORDER = [F.desc("base_score"), F.desc("rec_name"), F.desc("rec_area"), F.desc("rec_type")]
+BASE_ORDER = ["-base_score", "-rec_name", "-rec_area", "-rec_type"]
 
 
 def baseline_recommend(candidates: DataFrame, k: int = 10, key="pool_id") -> DataFrame:

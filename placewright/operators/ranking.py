@@ -83,7 +83,7 @@ def in_area(rows: DataFrame, key: str, areas=None) -> DataFrame:
     return rows.filter(q.isNull() | (q == F.coalesce(norm_area("rec_area", areas), F.lit("\0"))))
 
 
-RANK_ORDER = [F.desc("score"), F.desc("base_score"), "raw_rank"]
+RANK_ORDER = ["-score", "-base_score", "raw_rank"]
 
 
 def rerank_variants(rows: DataFrame, models=None, k: int = 10, key="sig", areas=None) -> DataFrame:

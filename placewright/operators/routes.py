@@ -14,7 +14,7 @@ from placewright.functions.areas import norm_area, relation, start_area
 from placewright.functions.numbers import max_share, num
 from placewright.functions.text import clean, clean_nullish, contains_any, display_name, label_map, lit_array, lookup, normalise_address, route_type
 from placewright.functions.times import day_of_week, minutes, time_slots
-from placewright.operators.shaping import first_per, latest_period, union_all
+from placewright.operators.shaping import first_per, latest_period, sort_keys, union_all
 
 POOL = ["place_name", "area", "place_type", "address", "lat", "lng", "score", "source"]
 MOST_VISITS = 8
@@ -78,7 +78,7 @@ def normalise_pool(pool: DataFrame, areas=None) -> DataFrame:
         "identity": F.concat_ws("|", F.regexp_replace("place_name", r"\s+", ""), "area", "place_type")})
 
 
-POOL_ORDER = ["priority", F.desc("score"), "place_name", "place_type"]
+POOL_ORDER = ["priority", "-score", "place_name", "place_type"]
 
 
 def unified_pool(frames, areas=None) -> DataFrame:
@@ -165,7 +165,7 @@ def route_candidates(requests: DataFrame, pool: DataFrame, seeds: DataFrame | No
         rows = first_per(rows, ["area"], POOL_ORDER, 2 * MOST_VISITS)
         open_ = short.select("route_id", "num_visits", "have", "ids", F.posexplode("areas").alias("area_pos", "area"))
         rows = open_.join(rows, "area").filter(~F.coalesce(F.array_contains("ids", F.col("identity")), F.lit(False)))
-        turn = F.row_number().over(W.partitionBy("route_id", "area").orderBy(*POOL_ORDER))
+        turn = F.row_number().over(W.partitionBy("route_id", "area").orderBy(*sort_keys(POOL_ORDER)))
         rows = rows.withColumn("turn", turn)
         extra = F.row_number().over(W.partitionBy("route_id").orderBy("turn", "area_pos"))
         rows = rows.withColumn("pos", F.col("have") + extra).filter(F.col("pos") <= n)

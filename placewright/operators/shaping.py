@@ -107,6 +107,11 @@ def salted_join(left: DataFrame, right: DataFrame, keys, how="inner", salts: int
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def sort_keys(order) -> list:
+    """Order terms: columns, names, or ``-name`` for descending."""
+    return [F.desc(o[1:]) if isinstance(o, str) and o.startswith("-") else F.col(o) if isinstance(o, str) else o for o in order]
+
+
 # --- dedupe -------------------------------------------------------------------
 def first_per(df: DataFrame, keys, order, n: int = 1, rank_col: str | None = None) -> DataFrame:
     """First n rows per key in a total order.
@@ -115,7 +120,7 @@ def first_per(df: DataFrame, keys, order, n: int = 1, rank_col: str | None = Non
     task, not its whole group.
     """
     name = rank_col or "_rn"
-    out = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= n)
+    out = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*sort_keys(order)))).filter(F.col(name) <= n)
     return out if rank_col else out.drop(name)
 
 
@@ -143,6 +148,7 @@ def number_rows(df: DataFrame, order, group=None, name="n") -> DataFrame:
     passes see the same partitions.
     """
     groups = list(group or [])
+    order = sort_keys(order)
     keys = [*[F.col(g) for g in groups], *order]
     ranged = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
                          .withColumn("_part", F.spark_partition_id()))
@@ -194,6 +200,7 @@ def interleave(df: DataFrame, group: str, order, group_pos: str, n: Column, with
 
     ``within`` names outer keys (one list each); at most n rows per list.
     """
+    order = sort_keys(order)
     row = F.row_number().over(W.partitionBy(*within, group).orderBy(*order))
     turn = df.withColumn("_turn", row).filter(F.col("_turn") <= n)
     pos = F.row_number().over(W.partitionBy(*within).orderBy("_turn", group_pos, *order))

@@ -54,7 +54,7 @@ def build(body: str) -> str:
                 visit(CTE[n])
 
     visit(body)
-    ctes = ", ".join(f"{n} AS ({CTE[n]})" for n in names if n in used)
+    ctes = ", ".join(f"{n} AS MATERIALIZED ({CTE[n]})" for n in names if n in used)
     own = re.match(r"\s*WITH\s", body)
     if ctes and own:
         text = f"WITH {ctes}, {body[own.end():]}"
@@ -209,30 +209,31 @@ CTE["r_goldsig"] = "SELECT g.*, sig, place_type, activity_type, actor FROM r_gol
 
 
 def metrics_sql(recs, by="", models=""):
-    """Greedy matching where every match is by equal name: the n-th best gold of
-    a name goes to the n-th recommendation of that name.
-
-    Golds with and without an area compete, so pools of one name are ordered by
-    (relevance, id) and restricted to golds whose area is blank or equal; lists
-    hold one area, so the restriction is the same for all rows of a list.
-    """
+    """Greedy matching, unrolled: rank 1 takes its best gold row, then rank 2 of
+    what is left, and so on; best is (exact before partial, relevance, first)."""
     b = f"{by}, " if by else ""
-    eq = f"AND r.{by} = g.{by}" if by else ""
-    golds = f"SELECT g.*, {by} FROM r_goldsig g, (VALUES {models}) m({by})" if by else "SELECT * FROM r_goldsig"
+    same = f"AND a.{by} = p.{by}" if by else ""
+    steps, before = [], None
+    for r in range(1, 11):
+        free = "" if before is None else f" AND NOT EXISTS (SELECT 1 FROM {before} a WHERE a.query_id = p.query_id AND a.gold_id = p.gold_id {same})"
+        pick = (f"SELECT {b}query_id, {r} AS rank, arg_max(gold_id, (prio, relevance, -gold_id)) AS gold_id, arg_max(relevance, (prio, relevance, -gold_id)) AS relevance "
+                f"FROM prs p WHERE rank = {r}{free} GROUP BY {b}query_id")
+        steps.append(f"a{r} AS MATERIALIZED ({pick}{'' if before is None else f' UNION ALL SELECT * FROM {before}'})")
+        before = f"a{r}"
     return f"""
- la AS (SELECT DISTINCT {b}sig, rec_area AS list_area FROM ({recs})),
- gg AS (SELECT x.*, row_number() OVER (PARTITION BY {b}query_id, place_name ORDER BY relevance DESC, gold_id) AS gn FROM (
-   SELECT g.* FROM ({golds}) g JOIN la USING ({b}sig) WHERE g.area = '' OR g.area = list_area) x),
- rr AS (SELECT *, row_number() OVER (PARTITION BY {b}sig, rec_name ORDER BY rank) AS rn FROM ({recs})),
- hits AS (SELECT {b.replace(by, 'g.' + by) if by else ''}g.query_id, g.gold_id, g.relevance, r.rank FROM gg g JOIN rr r ON r.sig = g.sig AND r.rec_name = g.place_name AND r.rn = g.gn {eq}),
+ rcs AS MATERIALIZED ({recs}),
+ prs AS MATERIALIZED (SELECT {b}g.query_id, g.gold_id, g.relevance, l.rank, CASE WHEN l.rec_name = g.place_name THEN 4 ELSE 1 END AS prio FROM r_goldsig g JOIN rcs l ON l.sig = g.sig
+   AND (g.area = '' OR g.area = l.rec_area) AND (contains(l.rec_name, g.place_name) OR contains(g.place_name, l.rec_name))),
+ {', '.join(steps)}, hits AS (SELECT * FROM a10),
  ideal AS (SELECT query_id, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC) AS pos, count(*) OVER (PARTITION BY query_id) AS total FROM r_goldsig),
  ks AS (SELECT unnest([1, 3, 5, 10]) AS k),
  st AS (SELECT query_id, k, max(total) AS total_relevant, sum(CASE WHEN pos <= k THEN (pow(2.0, relevance) - 1.0) / log2(pos + 1.0) ELSE 0.0 END) AS idcg FROM ideal, ks GROUP BY query_id, k),
  ht AS (SELECT {b}query_id, k, count(*) AS hits, sum((pow(2.0, relevance) - 1.0) / log2(rank + 1.0)) AS dcg, string_agg(gold_id::VARCHAR, ';' ORDER BY rank) AS ids
    FROM hits, ks WHERE rank <= k GROUP BY {b}query_id, k),
- detail AS (SELECT {b}st.query_id, st.k, coalesce(hits, 0) AS hits, total_relevant, coalesce(hits, 0) / st.k::DOUBLE AS p, coalesce(hits, 0) / total_relevant::DOUBLE AS r,
+ detail AS MATERIALIZED (SELECT {b}st.query_id, st.k, coalesce(hits, 0) AS hits, total_relevant, coalesce(hits, 0) / st.k::DOUBLE AS p, coalesce(hits, 0) / total_relevant::DOUBLE AS r,
    coalesce(dcg, 0.0) / idcg AS n, coalesce(ids, '') AS ids FROM st {f"CROSS JOIN (VALUES {models}) m({by})" if by else ""} LEFT JOIN ht USING ({b}query_id, k))"""
 
+
 # --- variants ------------------------------------------------------------------------
 _type_ctx = "concat_ws(' ', place_type, target_group, context_tags)"
 _vt = "CASE " + " ".join(f"WHEN rec_type = '{k}' AND {any_of('tt', ws)} THEN 0.15" for k, ws in fv.EXPECTED_TYPE_RULES)
@@ -256,7 +257,7 @@ MODELS = ", ".join(f"('{m}')" for m in fv.MODEL_VARIANTS)
 
 def cats(text, words):
     strip = lambda w: "".join(ch for ch in w.lower() if ch.isalnum())
-    return "list_filter([" + ", ".join(f"CASE WHEN {any_of(text, [strip(w) for w in ws])} THEN '{c}' END" for c, ws in words.items()) + "], x -> x IS NOT NULL)"
+    return "list_filter([" + ", ".join(f"CASE WHEN {any_of(text, [strip(w) for w in ws])} THEN '{c}' END" for c, ws in words.items()) + "], lambda x: x IS NOT NULL)"
 
 
 def related(c, kind, pairs):
@@ -289,9 +290,9 @@ SELECT *, row_number() OVER (PARTITION BY sig ORDER BY score DESC, base_score DE
 CTE["r_cover"] = """
 SELECT g.query_id, g.gold_id, g.place_name AS gold_place_name, g.area AS gold_area, g.sig, g.place_type, g.activity_type, n.raw_candidate_count, r.best_raw_rank, f.best_final_rank
 FROM r_goldsig g LEFT JOIN (SELECT sig, count(*) AS raw_candidate_count FROM r_lists GROUP BY sig) n USING (sig)
-LEFT JOIN (SELECT g.gold_id, min(raw_rank) AS best_raw_rank FROM r_goldsig g JOIN r_lists l ON l.sig = g.sig AND l.rec_name = g.place_name AND (g.area = '' OR g.area = l.rec_area)
+LEFT JOIN (SELECT g.gold_id, min(raw_rank) AS best_raw_rank FROM r_goldsig g JOIN r_lists l ON l.sig = g.sig AND (contains(l.rec_name, g.place_name) OR contains(g.place_name, l.rec_name)) AND (g.area = '' OR g.area = l.rec_area)
  GROUP BY g.gold_id) r USING (gold_id)
-LEFT JOIN (SELECT g.gold_id, min(rank) AS best_final_rank FROM r_goldsig g JOIN r_tuned_recs l ON l.sig = g.sig AND l.rec_name = g.place_name
+LEFT JOIN (SELECT g.gold_id, min(rank) AS best_final_rank FROM r_goldsig g JOIN r_tuned_recs l ON l.sig = g.sig AND (contains(l.rec_name, g.place_name) OR contains(g.place_name, l.rec_name))
  AND (g.area = '' OR g.area = l.rec_area) GROUP BY g.gold_id) f USING (gold_id)"""
 CTE["r_coverage"] = """
 SELECT query_id, gold_id, sig, gold_place_name, gold_area, place_type, activity_type, coalesce(raw_candidate_count, 0) AS raw_candidate_count,
@@ -327,7 +328,7 @@ SELECT f.*, c.p AS pc, a.p AS pa, t.p AS pt FROM (
  greatest(0.0, 1.0 - (raw_rank::DOUBLE - 1.0) / 99.0) AS rank_score, 1.0 / count(*) OVER (PARTITION BY sig, rec_type)::DOUBLE AS diversity FROM (
   SELECT l.*, q.actor, q.queries, {cats(_ask, fv.FINAL_CATEGORY_WORDS)} AS asked, {_bucket} AS bucket, {key('target_group')} || {key('context_tags')} AS goal,
   {key("concat_ws(' ', target_group, context_tags)")} AS work, {key("concat_ws(' ', place_type, activity_type, context_tags)")} AS wel,
-  list_distinct(list_transform(string_split(context_tags, ';'), x -> {key('x')})) AS tagk,
+  list_distinct(list_transform(string_split(context_tags, ';'), lambda x: {key('x')})) AS tagk,
   [{key('rec_type')}, {key('candidate_source')}, {key('rec_area')}] || {cats(key("rec_type || ' ' || candidate_source"), fv.FINAL_CATEGORY_WORDS)} AS ownk
   FROM r_lists l JOIN (SELECT sig, actor, count(*) AS queries FROM r_asked GROUP BY sig, actor) q USING (sig))) f
  LEFT JOIN r_profile c ON c.actor = f.actor AND c.dim = 'category' AND c.key = f.rec_type

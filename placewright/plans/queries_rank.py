@@ -103,7 +103,7 @@ def _search_sql(tail):
     return f"""WITH {_trials_sql()},
  recs AS (SELECT *, row_number() OVER (PARTITION BY trial_id, sig ORDER BY score DESC, base_score DESC, raw_rank) AS rank FROM (
    SELECT trial_id, sig, raw_rank, rec_name, rec_area, base_score, {TUNED_SCORE} AS score FROM r_tuned, trials WHERE area = rec_area) QUALIFY rank <= 10),
- lab AS (SELECT g.query_id, g.sig, l.raw_rank, g.gold_id, g.relevance FROM r_goldsig g JOIN r_lists l ON l.sig = g.sig AND l.rec_name = g.place_name
+ lab AS (SELECT g.query_id, g.sig, l.raw_rank, g.gold_id, g.relevance FROM r_goldsig g JOIN r_lists l ON l.sig = g.sig AND (contains(l.rec_name, g.place_name) OR contains(g.place_name, l.rec_name))
    AND (g.area = '' OR g.area = l.rec_area) JOIN r_split s ON s.query_id = g.query_id AND s.split = 'train'
    QUALIFY row_number() OVER (PARTITION BY g.query_id, l.raw_rank ORDER BY g.gold_id) = 1),
  best AS (SELECT trial_id, query_id, gold_id, max(relevance) AS relevance, min(rank) AS rank FROM lab JOIN recs USING (sig, raw_rank) GROUP BY trial_id, query_id, gold_id),
@@ -215,7 +215,7 @@ _F6 = ["area_bonus", "type_bonus", "time_bonus", "context_bonus", "target_bonus"
 
 
 @query("feature_contribution", f"""
-WITH h AS (SELECT DISTINCT g.query_id, r.rank FROM r_goldsig g JOIN r_tuned_recs r ON r.sig = g.sig AND r.rec_name = g.place_name AND (g.area = '' OR g.area = r.rec_area)),
+WITH h AS (SELECT DISTINCT g.query_id, r.rank FROM r_goldsig g JOIN r_tuned_recs r ON r.sig = g.sig AND (contains(r.rec_name, g.place_name) OR contains(g.place_name, r.rec_name)) AND (g.area = '' OR g.area = r.rec_area)),
  t AS (SELECT r.*, (h.rank IS NOT NULL)::INT::DOUBLE AS hit FROM r_asked a JOIN r_tuned_recs r USING (sig) LEFT JOIN h ON h.query_id = a.query_id AND h.rank = r.rank),
  s AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature_name, count_if({f} <> 0) AS nz, count(*) AS n, avg({f}) AS mean_bonus, max({f}) AS max_bonus, sum({f}) AS total_bonus, "
                            f"CASE WHEN max({f}) = min({f}) OR max(hit) = min(hit) THEN 0.0 ELSE corr({f}, hit) END AS c FROM t" for f in _F6)})
