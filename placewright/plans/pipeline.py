@@ -1,13 +1,34 @@
-"""Composed stages shared by the registered queries."""
+"""Composed stages shared by the registered queries.
+
+Each stage is a lazy plan that is built once per session and input folder; a
+plan holds no data, so sharing it only saves building it again.
+"""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, functions as F
 
-from placewright.operators import candidates as cand, cleaning, ranking as rank, scoring
+from placewright import fixed_values as fv
+from placewright.operators import candidates as cand, cleaning, diagnostics as diag, ranking as rank, scoring
 from placewright.plans import roles
 
 
+def stage(fn):
+    plans: dict = {}
+
+    @functools.wraps(fn)
+    def once(spark, sf, *args):
+        key = (spark.sparkContext.applicationId, id(spark), sf, *args)
+        if key not in plans:
+            plans[key] = fn(spark, sf, *args)
+        return plans[key]
+
+    return once
+
+
+@stage
 def aux(spark, sf) -> DataFrame:
     c = cleaning.clean_commercial(roles.commercial(spark, sf), ["commercial_code"])
     w = cleaning.clean_workers(roles.workers(spark, sf), ["commercial_code"])
@@ -15,51 +36,71 @@ def aux(spark, sf) -> DataFrame:
     return cleaning.aux_summary(c, w, l)
 
 
-def scored(spark, sf, with_aux=True) -> DataFrame:
-    return scoring.score_places(roles.place_tables(spark, sf), aux(spark, sf) if with_aux else None, known_areas=roles.KNOWN_AREAS, areas=roles.AREAS)
+@stage
+def scored(spark, sf) -> DataFrame:
+    return scoring.score_places(roles.place_tables(spark, sf), aux(spark, sf), known_areas=roles.KNOWN_AREAS, areas=roles.AREAS)
 
 
+@stage
 def asked(spark, sf) -> DataFrame:
     """Requests with their context, pool and signature."""
-    rows = cand.with_request_context(roles.requests(spark, sf), roles.AREAS)
-    return rank.with_signature(rows)
+    return rank.with_signature(cand.with_request_context(roles.requests(spark, sf), roles.AREAS))
 
 
+@stage
 def alias_table(spark, sf) -> DataFrame:
     return cand.alias_table(roles.aliases(spark, sf), ["ord"], roles.AREAS)
 
 
-def frozen(spark, sf, requests=None, with_alias=False) -> DataFrame:
-    requests = requests if requests is not None else asked(spark, sf)
-    pools = cand.pools_of(requests)
-    found = cand.pool_candidates(pools, cand.context_pool(scored(spark, sf), roles.CANDIDATE_POOL))
+@stage
+def candidates(spark, sf) -> DataFrame:
+    return cand.pool_candidates(cand.pools_of(asked(spark, sf)), cand.context_pool(scored(spark, sf), roles.CANDIDATE_POOL))
+
+
+@stage
+def frozen(spark, sf, with_alias=False) -> DataFrame:
+    pools = cand.pools_of(asked(spark, sf))
     extra = cand.alias_candidates(pools, alias_table(spark, sf), roles.AREAS) if with_alias else None
-    return cand.freeze_pools(found, 50, extra)
+    return cand.freeze_pools(candidates(spark, sf), 50, extra)
 
 
-def lists(spark, sf, requests=None, with_alias=False) -> DataFrame:
+@stage
+def lists(spark, sf, with_alias=False) -> DataFrame:
     """(signature, candidate) rows, at most 50 per signature."""
-    requests = requests if requests is not None else asked(spark, sf)
-    return rank.signature_candidates(rank.signatures(requests), frozen(spark, sf, requests, with_alias))
+    return rank.signature_candidates(rank.signatures(asked(spark, sf)), frozen(spark, sf, with_alias))
+
+
+@stage
+def gold(spark, sf) -> DataFrame:
+    """Gold rows with the signature of their request."""
+    return roles.gold(spark, sf).join(asked(spark, sf).select("query_id", "sig", "place_type", "activity_type", "actor"), "query_id")
+
+
+@stage
+def variants(spark, sf, *models) -> DataFrame:
+    rows = rank.variant_features(lists(spark, sf), areas=roles.AREAS)
+    return rank.rerank_variants(rows, list(models) or None, areas=roles.AREAS)
 
 
-def gold_with_sig(spark, sf, requests) -> DataFrame:
-    return roles.gold(spark, sf).join(requests.select("query_id", "sig", "place_type", "activity_type", "actor"), "query_id")
+@stage
+def tuned(spark, sf, with_alias=False) -> DataFrame:
+    return rank.tuned_features(lists(spark, sf, with_alias), roles.AREAS)
 
 
-def variants(spark, sf, requests, models=None, with_alias=False) -> DataFrame:
-    rows = rank.variant_features(lists(spark, sf, requests, with_alias), areas=roles.AREAS)
-    return rank.rerank_variants(rows, models, areas=roles.AREAS)
+@stage
+def tuned_recs(spark, sf, with_alias=False) -> DataFrame:
+    return rank.rerank_tuned(tuned(spark, sf, with_alias), fv.TUNED_REQUIRED[2], areas=roles.AREAS)
 
 
-def tuned(spark, sf, requests, with_alias=False) -> DataFrame:
-    return rank.tuned_features(lists(spark, sf, requests, with_alias), roles.AREAS)
+@stage
+def coverage(spark, sf, with_alias=False) -> DataFrame:
+    return diag.coverage(gold(spark, sf), tuned(spark, sf, with_alias), tuned_recs(spark, sf, with_alias), "sig", areas=roles.AREAS)
 
 
-def final(spark, sf, requests, with_semantic=True) -> DataFrame:
-    """All final features per (signature, candidate); in-area-or-all applied."""
-    counts = requests.groupBy("sig", "actor").agg(F.count("*").alias("queries"))
-    rows = rank.final_features(lists(spark, sf, requests), roles.AREAS).join(counts, "sig")
-    rows = rank.with_style(rows, rank.actor_profiles(requests))
-    rows = rank.with_semantic(rows, "queries") if with_semantic else rows.withColumn("semantic", F.lit(0.0))
-    return rank.area_or_all(rank.composite(rows), areas=roles.AREAS)
+@stage
+def final(spark, sf) -> DataFrame:
+    """All final features per (signature, candidate), before the area rule."""
+    counts = asked(spark, sf).groupBy("sig", "actor").agg(F.count("*").alias("queries"))
+    rows = rank.final_features(lists(spark, sf), roles.AREAS).join(counts, "sig")
+    rows = rank.with_style(rows, rank.actor_profiles(asked(spark, sf)))
+    return rank.composite(rank.with_semantic(rows, "queries"))

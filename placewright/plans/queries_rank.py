@@ -29,16 +29,15 @@ def frozen_pool(spark, sf):
 @query("variant_recommendations", """
 SELECT model, sig, rank, rec_name, rec_area, rec_type, round(base_score, 4) AS base_score, area_bonus, type_bonus, time_bonus, context_bonus, target_bonus, score FROM r_variants_ranked""")
 def variant_recommendations(spark, sf):
-    rows = pipe.variants(spark, sf, pipe.asked(spark, sf))
+    rows = pipe.variants(spark, sf)
     return rows.select("model", "sig", "rank", "rec_name", "rec_area", "rec_type", "base_score", "area_bonus", "type_bonus", "time_bonus", "context_bonus", "target_bonus", "score")
 
 
 @query("eval_detail", f"""WITH {metrics_sql('SELECT * FROM r_combined')}
 SELECT query_id, k, round(p, 6) AS precision_at_k, round(r, 6) AS recall_at_k, round(n, 6) AS ndcg_at_k, hits, total_relevant, ids AS matched_gold_ids FROM detail""")
 def eval_detail(spark, sf):
-    req = pipe.asked(spark, sf)
-    recs = pipe.variants(spark, sf, req, ["combined"])
-    rows = ev.evaluate(pipe.gold_with_sig(spark, sf, req), recs, list_col="sig", areas=roles.AREAS)
+    recs = pipe.variants(spark, sf, "combined")
+    rows = ev.evaluate(pipe.gold(spark, sf), recs, list_col="sig", areas=roles.AREAS)
     return rows.select("query_id", "k", *R6("precision_at_k", "recall_at_k", "ndcg_at_k"), "hits", "total_relevant", "matched_gold_ids")
 
 
@@ -48,9 +47,8 @@ f AS (SELECT model, {', '.join(f"max(CASE WHEN k = {k} THEN {c} END) AS {a}_{k}"
 SELECT model, {', '.join(f"round({a}_{k}, 6) AS {a}_{k}" for a in ('p', 'r', 'ndcg') for k in (1, 3, 5, 10))},
  round(0.35 * ndcg_10 + 0.25 * p_1 + 0.20 * p_3 + 0.10 * p_5 + 0.10 * r_10, 6) AS objective FROM f""")
 def model_comparison(spark, sf):
-    req = pipe.asked(spark, sf)
-    recs = pipe.variants(spark, sf, req)
-    rows = ev.evaluate(pipe.gold_with_sig(spark, sf, req), recs, list_col="sig", by="model", by_values=fv.MODEL_VARIANTS, areas=roles.AREAS)
+    recs = pipe.variants(spark, sf)
+    rows = ev.evaluate(pipe.gold(spark, sf), recs, list_col="sig", by="model", by_values=fv.MODEL_VARIANTS, areas=roles.AREAS)
     flat = ev.flatten_summary(ev.summarise(rows, ["model"])).withColumn("objective", ev.objective())
     return flat.select("model", *R6(*[c for c in flat.columns if c != "model"]))
 
@@ -58,13 +56,13 @@ def model_comparison(spark, sf):
 @query("tuned_features", """
 SELECT sig, raw_rank, area_bonus, round(type_bonus, 6) AS type_bonus, time_bonus, round(context_bonus, 6) AS context_bonus, target_bonus, rank_bonus FROM r_tuned""")
 def tuned_features(spark, sf):
-    rows = pipe.tuned(spark, sf, pipe.asked(spark, sf))
+    rows = pipe.tuned(spark, sf)
     return rows.select("sig", "raw_rank", "area_bonus", *R6("type_bonus"), "time_bonus", *R6("context_bonus"), "target_bonus", "rank_bonus")
 
 
 @query("tuned_rerank", "SELECT sig, rank, rec_name, rec_type, raw_rank, score FROM r_tuned_recs")
 def tuned_rerank(spark, sf):
-    rows = rank.rerank_tuned(pipe.tuned(spark, sf, pipe.asked(spark, sf)), fv.TUNED_REQUIRED[2], areas=roles.AREAS)
+    rows = pipe.tuned_recs(spark, sf)
     return rows.select("sig", "rank", "rec_name", "rec_type", "raw_rank", "score")
 
 
@@ -72,9 +70,8 @@ def tuned_rerank(spark, sf):
 t AS (SELECT d.*, split FROM detail d JOIN r_split USING (query_id) UNION ALL SELECT d.*, 'full' FROM detail d)
 SELECT split, k, round(avg(p), 6) AS precision_at_k, round(avg(r), 6) AS recall_at_k, round(avg(n), 6) AS ndcg_at_k, count(*) AS query_count FROM t GROUP BY split, k""")
 def split_evaluation(spark, sf):
-    req = pipe.asked(spark, sf)
-    recs = rank.rerank_tuned(pipe.tuned(spark, sf, req), fv.TUNED_REQUIRED[2], areas=roles.AREAS)
-    gold = pipe.gold_with_sig(spark, sf, req)
+    recs = pipe.tuned_recs(spark, sf)
+    gold = pipe.gold(spark, sf)
     rows = ev.evaluate(gold, recs, list_col="sig", areas=roles.AREAS)
     out = ev.split_summaries(rows, ev.train_split(gold))
     return out.select("split", "k", *R6("precision_at_k", "recall_at_k", "ndcg_at_k"), "query_count")
@@ -120,9 +117,8 @@ def _search_sql(tail):
 
 
 def _search(spark, sf):
-    req = pipe.asked(spark, sf)
-    features = pipe.tuned(spark, sf, req)
-    gold = pipe.gold_with_sig(spark, sf, req)
+    features = pipe.tuned(spark, sf)
+    gold = pipe.gold(spark, sf)
     trials = search.build_trials(spark, fv.TUNED_WEIGHTS, fv.TUNED_GRID, fv.TUNED_REQUIRED, "random", TRIALS)
     return search.search_weights(features, features, gold, ev.train_split(gold), trials, list_col="sig", areas=roles.AREAS)
 
@@ -150,11 +146,7 @@ def raw_coverage(spark, sf):
 
 
 def _coverage(spark, sf):
-    req = pipe.asked(spark, sf)
-    features = pipe.tuned(spark, sf, req)
-    recs = rank.rerank_tuned(features, fv.TUNED_REQUIRED[2], areas=roles.AREAS)
-    gold = pipe.gold_with_sig(spark, sf, req)
-    return diag.coverage(gold, features, recs, "sig", areas=roles.AREAS), recs, gold
+    return pipe.coverage(spark, sf), pipe.tuned_recs(spark, sf), pipe.gold(spark, sf)
 
 
 _H = fv.HIT_REASONS
@@ -224,12 +216,11 @@ SELECT feature_name, nz AS non_zero_count, round(nz / n::DOUBLE, 4) AS non_zero_
  CASE WHEN c > 0.05 THEN '{fv.CONTRIBUTION_COMMENTS[0]}' WHEN nz = 0 THEN '{fv.CONTRIBUTION_COMMENTS[1]}' ELSE '{fv.CONTRIBUTION_COMMENTS[2]}' END AS comment FROM s""")
 def feature_contribution(spark, sf):
     """Rows are (list row, hit or not) with the number of requests behind each."""
-    req = pipe.asked(spark, sf)
-    recs = rank.rerank_tuned(pipe.tuned(spark, sf, req), fv.TUNED_REQUIRED[2], areas=roles.AREAS)
-    gold = pipe.gold_with_sig(spark, sf, req)
+    recs = pipe.tuned_recs(spark, sf)
+    gold = pipe.gold(spark, sf)
     pairs = match.match_pairs(match.prepare_gold(gold, "sig", roles.AREAS), match.prepare_recs(recs, "sig", areas=roles.AREAS))
     hits = pairs.select("query_id", "list_id", "rank").distinct().groupBy(F.col("list_id").alias("sig"), "rank").agg(F.count("*").alias("hits"))
-    sizes = req.groupBy("sig").agg(F.count("*").alias("queries"))
+    sizes = pipe.asked(spark, sf).groupBy("sig").agg(F.count("*").alias("queries"))
     rows = recs.join(sizes, "sig").join(hits, ["sig", "rank"], "left").na.fill(0, ["hits"])
     both = rows.withColumn("_b", F.explode(F.array(F.struct(F.lit(1.0).alias("is_hit"), F.col("hits").alias("w")),
                                                    F.struct(F.lit(0.0).alias("is_hit"), (F.col("queries") - F.col("hits")).alias("w"))))).select("*", "_b.*").filter("w > 0")
