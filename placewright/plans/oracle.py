@@ -23,6 +23,11 @@ def first_of(text, rules, default):
     return "CASE " + " ".join(f"WHEN {any_of(text, ws)} THEN '{n}'" for n, ws in rules) + f" ELSE '{default}' END"
 
 
+def all_of(text, rules):
+    arms = ", ".join(f"CASE WHEN {any_of(text, ws)} THEN '{n}' END" for n, ws in rules)
+    return f"list_filter([{arms}], lambda x: x IS NOT NULL)"
+
+
 def case(col, table, other):
     return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + f" ELSE {other} END"
 

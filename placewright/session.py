@@ -26,6 +26,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # Test tables are tiny: keep all cores busy instead of filling partitions.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .getOrCreate()
     )
 
