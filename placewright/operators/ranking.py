@@ -56,6 +56,22 @@ def variant_features(rows: DataFrame, online: bool = False, areas=None) -> DataF
 
     The online form reads more request text than the frozen-pool form.
     """
+    if "_vtype" not in rows.columns:
+        rows = variant_request_side(rows, online, areas)
+    if "_vkind" not in rows.columns:
+        rows = variant_candidate_side(rows, areas)
+    out = rows.withColumns({
+        "area_bonus": F.expr("CASE WHEN _vq = _vc THEN 0.18D ELSE 0D END"),
+        "type_bonus": F.expr("CASE WHEN array_contains(_vtype, _vkind) THEN 0.15D WHEN _vkind = 'park' AND _vfamily THEN 0.10D ELSE 0D END"),
+        "time_bonus": time_table(F.col("_vhour"), F.col("_vkind"), fv.VARIANT_TIME_BONUS, {}),
+        "context_bonus": _word_bonus("_vkind", "_vcontext", fv.VARIANT_CONTEXT_BONUS),
+        "target_bonus": _word_bonus("_vkind", "_vtarget", fv.VARIANT_TARGET_BONUS)})
+    return out.drop("_vtype", "_vfamily", "_vcontext", "_vtarget", "_vq", "_vhour", "_vkind", "_vc")
+
+
+def variant_request_side(rows: DataFrame, online: bool = False, areas=None) -> DataFrame:
+    """Columns of the variants that read the request only: one row each, before
+    candidates are joined."""
     type_text = ["place_type", "target_group", "context_tags"]
     context_text = ["target_group", "context_tags"]
     if online:
@@ -64,17 +80,13 @@ def variant_features(rows: DataFrame, online: bool = False, areas=None) -> DataF
     have = lambda cols: [c for c in cols if c in rows.columns]
     # The online rule list lacks one senior word that the frozen one has.
     rules = [(k, [w for w in ws if not (online and k == "senior_friendly" and w == "노년")]) for k, ws in fv.EXPECTED_TYPE_RULES]
-    named = rows.withColumns({"_kind": clean("rec_type"), "_type": join_context(*have(type_text)), "_context": join_context(*have(context_text)),
-                              "_target": clean("target_group"), "_own": clean("place_type"), "_q": norm_area("area", areas),
-                              "_c": norm_area("rec_area", areas), "_hour": hour_of("time")})
-    named = named.withColumn("_expected", _rule_set("_type", rules))
-    return named.withColumns({
-        "area_bonus": F.expr("CASE WHEN _q = _c THEN 0.18D ELSE 0D END"),
-        "type_bonus": F.expr(f"CASE WHEN array_contains(_expected, _kind) THEN 0.15D WHEN _kind = 'park' AND _own RLIKE {_words(['체육', '어린이', '가족'])} THEN 0.10D ELSE 0D END"),
-        "time_bonus": time_table(F.col("_hour"), F.col("_kind"), fv.VARIANT_TIME_BONUS, {}),
-        "context_bonus": _word_bonus("_kind", "_context", fv.VARIANT_CONTEXT_BONUS),
-        "target_bonus": _word_bonus("_kind", "_target", fv.VARIANT_TARGET_BONUS)}).drop(
-        "_kind", "_type", "_context", "_target", "_own", "_q", "_c", "_hour", "_expected")
+    named = rows.withColumns({"_text": join_context(*have(type_text)), "_own": clean("place_type"), "_vcontext": join_context(*have(context_text)),
+                              "_vtarget": clean("target_group"), "_vq": norm_area("area", areas), "_vhour": hour_of("time")})
+    return named.withColumns({"_vtype": _rule_set("_text", rules), "_vfamily": F.expr(f"_own RLIKE {_words(['체육', '어린이', '가족'])}")}).drop("_text", "_own")
+
+
+def variant_candidate_side(rows: DataFrame, areas=None) -> DataFrame:
+    return rows.withColumns({"_vkind": clean("rec_type"), "_vc": norm_area("rec_area", areas)})
 
 
 def in_area(rows: DataFrame, key: str, areas=None) -> DataFrame:
@@ -126,24 +138,35 @@ def context_tag_score(tags: Column, candidate_key: Column, area_key: Column) ->
 
 def tuned_features(rows: DataFrame, areas=None) -> DataFrame:
     """Six normalised features; names match the tuned weights."""
-    text = lambda *cols: place_key(join_context(*[c for c in cols if c in rows.columns]))
+    if "_asked" not in rows.columns:
+        rows = tuned_request_side(rows, areas)
+    if "_kind" not in rows.columns:
+        rows = tuned_candidate_side(rows, areas)
     named = rows.withColumns({
-        "_kind": code_type("rec_type"), "_ask": text("place_type", "target_group", "context_tags"), "_mean": text("context_tags", "target_group"),
-        "_own": text("rec_name", "rec_area", "rec_type", "place_id", "candidate_source"), "_akey": place_key("area"), "_target": place_key("target_group"),
-        "_tags": split_tokens("context_tags"), "_hour": hour_of("time"), "_q": standard_area("area", fv.RANK_LANDMARK_AREAS, areas),
-        "_c": standard_area("rec_area", fv.RANK_LANDMARK_AREAS, areas)})
-    named = named.withColumns({"_asked": categories("_ask", fv.TUNED_CATEGORY_WORDS), "_meant": categories("_mean", fv.TUNED_CATEGORY_WORDS)})
-    named = named.withColumns({
         "_listed": context_tag_score(F.col("_tags"), F.col("_own"), F.col("_akey")), "_related": relatedness("_meant", "_kind", fv.TUNED_RELATEDNESS),
         "_goal": _word_bonus("_kind", "_target", fv.TUNED_TARGET)})
-    return named.withColumns({
+    out = named.withColumns({
         "area_bonus": F.expr("CASE WHEN _q <> '' AND _c <> '' AND _q = _c THEN 1D ELSE 0D END"),
         "type_bonus": relatedness("_asked", "_kind", fv.TUNED_RELATEDNESS),
         "time_bonus": time_table(F.col("_hour"), F.col("_kind"), fv.TUNED_TIME_TABLE, fv.TUNED_TIME_OTHER),
         "context_bonus": F.expr("CASE WHEN size(_tags) = 0 THEN 0D ELSE least(_listed + CASE WHEN array_contains(_meant, _kind) THEN 0.35D WHEN _related > 0 THEN 0.12D ELSE 0D END, 1D) END"),
         "target_bonus": F.expr("CASE WHEN _goal > 0 THEN _goal WHEN contains(_target, '일반시민') THEN 0.25D ELSE 0D END"),
-        "rank_bonus": F.expr("coalesce(round(1D - (least(greatest(cast(raw_rank AS double), 1D), 50D) - 1D) / 49D, 6), 0D)")}).drop(
-        "_kind", "_ask", "_mean", "_own", "_akey", "_target", "_tags", "_hour", "_q", "_c", "_asked", "_meant", "_listed", "_related", "_goal")
+        "rank_bonus": F.expr("coalesce(round(1D - (least(greatest(cast(raw_rank AS double), 1D), 50D) - 1D) / 49D, 6), 0D)")})
+    return out.drop("_kind", "_own", "_akey", "_target", "_tags", "_hour", "_q", "_c", "_asked", "_meant", "_listed", "_related", "_goal")
+
+
+def tuned_request_side(rows: DataFrame, areas=None) -> DataFrame:
+    text = lambda *cols: place_key(join_context(*[c for c in cols if c in rows.columns]))
+    named = rows.withColumns({
+        "_ask": text("place_type", "target_group", "context_tags"), "_mean": text("context_tags", "target_group"), "_akey": place_key("area"),
+        "_target": place_key("target_group"), "_tags": split_tokens("context_tags"), "_hour": hour_of("time"),
+        "_q": standard_area("area", fv.RANK_LANDMARK_AREAS, areas)})
+    return named.withColumns({"_asked": categories("_ask", fv.TUNED_CATEGORY_WORDS), "_meant": categories("_mean", fv.TUNED_CATEGORY_WORDS)}).drop("_ask", "_mean")
+
+
+def tuned_candidate_side(rows: DataFrame, areas=None) -> DataFrame:
+    own = place_key(join_context(*[c for c in ("rec_name", "rec_area", "rec_type", "place_id", "candidate_source") if c in rows.columns]))
+    return rows.withColumns({"_kind": code_type("rec_type"), "_own": own, "_c": standard_area("rec_area", fv.RANK_LANDMARK_AREAS, areas)})
 
 
 TUNED_FEATURES = ["base_score", "area_bonus", "type_bonus", "time_bonus", "context_bonus", "target_bonus", "rank_bonus"]
@@ -166,20 +189,12 @@ def rerank_tuned(rows: DataFrame, weights, k: int = 10, key="sig", areas=None) -
 # --- final features -----------------------------------------------------------
 def final_features(rows: DataFrame, areas=None, key="sig") -> DataFrame:
     """Thirteen expression features; style and semantic are joined separately."""
-    have = lambda *cols: [c for c in cols if c in rows.columns]
-    text = lambda *cols: place_key(join_context(*have(*cols)))
-    key_of = lambda t: F.regexp_replace(F.lower(t), fv.KEY_DROP_PATTERN, "")
-    named = rows.withColumns({
-        "_kind": code_type("rec_type"), "_bucket": time_bucket6("time"), "_q": F.coalesce(norm_area("area", areas), clean("area")),
-        "_c": F.coalesce(norm_area("rec_area", areas), clean("rec_area")), "_ask": text("place_type", "activity_type", "target_group", "context_tags", "evaluation_context"),
-        "_mean": text("place_type", "activity_type", "target_group", "context_tags"), "_goal": F.concat(place_key("target_group"), place_key("context_tags")),
-        "_work": text("target_group", "context_tags"), "_name": place_key("rec_name"), "_source": place_key("candidate_source"),
-        "_welfare": text("place_type", "activity_type", "context_tags"), "_own": text("rec_type", "candidate_source"),
-        "_tags": F.array_distinct(F.transform(split_tokens("context_tags"), key_of)), "_rkey": place_key("rec_type"), "_akey": place_key("rec_area")})
-    named = named.withColumns({"_asked": categories("_ask", fv.FINAL_CATEGORY_WORDS), "_meant": categories("_mean", fv.FINAL_CATEGORY_WORDS),
-                               "_ownc": categories("_own", fv.FINAL_CATEGORY_WORDS), "_fit": _word_bonus("_kind", "_goal", fv.FINAL_TARGET)})
-    named = named.withColumns({"_related": relatedness("_meant", "_kind", fv.FINAL_RELATEDNESS),
-                               "_overlap": overlap_ratio(F.col("_tags"), F.concat(F.array("_rkey", "_source", "_akey"), F.col("_ownc")))})
+    if "_asked" not in rows.columns:
+        rows = final_request_side(rows, areas)
+    if "_kind" not in rows.columns:
+        rows = final_candidate_side(rows, areas)
+    named = rows.withColumns({"_fit": _word_bonus("_kind", "_goal", fv.FINAL_TARGET), "_related": relatedness("_meant", "_kind", fv.FINAL_RELATEDNESS),
+                              "_overlap": overlap_ratio(F.col("_tags"), F.col("_ownc"))})
     kind, bucket = F.col("_kind"), F.col("_bucket")
     slot_table = {f"{b}>{k}": v for b, t in fv.FINAL_TIME_TABLE.items() for k, v in t.items()}
     footfall = F.least(F.lit(1.0), F.lit(0.55) * F.col("base_score") + F.lit(0.25) * lookup(kind, fv.FOOTFALL_TYPE, fv.FOOTFALL_TYPE_OTHER)
@@ -199,8 +214,27 @@ def final_features(rows: DataFrame, areas=None, key="sig") -> DataFrame:
         "context_match": F.expr("least(1D, 0.75D * _related + 0.25D * _overlap)"),
         "rank_score": F.expr("greatest(0D, 1D - (cast(raw_rank AS double) - 1D) / 99D)"),
         "diversity": F.lit(1.0) / F.greatest(sizes, F.lit(1)).cast("double")})
-    return out.drop("_kind", "_bucket", "_q", "_c", "_ask", "_mean", "_goal", "_work", "_name", "_source", "_welfare", "_own", "_tags", "_rkey", "_akey", "_asked",
-                    "_meant", "_ownc", "_fit", "_related", "_overlap")
+    return out.drop("_kind", "_bucket", "_q", "_c", "_goal", "_work", "_name", "_source", "_welfare", "_tags", "_asked", "_meant", "_ownc", "_fit", "_related", "_overlap")
+
+
+def final_request_side(rows: DataFrame, areas=None) -> DataFrame:
+    text = lambda *cols: place_key(join_context(*[c for c in cols if c in rows.columns]))
+    key_of = lambda t: F.regexp_replace(F.lower(t), fv.KEY_DROP_PATTERN, "")
+    named = rows.withColumns({
+        "_bucket": time_bucket6("time"), "_q": F.coalesce(norm_area("area", areas), clean("area")),
+        "_ask": text("place_type", "activity_type", "target_group", "context_tags", "evaluation_context"),
+        "_mean": text("place_type", "activity_type", "target_group", "context_tags"), "_goal": F.concat(place_key("target_group"), place_key("context_tags")),
+        "_work": text("target_group", "context_tags"), "_welfare": text("place_type", "activity_type", "context_tags"),
+        "_tags": F.array_distinct(F.transform(split_tokens("context_tags"), key_of))})
+    return named.withColumns({"_asked": categories("_ask", fv.FINAL_CATEGORY_WORDS), "_meant": categories("_mean", fv.FINAL_CATEGORY_WORDS)}).drop("_ask", "_mean")
+
+
+def final_candidate_side(rows: DataFrame, areas=None) -> DataFrame:
+    named = rows.withColumns({
+        "_kind": code_type("rec_type"), "_c": F.coalesce(norm_area("rec_area", areas), clean("rec_area")), "_name": place_key("rec_name"),
+        "_source": place_key("candidate_source"), "_own": place_key(join_context("rec_type", "candidate_source"))})
+    own = F.concat(F.array(place_key("rec_type"), F.col("_source"), place_key("rec_area")), categories("_own", fv.FINAL_CATEGORY_WORDS))
+    return named.withColumn("_ownc", own).drop("_own")
 
 
 def composite(rows: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def unified_pool(frames, areas=None) -> DataFrame:
 def source_matrix(pool: DataFrame, sources, areas: DataFrame) -> DataFrame:
     """Per area: rows per source, distinct real places, fallback flag."""
     rows = pool.filter("not is_fallback")
-    counts = rows.groupBy("area").pivot("source", list(sources)).agg(F.count("*"))
+    counts = rows.groupBy("area").pivot("source", list(sources)).agg(F.count(F.lit(1)))
     real = rows.select("area", "identity").distinct().groupBy("area").agg(F.count("*").alias("total_real_count"))
     out = areas.join(counts, "area", "left").join(real, "area", "left").na.fill(0)
     return out.withColumn("fallback_needed", F.col("total_real_count") <= 0)

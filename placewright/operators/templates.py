@@ -116,10 +116,15 @@ def greedy_routes(lists: DataFrame) -> DataFrame:
     for i in range(1, SLOTS + 1):
         used = F.array(*[F.col(f"c{j}.name") for j in range(1, i)]) if i > 1 else F.array().cast("array<string>")
         previous = F.col(f"c{i - 1}.area") if i > 1 else F.lit("")
-        fresh = F.filter(f"s{i}", lambda c, u=used: ~F.array_contains(u, c["name"]))
-        options = F.when(F.size(fresh) > 0, fresh).otherwise(F.col(f"s{i}"))
-        ranked = F.transform(options, lambda c, p=previous: F.struct(
-            (-F.greatest(F.lit(0.0), c["score"] - _moved(p, c["area"]))).alias("n"), (-c["score"]).alias("b"), c["name"].alias("nm"), c.alias("c")))
-        rows = rows.withColumn(f"c{i}", F.array_min(ranked)["c"])
+        best = _best_option(F.col(f"s{i}"), used, previous)
+        rows = rows.withColumn(f"c{i}", best)
         rows = rows.withColumn(f"a{i}", F.round(F.greatest(F.lit(0.0), F.col(f"c{i}.score") - _moved(previous, F.col(f"c{i}.area"))), 4))
     return rows
+
+
+def _best_option(items: Column, used: Column, previous: Column) -> Column:
+    fresh = F.filter(items, lambda c: ~F.array_contains(used, c["name"]))
+    options = F.when(F.size(fresh) > 0, fresh).otherwise(items)
+    ranked = F.transform(options, lambda c: F.struct(
+        (-F.greatest(F.lit(0.0), c["score"] - _moved(previous, c["area"]))).alias("n"), (-c["score"]).alias("b"), c["name"].alias("nm"), c.alias("c")))
+    return F.array_min(ranked)["c"]

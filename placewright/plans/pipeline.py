@@ -66,7 +66,11 @@ def frozen(spark, sf, with_alias=False) -> DataFrame:
 
 @stage
 def lists(spark, sf, with_alias=False) -> DataFrame:
-    """(signature, candidate) rows, at most 50 per signature."""
+    """(signature, candidate) rows, at most 50 per signature.
+
+    Feature stages below compute request columns per signature and candidate
+    columns per frozen row, before the two are joined.
+    """
     return rank.signature_candidates(rank.signatures(asked(spark, sf)), frozen(spark, sf, with_alias))
 
 
@@ -78,13 +82,17 @@ def gold(spark, sf) -> DataFrame:
 
 @stage
 def variants(spark, sf, *models) -> DataFrame:
-    rows = rank.variant_features(lists(spark, sf), areas=roles.AREAS)
+    asks = rank.variant_request_side(rank.signatures(asked(spark, sf)), areas=roles.AREAS)
+    rows = rank.signature_candidates(asks, rank.variant_candidate_side(frozen(spark, sf), roles.AREAS))
+    rows = rank.variant_features(rows, areas=roles.AREAS)
     return rank.rerank_variants(rows, list(models) or None, areas=roles.AREAS)
 
 
 @stage
 def tuned(spark, sf, with_alias=False) -> DataFrame:
-    return rank.tuned_features(lists(spark, sf, with_alias), roles.AREAS)
+    asks = rank.tuned_request_side(rank.signatures(asked(spark, sf)), roles.AREAS)
+    rows = rank.signature_candidates(asks, rank.tuned_candidate_side(frozen(spark, sf, with_alias), roles.AREAS))
+    return rank.tuned_features(rows, roles.AREAS)
 
 
 @stage
@@ -100,7 +108,10 @@ def coverage(spark, sf, with_alias=False) -> DataFrame:
 @stage
 def final(spark, sf) -> DataFrame:
     """All final features per (signature, candidate), before the area rule."""
-    counts = asked(spark, sf).groupBy("sig", "actor").agg(F.count("*").alias("queries"))
-    rows = rank.final_features(lists(spark, sf), roles.AREAS).join(counts, "sig")
+    cols = [c for c in rank.SIGNATURE if c in asked(spark, sf).columns]
+    counts = asked(spark, sf).groupBy("sig", "actor", *cols).agg(F.count("*").alias("queries"))
+    asks = rank.final_request_side(counts, roles.AREAS)
+    rows = rank.signature_candidates(asks, rank.final_candidate_side(frozen(spark, sf), roles.AREAS))
+    rows = rank.final_features(rows, roles.AREAS)
     rows = rank.with_style(rows, rank.actor_profiles(asked(spark, sf)))
     return rank.composite(rank.with_semantic(rows, "queries"))

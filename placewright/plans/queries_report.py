@@ -21,11 +21,11 @@ def _final_recs(spark, sf, weight=0.0):
     return rank.diverse_rerank(rows, ("sig",), 10, weight)
 
 
-@query("final_rerank", f"""SELECT sig, raw_rank, row_number() OVER (PARTITION BY sig ORDER BY s DESC, base_score DESC, raw_rank) AS rank, round(s, 4) AS score FROM (
+@query("final_rerank", f"""SELECT sig, raw_rank, row_number() OVER (PARTITION BY sig ORDER BY s DESC, base_score DESC, raw_rank) AS rank, round(s, 6) AS score FROM (
  SELECT *, {FINAL_SCORE(_CTXW)} AS s FROM r_final) QUALIFY rank <= 10""")
 def final_rerank(spark, sf):
     """Diversity weight 0: the greedy form must equal the plain top k."""
-    return _final_recs(spark, sf).select("sig", "raw_rank", "rank", *R4("score"))
+    return _final_recs(spark, sf).select("sig", "raw_rank", "rank", "score")
 
 
 @query("diverse_rerank")

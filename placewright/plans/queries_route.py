@@ -1,5 +1,141 @@
-"""Registered queries."""
+"""Day routes, templates, coordinates and stored-query choice."""
 
 from __future__ import annotations
 
+from placewright.functions import text as tf
+from placewright.plans.oracle import CTE, build, share
 from placewright.plans.queries import *  # noqa: F403
+
+ROUTE_KINDS = {"subway": ("subway_csv", "교통거점"), "market": ("market_csv", "전통시장"), "park": ("park_csv", "공원"), "senior_friendly": ("welfare_csv", "복지시설")}
+
+
+@pipe.stage
+def _pool(spark, sf):
+    t = {k: d.withColumnRenamed("name", "place_name") for k, d in roles.place_tables(spark, sf).items()}
+    measure = {"subway": F.col("morning_in") + F.col("afternoon_in"), "market": F.col("store_count") + F.col("floor_area") / 100.0, "park": F.col("area_sqm"), "senior_friendly": None}
+    sources = {src: (t[k].withColumnsRenamed({"latitude": "lat", "longitude": "lng"}), kind, measure[k]) for k, (src, kind) in ROUTE_KINDS.items()}
+    return routes.unified_pool([routes.public_pool(sources, "City")], roles.AREAS)
+
+
+_top = lambda x: f"max({x}) OVER ()"
+CTE["r_routepool"] = f"""
+SELECT * FROM (
+ SELECT name, area, '교통거점' AS place_type, 'subway_csv' AS source, 0.92 + 0.35 * ({share('m', 't')}) AS score FROM (SELECT *, {_top('m')} AS t FROM (
+   SELECT *, (pk * 37 % 1000)::DOUBLE + (pk * 53 % 1000 + size)::DOUBLE AS m FROM r_places WHERE kind = 'subway' AND pk % 2 = (SELECT max(pk % 2) FROM r_places WHERE kind = 'subway')
+   QUALIFY row_number() OVER (PARTITION BY name ORDER BY area, place_id) = 1))
+ UNION ALL SELECT name, area, '전통시장', 'market_csv', 0.90 + 0.30 * ({share('m', 't')}) FROM (SELECT *, {_top('m')} AS t FROM (SELECT *, size::DOUBLE + price / 100.0 AS m FROM r_places WHERE kind = 'market'))
+ UNION ALL SELECT name, area, '공원', 'park_csv', 0.86 + 0.28 * ({share('m', 't')}) FROM (SELECT *, {_top('m')} AS t FROM (SELECT *, (size * size * 10)::DOUBLE AS m FROM r_places WHERE kind = 'park'))
+ UNION ALL SELECT name, area, '복지시설', 'welfare_csv', 0.88 FROM r_places WHERE kind = 'senior_friendly')
+QUALIFY row_number() OVER (PARTITION BY replace(name, ' ', ''), area, place_type ORDER BY score DESC, name, source) = 1"""
+CTE["r_routes"] = """
+SELECT c_custkey AS route_id, ['Brand#' || (c_nationkey + 1), 'Brand#' || ((c_nationkey + 1) % 25 + 1)] AS areas, (1 + c_custkey % 8)::INT AS n FROM customer"""
+
+
+@pipe.stage
+def _requests(spark, sf):
+    """Every customer asks for a day route in two areas."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    brand = lambda x: F.concat(F.lit("Brand#"), x.cast("string"))
+    rows = roles.table(spark, sf, "customer").select(
+        k.alias("route_id"), F.expr("cast(date_add(DATE '2024-01-25', cast(c_custkey % 10 AS int)) AS string)").alias("date"), F.lit("09:00").alias("start_time"),
+        F.lit("18:30").alias("end_time"), F.lit("").alias("start_location"), F.array(brand(n + 1), brand((n + 1) % 25 + 1)).alias("areas"),
+        roles.pick(F.col("c_mktsegment"), {"AUTOMOBILE": "직장인", "BUILDING": "지역주민", "FURNITURE": "상인", "HOUSEHOLD": "노년층"}, "청년").alias("target_group"),
+        roles.pick(k % 3, {0: "퇴근인사", 1: "시장방문"}, "공원방문").alias("goal"),
+        F.when(k % 2 == 0, F.array(F.lit("market"), F.lit("park"))).otherwise(F.array(F.lit("subway"))).alias("preferred_types"),
+        (F.lit(1) + k % 8).cast("int").alias("num_visits"), (k % 5 != 0).alias("avoid_duplicates"))
+    return routes.parse_requests(rows, roles.AREAS)
+
+
+@query("route_pool", "SELECT name AS place_name, area, place_type, source, round(score, 6) AS score FROM r_routepool")
+def route_pool(spark, sf):
+    return _pool(spark, sf).select("place_name", "area", "place_type", "source", *R6("score"))
+
+
+@query("source_matrix", """SELECT a.area, coalesce(subway_csv, 0) AS subway_csv, coalesce(market_csv, 0) AS market_csv, coalesce(park_csv, 0) AS park_csv, coalesce(welfare_csv, 0) AS welfare_csv,
+ coalesce(n, 0) AS total_real_count, coalesce(n, 0) <= 0 AS fallback_needed FROM (SELECT DISTINCT p_brand AS area FROM part) a LEFT JOIN (SELECT area,
+ count_if(source = 'subway_csv') AS subway_csv, count_if(source = 'market_csv') AS market_csv, count_if(source = 'park_csv') AS park_csv, count_if(source = 'welfare_csv') AS welfare_csv,
+ count(*) AS n FROM r_routepool GROUP BY area) USING (area)""")
+def source_matrix(spark, sf):
+    areas = roles.places(spark, sf).select("area").distinct()
+    return routes.source_matrix(_pool(spark, sf), [s for s, _ in ROUTE_KINDS.values()], areas)
+
+
+@query("round_robin", """
+WITH h AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY score DESC, name, place_type) AS turn FROM r_routepool),
+ c AS (SELECT route_id, n, turn, list_position(areas, h.area) AS ap, h.name, h.area, h.place_type FROM r_routes JOIN h ON list_contains(areas, h.area) AND turn <= n)
+SELECT route_id, row_number() OVER (PARTITION BY route_id ORDER BY turn, ap) AS pos, name AS place_name, area, place_type FROM c QUALIFY pos <= n""")
+def round_robin(spark, sf):
+    return routes.route_candidates(_requests(spark, sf), _pool(spark, sf), None, roles.AREAS).filter("not is_fallback").select("route_id", "pos", "place_name", "area", "place_type")
+
+
+def _stops(spark, sf):
+    req = _requests(spark, sf)
+    found = routes.route_candidates(req, _pool(spark, sf), None, roles.AREAS)
+    visits = roles.visits(spark, sf).withColumn("place_name", F.concat(F.lit("blue "), F.element_at(F.split("place_name", " "), -1)))
+    return req, found, routes.build_routes(req, found, visits, roles.AREAS, roles.ADJACENCY)
+
+
+@query("route_build")
+def route_build(spark, sf):
+    return _stops(spark, sf)[2].drop("address", "lat", "lng")
+
+
+@query("route_summary")
+def route_summary(spark, sf):
+    req, _, stops = _stops(spark, sf)
+    return routes.route_summary(req, stops)
+
+
+@query("route_debug")
+def route_debug(spark, sf):
+    req, found, _ = _stops(spark, sf)
+    return routes.candidate_debug(req, _pool(spark, sf), found)
+
+
+@query("route_swaps")
+def route_swaps(spark, sf):
+    return routes.swap_options(_stops(spark, sf)[2], _pool(spark, sf))
+
+
+@query("route_distance", """
+WITH v AS (SELECT area, pk, latitude AS lat, longitude AS lng FROM r_places WHERE latitude BETWEEN 37.0 AND 38.0 AND longitude BETWEEN 126.0 AND 128.0),
+ l AS (SELECT *, lag(lat) OVER (PARTITION BY area ORDER BY pk) AS a, lag(lng) OVER (PARTITION BY area ORDER BY pk) AS b FROM v),
+ d AS (SELECT area, CASE WHEN a IS NOT NULL THEN 2 * 6371.0 * atan2(sqrt(h), sqrt(1.0 - h)) END AS km FROM (SELECT *, pow(sin(radians(lat - a) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * pow(sin(radians(lng - b) / 2), 2) AS h FROM l)),
+ s AS (SELECT area, sum(km) AS km, count(km) AS legs FROM d GROUP BY area), n AS (SELECT area, count(*) AS stops FROM r_places GROUP BY area), m AS (SELECT area, count(*) AS ok FROM v GROUP BY area)
+SELECT area, round(km, 2) AS total_km, legs, stops, stops - ok AS missing_coordinates FROM s JOIN n USING (area) JOIN m USING (area)""")
+def route_distance(spark, sf):
+    stops = roles.places(spark, sf).select(F.col("area").alias("route_id"), F.col("pk").alias("order"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
+    rows = coords.route_distance(stops)
+    return rows.select(F.col("route_id").alias("area"), F.round("total_km", 2).alias("total_km"), "legs", "stops", "missing_coordinates")
+
+
+@query("coordinate_sources", """
+WITH k AS (SELECT DISTINCT area, name FROM r_places WHERE kind = 'park' AND latitude BETWEEN 37.0 AND 38.0 AND longitude BETWEEN 126.0 AND 128.0),
+ s AS (SELECT DISTINCT area, name FROM r_places WHERE kind = 'market' AND latitude BETWEEN 37.0 AND 38.0 AND longitude BETWEEN 126.0 AND 128.0)
+SELECT CASE WHEN p.pk % 3 = 0 AND latitude BETWEEN 37.0 AND 38.0 AND longitude BETWEEN 126.0 AND 128.0 THEN 'original' WHEN k.name IS NOT NULL THEN 'known_seoul_coordinates' WHEN s.name IS NOT NULL THEN 'static'
+ ELSE 'missing' END AS coordinate_source, count(*) AS rows FROM r_places p LEFT JOIN k USING (area, name) LEFT JOIN s USING (area, name) GROUP BY 1""")
+def coordinate_sources(spark, sf):
+    p = roles.places(spark, sf)
+    index = lambda k: p.filter(F.col("kind") == k).select("area", tf.place_key("name").alias("key"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
+    own = F.col("pk") % 3 == 0
+    stops = p.select("area", F.col("name").alias("place_name"), F.when(own, F.col("latitude")).alias("lat"), F.when(own, F.col("longitude")).alias("lng"))
+    return coords.resolve(stops, index("park"), index("market")).groupBy("coordinate_source").agg(F.count("*").alias("rows"))
+
+
+@query("template_routes")
+def template_routes(spark, sf):
+    rows = templates.best_template_routes(pipe.scored(spark, sf))
+    return rows.select("age_group", "template", *[F.col(f"c{i}.name").alias(f"stop_{i}") for i in range(1, 5)], "route_score", *R6("mean_place_score", "average_interaction"))
+
+
+@query("choose_query")
+def choose_query(spark, sf):
+    asks = _requests(spark, sf).select(F.col("route_id").alias("request_id"), "areas", F.col("target_group").alias("target"), F.lit("시장").alias("purpose"), F.col("start_time").alias("time"))
+    return routes.choose_query(asks, roles.requests(spark, sf), roles.AREAS)
+
+
+@query("broadened_lists")
+def broadened_lists(spark, sf):
+    recs = pipe.tuned_recs(spark, sf).filter("rank <= 3").select(F.col("sig").alias("list_id"), F.col("rec_area").alias("area"), F.col("place_id").alias("item_id"), "score", "rank")
+    p = roles.places(spark, sf).select("area", F.col("place_id").alias("item_id"), (F.col("price") / 10000.0).alias("score"))
+    return routes.broaden(recs, p.filter("cast(item_id AS int) % 2 = 0"), p.filter("cast(item_id AS int) % 2 = 1"))
