@@ -109,6 +109,9 @@ def parse_requests(df: DataFrame, areas=None) -> DataFrame:
     d = fv.ROUTE_DEFAULTS
     fill = lambda c: F.coalesce(F.nullif(clean(c), F.lit("")), F.lit(d[c])) if c in df.columns else F.lit(d[c])
     rows = df.withColumns({c: fill(c) for c in d})
+    for c, kind in (("areas", "array<string>"), ("preferred_types", "array<string>"), ("num_visits", "int")):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
     names = F.array_distinct(F.array_compact(F.transform(F.coalesce("areas", F.array().cast("array<string>")), lambda a: norm_area(a, areas))))
     first = F.get(names, F.lit(0))
     begin = start_area("start_location", areas)
