@@ -64,7 +64,9 @@ def hit_analysis(covered: DataFrame, recs: DataFrame, list_col="query_id") -> Da
 def failure_cases(covered: DataFrame, recs: DataFrame, list_col="query_id") -> DataFrame:
     """Failure class per gold row from its ranks and the top row's features."""
     top = recs.filter("rank = 1").select(list_col, F.col("rec_name").alias("recommended_top1"), F.col("rec_type").alias("top1_type"),
-                                         "type_match", "time_match", "composite")
+                                         "type_match", "time_match", *[c for c in ["composite"] if c in recs.columns])
+    if "composite" not in top.columns:
+        top = top.withColumn("composite", F.lit(0.0))
     rows = covered.join(top, list_col, "left")
     kind = (F.when(F.col("in_top10"), "hit").when(~F.col("in_raw_top50"), "candidate_generation_gap")
             .when(F.col("type_match") < 0.5, "place_type_mismatch").when(F.col("time_match") < 0.5, "time_context_mismatch")

@@ -106,12 +106,17 @@ def coverage(spark, sf, with_alias=False) -> DataFrame:
 
 
 @stage
-def final(spark, sf) -> DataFrame:
-    """All final features per (signature, candidate), before the area rule."""
+def final_base(spark, sf) -> DataFrame:
+    """Final features without text similarity, before the area rule."""
     cols = [c for c in rank.SIGNATURE if c in asked(spark, sf).columns]
     counts = asked(spark, sf).groupBy("sig", "actor", *cols).agg(F.count("*").alias("queries"))
     asks = rank.final_request_side(counts, roles.AREAS)
     rows = rank.signature_candidates(asks, rank.final_candidate_side(frozen(spark, sf), roles.AREAS))
     rows = rank.final_features(rows, roles.AREAS)
-    rows = rank.with_style(rows, rank.actor_profiles(asked(spark, sf)))
-    return rank.composite(rank.with_semantic(rows, "queries"))
+    return rank.with_style(rows, rank.actor_profiles(asked(spark, sf)))
+
+
+@stage
+def final(spark, sf) -> DataFrame:
+    """All final features, with text similarity and the composite."""
+    return rank.composite(rank.with_semantic(final_base(spark, sf), "queries"))

@@ -10,14 +10,14 @@ _FF = ["area_match", "type_match", "time_match", "target_match", "footfall", "wo
 
 @query("final_features", f"SELECT sig, raw_rank, {', '.join(f'round({c}, 6) AS {c}' for c in _FF)} FROM r_final")
 def final_features(spark, sf):
-    return pipe.final(spark, sf).select("sig", "raw_rank", *R6(*_FF))
+    return pipe.final_base(spark, sf).select("sig", "raw_rank", *R6(*_FF))
 
 
 _CTXW = fv.FINAL_MODEL_WEIGHTS["profile"]
 
 
 def _final_recs(spark, sf, weight=0.0):
-    rows = rank.area_or_all(pipe.final(spark, sf), areas=roles.AREAS).withColumn("base_final", rank.final_score(_CTXW))
+    rows = rank.area_or_all(pipe.final_base(spark, sf), areas=roles.AREAS).withColumn("base_final", rank.final_score(_CTXW))
     return rank.diverse_rerank(rows, ("sig",), 10, weight)
 
 
@@ -55,6 +55,11 @@ def failure_classes(spark, sf):
     return diag.failure_cases(covered, recs, "sig").groupBy("failure_category").agg(F.count("*").alias("rows"))
 
 
+@query("semantic_similarity")
+def semantic_similarity(spark, sf):
+    return pipe.final(spark, sf).select("sig", "raw_rank", *R6("semantic", "composite"))
+
+
 @query("actor_profile", "SELECT actor, dim, key, round(p, 6) AS p FROM r_profile")
 def actor_profile(spark, sf):
     return rank.actor_profiles(pipe.asked(spark, sf)).select("actor", "dim", "key", *R6("p"))
