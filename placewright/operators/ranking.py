@@ -15,6 +15,7 @@ from placewright.functions.numbers import clamp01, overlap_ratio
 from placewright.functions.text import clean, code_type, join_context, lit_array, lookup, place_key, split_tokens, sql_lit
 from placewright.functions.times import hour_of, time_bucket6, time_table
 from placewright.operators.shaping import first_per
+from placewright.session import cut_lineage
 
 SIGNATURE = ["pool_id", "area", "time", "place_type", "activity_type", "target_group", "context_tags"]
 
@@ -415,7 +416,8 @@ def with_semantic(rows: DataFrame, copies: str | None = None) -> DataFrame:
     rows = rows.withColumn("_own", place_key(join_context("rec_type", "candidate_source")))
     derived = F.array_join(F.array_sort(categories("_own", fv.FINAL_CATEGORY_WORDS)), ";")
     own = F.concat_ws(" ", clean("rec_type"), clean("candidate_source"), clean("rec_area"), derived, time_bucket6("time"))
-    told = rows.withColumns({"left_doc": ask, "right_doc": own}).drop("_own")
+    # Read eight times below: cut here, so that the features are computed once.
+    told = cut_lineage(rows.withColumns({"left_doc": ask, "right_doc": own}).drop("_own"))
     weight = F.col(copies) if copies else F.lit(1)
     count = lambda c: told.groupBy(F.col(c).alias("doc")).agg(F.sum(weight).alias("copies")).withColumn("tokens", document_tokens("doc"))
     asks, owns = count("left_doc"), count("right_doc")

@@ -157,16 +157,19 @@ def trial_weights(trials: DataFrame, results: DataFrame, names, metric="objectiv
 
 
 # --- final model search ---------------------------------------------------------
-def final_picks(cands: Column, weights, diversity: Column, k: int) -> Column:
-    """Greedy diverse top k over an array of candidate structs."""
-    scored = F.transform(cands, lambda c: F.struct(
+def final_order(cands: Column, weights) -> Column:
+    """Candidates of one trial as structs sorted by (score, base, raw rank)."""
+    return F.array_sort(F.transform(cands, lambda c: F.struct(
         (-_final(c, weights)).alias("neg"), (-c["base_score"]).alias("nb"), c["raw_rank"].alias("raw_rank"), c["t"].alias("t"), c["a"].alias("a"),
-        c["sim"].alias("sim")))
-    ordered = F.array_sort(scored)
+        c["sim"].alias("sim"))))
+
+
+def final_picks(ordered: str, diversity: Column, k: int) -> Column:
+    """Greedy diverse top k over a sorted array column."""
     count = lambda done, f, v: F.size(F.filter(done, lambda d: d[f] == v)).cast("double")
 
     def step(done, _):
-        left = F.filter(ordered, lambda c: ~F.exists(done, lambda d: d["raw_rank"] == c["raw_rank"]))
+        left = F.filter(F.col(ordered), lambda c: ~F.exists(done, lambda d: d["raw_rank"] == c["raw_rank"]))
         ranked = F.transform(left, lambda c, i: F.struct(
             (c["neg"] + diversity * (count(done, "t", c["t"]) * F.lit(0.70)
              + F.greatest(F.lit(0.0), count(done, "a", c["a"]) - F.lit(2.0)) * F.lit(0.30))).alias("neg"),
@@ -206,7 +209,8 @@ def search_final(features: DataFrame, pool: DataFrame, gold: DataFrame, requests
     asked = requests.join(train.select("query_id"), "query_id", "left_semi").groupBy(F.col(list_col).alias("list_id")).agg(
         F.count("*").alias("queries"))
     rows = lists.join(asked, "list_id").withColumn("_t", F.explode(trial_array(trials, fv.FINAL_WEIGHTS).scalar()))
-    rows = rows.withColumn("picks", final_picks(F.col("cands"), F.col("_t"), F.col("_t.diversity_weight"), k))
+    rows = rows.withColumn("_ordered", final_order(F.col("cands"), F.col("_t")))
+    rows = rows.withColumn("picks", final_picks("_ordered", F.col("_t.diversity_weight"), k))
     rows = rows.select("list_id", "queries", F.col("_t.trial_id").alias("trial_id"), F.transform("picks", lambda p: p["raw_rank"]).alias("top"),
                        F.transform("picks", lambda p: p["sim"]).alias("sims"))
     total = lambda f: F.aggregate("sims", F.lit(0.0), lambda acc, s: acc + s[f])

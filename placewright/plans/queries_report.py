@@ -197,3 +197,4 @@ def recency_penalty(spark, sf):
     stops = v.select(F.expr("date_add(DATE '2024-01-20', cast(actor AS int) % 20)").alias("day"), "place_name", "area")
     rows = routes.recency_penalty(stops, v)
     return rows.select(F.col("day").cast("string").alias("day"), "place_name", "area", F.round("visit_penalty", 2).alias("visit_penalty"))
+
