@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +36,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; a temporary folder is
-    used only where neither it nor a checkpoint folder is set, as in tests.
+    ``spark.checkpoint.dir`` is read from the session. Where it is not set, a
+    temporary folder serves a local master, as in tests; on a cluster that folder
+    would be one machine's own, so there the setting is required.
     """
     spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="placewright-ckpt-"))
     return df.checkpoint(eager=True)
