@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from placewright.llm.bpe import encode_decode
 from placewright.llm.common import table
 from placewright.llm.exact_dedup import exact_duplicates
+from placewright.llm.hamming_index import nearest
+from placewright.llm.html_text import extract
 from placewright.llm.packing import pack
+from placewright.llm.quality import score
+from placewright.llm.repeats import repeated_passages
 from placewright.llm.token_counts import count_tokens
 
 
@@ -15,10 +19,26 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), "word_bpe_49k.json", digests=True)
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,7 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op6_bpe, op9_exact_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_nearest, op5_html_text, op6_bpe, op8_repeated_passages, op9_exact_dedup, op10_token_counts)}
 
 SQL = {
     "op9_exact_dedup": """
