@@ -9,6 +9,7 @@ from placewright.llm.common import table
 from placewright.llm.exact_dedup import exact_duplicates
 from placewright.llm.hamming_index import nearest
 from placewright.llm.html_text import extract
+from placewright.llm.jaccard_join import linked_components
 from placewright.llm.packing import pack
 from placewright.llm.quality import score
 from placewright.llm.repeats import repeated_passages
@@ -35,6 +36,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), "word_bpe_49k.json", digests=True)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_components(table(spark, sf_dir, "documents"))
+
+
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -47,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_nearest, op5_html_text, op6_bpe, op8_repeated_passages, op9_exact_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_nearest, op5_html_text, op6_bpe, op7_jaccard_join, op8_repeated_passages, op9_exact_dedup, op10_token_counts)}
 
 SQL = {
     "op9_exact_dedup": """
