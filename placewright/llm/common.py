@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from placewright.session import cut_lineage
 
-__all__ = ["cut_lineage", "table", "text_key", "plain_texts", "slices", "Texts", "mix", "range_hash", "windows", "BATCH_BYTES"]
+__all__ = ["cut_lineage", "table", "text_key", "plain_texts", "release", "slices", "Texts", "mix", "range_hash", "windows", "BATCH_BYTES"]
 
 #: Text that one numpy step works on; keeps a Python worker within a few hundred MB.
 BATCH_BYTES = 2 << 20
@@ -36,6 +37,16 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver's cleaner drop the shuffle files of plans that a checkpoint has cut off and nobody refers to.
+
+    Spark does so by itself when the driver next collects its garbage, which on a
+    driver with little to do can be long after the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of 64-bit values."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

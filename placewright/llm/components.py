@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,3 +86,21 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         before = after
     roots = edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(roots)
+
+
+def stars(bands: DataFrame) -> DataFrame:
+    """Edges a, b from the keys of each band to the least one; band, key."""
+
+    def task(batches):
+        last, first = None, None
+        for batch in batches:
+            band, key = batch.column("band").to_numpy(), batch.column("key").to_numpy()
+            new = np.append(band[0] != last, band[1:] != band[:-1])
+            heads = np.maximum.accumulate(np.where(new, np.arange(len(band)), -1))
+            pivot = np.where(heads >= 0, key[np.maximum(heads, 0)], first if first is not None else 0)
+            last, first = band[-1], pivot[-1]
+            other = pivot != key
+            pairs = np.unique(np.stack([np.minimum(pivot, key)[other], np.maximum(pivot, key)[other]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return bands.repartition("band").sortWithinPartitions("band", "key").mapInArrow(task, "a long, b long")

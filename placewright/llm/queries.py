@@ -10,12 +10,17 @@ from placewright.llm.exact_dedup import exact_duplicates
 from placewright.llm.hamming_index import nearest
 from placewright.llm.html_text import extract
 from placewright.llm.jaccard_join import linked_components
+from placewright.llm.line_dedup import duplicate_lines
 from placewright.llm.packing import pack
 from placewright.llm.quality import score
 from placewright.llm.repeats import repeated_passages
 from placewright.llm.token_counts import count_tokens
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
@@ -52,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_quality, op4_nearest, op5_html_text, op6_bpe, op7_jaccard_join, op8_repeated_passages, op9_exact_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_quality, op4_nearest, op5_html_text, op6_bpe, op7_jaccard_join, op8_repeated_passages, op9_exact_dedup, op10_token_counts)}
 
 SQL = {
     "op9_exact_dedup": """
