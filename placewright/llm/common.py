@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +42,13 @@ def release(spark: SparkSession) -> None:
     """Lets the driver's cleaner drop the shuffle files of plans that a checkpoint has cut off and nobody refers to.
 
     Spark does so by itself when the driver next collects its garbage, which on a
-    driver with little to do can be long after the disks are full.
+    driver with little to do can be long after the disks are full. What one
+    collection frees lets go of more, so it takes a few.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(4):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.25)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,7 +107,7 @@ class Texts:
 
 
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int, Texts]]:
-    """Runs of whole texts of about `limit` bytes: first row, row after the last, texts. A longer text stands alone."""
+    """Runs of whole texts of about `limit` bytes: first row, row after the last, texts. A longer text stands alone; with limit 0 each does."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null("") if not pa.types.is_binary(column.type) else column
@@ -115,7 +119,7 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = BATCH_BYTES) -> Iter
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     low = 0
     while low < len(column):
-        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + limit, side="right")) - 1)
+        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + limit, side="right")) - 1) if limit else low + 1
         yield low, high, Texts(raw[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
         low = high
 

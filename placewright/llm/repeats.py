@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.common import Texts, cut_lineage, plain_texts, range_hash, slices, text_key, windows
+from placewright.llm.common import Texts, cut_lineage, plain_texts, range_hash, release, slices, text_key, windows
 
 _U = np.uint64
 #: Units of one numpy step; the places of a step fit in the low 24 bits of a packed value.
@@ -54,11 +54,15 @@ def anchors(units: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> tup
 
 #: Neighbouring windows of a run that one digit covers.
 BLOCK = 16
-RUN = "gram long, context binary, text_id binary, start int, n int, anchor int"
+RUN = "gram long, context long, text_id binary, place long"
 
 
 def _runs(texts: DataFrame, width: int, gram: int, unit: str) -> DataFrame:
-    """One row per run of windows: its anchor's gram, a digest of all units that the run covers, and where it is."""
+    """One row per run of windows: its anchor's gram, a digest of all units that the run covers, and its place.
+
+    place packs the run's first unit, its number of windows and the offset of its
+    anchor from the first unit; the last two are below 2 ** 16.
+    """
 
     def task(batches):
         for batch in batches:
@@ -68,34 +72,45 @@ def _runs(texts: DataFrame, width: int, gram: int, unit: str) -> DataFrame:
                 raw, size = units.tobytes(), units.itemsize
                 begin = (bounds[text] + start) * size
                 end = begin + (n + width - 1) * size
-                tags = [bytes((a >> 8, a & 255)) for a in ((anchor - start) & 0xFFFF).tolist()]
-                contexts = [hashlib.blake2b(raw[a:b], digest_size=14).digest() + tag for a, b, tag in zip(begin.tolist(), end.tolist(), tags, strict=True)]
+                offset = anchor - start
+                tails = np.stack([offset, n], axis=1).astype("<u4").tobytes()
+                contexts = b"".join(hashlib.blake2b(raw[a:b] + tails[8 * i : 8 * i + 8], digest_size=8).digest() for i, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)))
                 ids = batch.column("text_id").slice(low, high - low).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64) if len(grams) else grams, pa.int64()), pa.array(contexts, pa.binary()), ids, *(pa.array(x, pa.int32()) for x in (start, n, anchor))], names=["gram", "context", "text_id", "start", "n", "anchor"])
+                yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.uint64).view(np.int64)), pa.array(np.frombuffer(contexts, dtype="<i8")), ids, pa.array(start << 32 | n << 16 | offset)], names=["gram", "context", "text_id", "place"])
 
     return texts.mapInArrow(task, RUN)
 
 
 def _blocks(asked: DataFrame, width: int, unit: str) -> DataFrame:
-    """Digits of the runs asked for: per block of BLOCK offsets the digest of what all its windows share, and the edges beyond."""
+    """Digits of the runs asked for, by blocks of neighbouring windows.
+
+    core: digest of what all windows of a block share; shape: of the whole block,
+    its edges beyond the core included; first and last number its windows.
+    """
+    size_of = min(BLOCK, width)
 
     def task(batches):
         for batch in batches:
             rows = []
-            for low, high, part in slices(batch.column("text"), limit=0):  # text by text
+            for low, high, part in slices(batch.column("text"), limit=0):
                 units, _, _, _ = units_of(part, unit)
                 raw, size = units.tobytes(), units.itemsize
                 for r in batch.column("runs")[low].as_py():
-                    most, least = r["anchor"] - r["start"], r["anchor"] - r["start"] - r["n"] + 1
-                    for k in range(least // BLOCK, most // BLOCK + 1):
-                        core = r["anchor"] - BLOCK * k
-                        first, last = max(least - BLOCK * k, 0), min(most - BLOCK * k, BLOCK - 1)
-                        end = core - (BLOCK - 1) + width
-                        rows.append((r["gram"], r["context"], k, hashlib.blake2b(raw[core * size : end * size], digest_size=16).digest(), first, last, raw[(core - last) * size : core * size], raw[end * size : (end + BLOCK - 1 - first) * size]))
+                    start, n, most = r["place"] >> 32, r["place"] >> 16 & 0xFFFF, r["place"] & 0xFFFF
+                    least, anchor = most - n + 1, start + most
+                    for k in range(least // size_of, most // size_of + 1):
+                        begin = anchor - size_of * k
+                        end = begin - (size_of - 1) + width
+                        first, last = max(least - size_of * k, 0), min(most - size_of * k, size_of - 1)
+                        core = hashlib.blake2b(raw[begin * size : end * size] + b"%d %d" % (r["gram"], k), digest_size=16).digest()
+                        left, right = raw[(begin - last) * size : begin * size], raw[end * size : (end + size_of - 1 - first) * size]
+                        shape = hashlib.blake2b(core + b"%d %d " % (first, last) + left + right, digest_size=16).digest()
+                        rows.append((r["gram"], r["context"], k, core, shape, first, last, left, right))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["gram", "context", "block", "core", "first", "last", "left", "right"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["gram", "context", "block", "core", "shape", "first", "last", "left", "right"])
 
-    return asked.mapInArrow(task, "gram long, context binary, block int, core binary, first int, last int, left binary, right binary")
+    return asked.mapInArrow(task, "gram long, context long, block int, core binary, shape binary, first int, last int, left binary, right binary")
 
 
 def repeated_runs(texts: DataFrame, width: int, gram: int, unit: str) -> DataFrame:
@@ -107,32 +122,44 @@ def repeated_runs(texts: DataFrame, width: int, gram: int, unit: str) -> DataFra
 
     1. the gram at the anchor; windows of one run share it, so a run is one row;
     2. all that the run covers: equal runs are repeated as a whole and go on as one;
-    3. what BLOCK neighbouring windows share;
+    3. what a block of neighbouring windows shares; equal blocks are repeated as a
+       whole and go on as one;
     4. the single window.
 
-    Digests of step 2 and 3 have 14 and 16 bytes; step 4 compares the units themselves.
+    A gram and a run go by 64 bits each, together 128; step 3 adds 128 more, and
+    step 4 compares the units themselves.
     """
+    spark = texts.sparkSession
     unit_bytes = 1 if unit == "byte" else 8
     runs = _runs(texts, width, gram, unit)
     frequent = runs.groupBy("gram").count().filter("count > 1").select("gram")
     runs = cut_lineage(runs.join(frequent, "gram", "left_semi"))
-    classes = runs.groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("text_id", "start", "n", "anchor")).alias("one"))
+    release(spark)
+    classes = runs.groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("text_id", "place")).alias("one"))
     classes = cut_lineage(classes)
     mixed = classes.groupBy("gram").count().filter("count > 1").select("gram")
-    asked = classes.join(mixed, "gram", "left_semi").select("gram", "context", "one.*").groupBy("text_id").agg(F.collect_list(F.struct("gram", "context", "start", "n", "anchor")).alias("runs"))
+    asked = classes.join(mixed, "gram", "left_semi").select("gram", "context", "one.*").groupBy("text_id").agg(F.collect_list(F.struct("gram", "context", "place")).alias("runs"))
     blocks = _blocks(texts.join(asked, "text_id").select("text_id", "text", "runs"), width, unit)
-    blocks = cut_lineage(blocks.groupBy("gram", "context", "block", "core", "first", "last").agg(F.first("left").alias("left"), F.first("right").alias("right")))
-    digit = ["gram", "block", "core"]
-    blocks = blocks.join(blocks.groupBy(*digit).count().filter("count > 1").select(*digit), digit, "left_semi")
-    single = blocks.withColumn("j", F.explode(F.sequence("first", "last")))
-    single = single.select(*digit, "context", "j", F.expr(f"substring(left, length(left) - j * {unit_bytes} + 1, j * {unit_bytes})").alias("l"), F.expr(f"substring(right, 1, ({BLOCK - 1} - j) * {unit_bytes})").alias("r"))
-    digit = [*digit, "j", "l", "r"]
+    # A text that stands in several rows gives its blocks several times.
+    blocks = cut_lineage(blocks.groupBy("gram", "context", "block").agg(*[F.first(c).alias(c) for c in ("core", "shape", "first", "last", "left", "right")]))
+    release(spark)
+    shapes = blocks.groupBy("shape").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("core", "first", "last", "left", "right")])
+    mixed = blocks.groupBy("core").agg(F.min("shape").alias("x"), F.max("shape").alias("y")).filter("x <> y").select("core")
+    size_of = min(BLOCK, width)
+    single = shapes.join(mixed, "core", "left_semi").withColumn("j", F.explode(F.sequence("first", "last")))
+    edges = F.concat(F.expr(f"substring(left, length(left) - j * {unit_bytes} + 1, j * {unit_bytes})"), F.expr(f"substring(right, 1, ({size_of - 1} - j) * {unit_bytes})"))
+    single = single.select("core", "j", edges.alias("edges"), F.when(F.col("times") == 1, F.col("shape")).alias("shape"))
+    digit = ["core", "j", "edges"]
     twice = single.groupBy(*digit).count().filter("count > 1").select(*digit)
-    partly = single.join(twice, digit, "left_semi").groupBy("gram", "context").agg(F.collect_list(F.col("block") * BLOCK + F.col("j")).alias("offsets"))
+    partly = single.filter("shape is not null").join(twice, digit, "left_semi").groupBy("shape").agg(F.collect_list("j").alias("js"))
+    equal = shapes.filter("times > 1").select("shape", F.sequence("first", "last").alias("js"))
+    repeated = blocks.select("gram", "context", "block", "shape").join(partly.unionByName(equal), "shape")
+    partly = repeated.groupBy("gram", "context").agg(F.flatten(F.collect_list(F.transform("js", lambda j: F.col("block") * size_of + j))).alias("offsets"))
     whole = classes.filter("times > 1").select("gram", "context", F.lit(None).cast("array<int>").alias("offsets"))
     once = classes.filter("times = 1").select("gram", "context").join(partly, ["gram", "context"])
     found = runs.join(whole.unionByName(once), ["gram", "context"])
-    return found.select("text_id", "start", "n", F.transform("offsets", lambda o: F.col("anchor") - F.col("start") - o).alias("at"))
+    start, n, offset = F.shiftright("place", 32), F.shiftright("place", 16).bitwiseAND(0xFFFF), F.col("place").bitwiseAND(0xFFFF)
+    return found.select("text_id", start.cast("int").alias("start"), n.cast("int").alias("n"), F.transform("offsets", lambda o: offset.cast("int") - o).alias("at"))
 
 
 def covered(size: int, width: int, runs: list[dict]) -> np.ndarray:
@@ -169,11 +196,12 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _with_runs(docs: DataFrame, width: int, gram: int | None, unit: str) -> DataFrame:
     """docs (with text_id and text, among others) with the array `runs` of their repeated runs, null where there is none."""
+    if not 0 < width < 1 << 16:
+        raise ValueError("width must be below 65536 units")
     gram = gram or max(1, width // 2)
-    if width - gram < BLOCK:
-        gram = max(1, width - BLOCK)
-    found = repeated_runs(docs.select("text_id", "text"), width, gram, unit)
-    found = found.distinct().groupBy("text_id").agg(F.collect_list(F.struct("start", "n", "at")).alias("runs"))
+    found = cut_lineage(repeated_runs(docs.select("text_id", "text"), width, gram, unit).distinct())
+    release(docs.sparkSession)
+    found = found.groupBy("text_id").agg(F.collect_list(F.struct("start", "n", "at")).alias("runs"))
     return docs.join(found, "text_id", "left")
 
 
