@@ -7,16 +7,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placewright.llm.common import Texts, cut_lineage, mix, plain_texts, range_hash, slices
-from placewright.llm.components import Forest, components
+from placewright.llm.common import Texts, cut_lineage, mix, plain_texts, range_hash, release, slices
+from placewright.llm.components import components, stars
+from placewright.llm.token_groups import link_clusters
 
 _U = np.uint64
-#: Documents of one group, and tokens of one block of a matrix.
-GROUP, COLUMNS = 64, 8192
-
 
 def shingle_sets(texts: Texts, words: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the word n-grams of each text, A-Z lower-cased; a shorter text is one n-gram of all its words."""
@@ -40,47 +38,40 @@ def shingle_sets(texts: Texts, words: int) -> list[np.ndarray]:
     return sets
 
 
-def needed(n: int, percent: int) -> int:
-    """Least overlap of a set of n tokens with any partner."""
-    return -(-percent * n // 100)
-
-
-def shared_least(n: int) -> int:
-    """Tokens that the prefixes of two linked sets share at least, by the size of the smaller."""
-    return max(1, n // 40)
-
-
-def prefix(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """The tokens of least hash, so many that linked sets share shared_least() of them."""
-    return tokens[: len(tokens) - needed(len(tokens), percent) + shared_least(len(tokens))]
-
-
 @functools.cache
-def size_classes(percent: int, most: int = 1 << 34) -> np.ndarray:
-    """Lower bounds of size classes; linked sets lie in the same class or in neighbouring ones."""
-    bounds = [1]
+def size_classes(percent: int, most: int = 1 << 40) -> np.ndarray:
+    """Lower bounds of size classes, each half as large again as the last."""
+    bounds = [1, 2, 3]
     while bounds[-1] < most:
-        bounds.append(bounds[-1] * 100 // percent + 1)
+        bounds.append(bounds[-1] * 3 // 2)
     return np.array(bounds)
 
 
 def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     """Values of which linked sets share at least one.
 
-    The tokens of a class are dealt into more buckets than linked sets of that
-    class can differ in tokens, so one bucket at least has equal content. Empty
-    buckets count only where the others could all differ.
+    Linked sets differ in at most (100 - percent) / percent of the smaller one's
+    tokens. The tokens are dealt into one bucket more than sets of a size class can
+    differ in, so a linked pair has a bucket of equal content in the class of the
+    larger set; the smaller one therefore also counts in the next class where a
+    partner may lie there. Empty buckets count only where all others could differ.
     """
     bounds, out = size_classes(percent), []
     own = int(np.searchsorted(bounds, len(tokens), side="right")) - 1
-    for c in (own, own + 1):
+    last = int(np.searchsorted(bounds, len(tokens) * 100 // percent, side="right")) - 1
+    spread, mixed = mix(tokens ^ _U(0xD6E8FEB86659FD93)), mix(tokens + _U(0x632BE59BD9B4E019))
+    for c in range(own, last + 1):
         differ = (int(bounds[c + 1]) - 1) * (100 - percent) // percent
-        buckets = differ + 1 + differ // 3
-        at = (mix(tokens ^ _U(0xD6E8FEB86659FD93)) % _U(buckets)).astype(np.int64)
-        sums = np.zeros(buckets, dtype=np.uint64)
-        np.add.at(sums, at, mix(tokens + _U(0x632BE59BD9B4E019)))
-        filled = np.bincount(at, minlength=buckets) > 0
-        values = mix(mix(sums + _U(c)) + np.arange(buckets, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+        buckets = differ + 1
+        at = (spread % _U(buckets)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        sums = np.zeros(buckets + 1, dtype=np.uint64)
+        counts = np.bincount(at, minlength=buckets)
+        ends = np.cumsum(counts)
+        totals = np.concatenate([[_U(0)], np.cumsum(mixed[order])])
+        sums = totals[ends] - totals[ends - counts]
+        values = mix(mix(sums + _U(c)) + np.arange(buckets, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + counts.astype(np.uint64))
+        filled = counts > 0
         out.append(values[filled] if filled.sum() > differ else values)
     return np.concatenate(out)
 
@@ -89,99 +80,52 @@ def set_id(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.astype("<u8").tobytes(), digest_size=16).digest()
 
 
-def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    def task(batches):
-        for batch in batches:
-            for low, high, texts in slices(batch.column("text")):
-                sets = shingle_sets(texts, words)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary()), pa.array([prefix(s, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "set_id", "prefix"])
-
-    return docs.mapInArrow(task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, set_id binary, prefix array<long>")
+def key_of(name: bytes) -> int:
+    return int.from_bytes(name[:8], "little", signed=True)
 
 
-def _chosen(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Whole sets and signatures of the documents asked for (set_id names the set that is meant)."""
+def _named(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, size and digest of each document's set."""
 
     def task(batches):
         for batch in batches:
             for low, high, texts in slices(batch.column("text")):
-                wanted = batch.column("set_id").slice(low, high - low).to_pylist()
-                sets = [s for s, w in zip(shingle_sets(texts, words), wanted, strict=True) if set_id(s) == w]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([signatures(s, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set_id", "tokens", "signatures"])
-
-    return docs.mapInArrow(task, "set_id binary, tokens array<long>, signatures array<long>")
+                sets = shingle_sets(texts, words)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array(names := [set_id(s) for s in sets], pa.binary()), pa.array([key_of(x) for x in names], pa.int64()), batch.column("text_hash").slice(low, high - low)], names=["doc_id", "n", "set_id", "key", "text_hash"])
 
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    return docs.mapInArrow(task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, set_id binary, key long, text_hash long")
 
-def links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndarray]] | None, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links between two groups (or within one), no more than join their components.
 
-    The token union of the right group is one row of the token-group matrix. A
-    query of the left whose overlap with it is too small for any member is passed
-    over; for the others the group is opened and all overlaps are counted at once,
-    block by block of the union.
-    """
-    within = right is None
-    right = left if within else right
-    flat = np.concatenate([t for _, t in right])
-    union = np.unique(flat)
-    sizes = np.array([len(t) for _, t in right])
-    queries = [(i, np.searchsorted(union, t)) for i, (_, t) in enumerate(left)]
-    if not within:
-        queries = [(i, np.minimum(at, len(union) - 1)) for i, at in queries]
-        queries = [(i, at[union[at] == left[i][1]]) for i, at in queries]
-        queries = [(i, at) for i, at in queries if len(at) >= needed(len(left[i][1]), percent)]
-    if not queries:
-        return []
-    places = np.searchsorted(union, flat)
-    owners = np.repeat(np.arange(len(right)), sizes)
-    asked = np.concatenate([at for _, at in queries])
-    askers = np.repeat(np.arange(len(queries)), [len(at) for _, at in queries])
-    overlap = np.zeros((len(queries), len(right)))
-    for low in range(0, len(union), COLUMNS):
-        a, b = np.zeros((len(queries), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
-        inside = (asked >= low) & (asked < low + COLUMNS)
-        a[askers[inside], asked[inside] - low] = 1
-        inside = (places >= low) & (places < low + COLUMNS)
-        b[owners[inside], places[inside] - low] = 1
-        overlap += a @ b.T
-    own = np.array([len(left[i][1]) for i, _ in queries])
-    linked = 100 * overlap >= percent * (own[:, None] + sizes - overlap)
-    forest, out = Forest(), []
-    for q, j in np.argwhere(linked):
-        a, b = left[queries[q][0]][0], right[j][0]
-        if a != b and forest.join(a, b):
-            out.append((a, b))
-    return out
-
-
-def _verified(pairs: DataFrame, percent: int) -> DataFrame:
-    """Links of rows of two groups: arrays of (set_id, tokens); a null right group stands for the left one itself."""
-
-    def group(values) -> list[tuple[bytes, np.ndarray]]:
-        return [(v["set_id"], np.sort(np.array(v["tokens"], dtype=np.int64).view(np.uint64))) for v in values]
+def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Signatures of each set, once per set and task: band (the signature), key (of the set's digest)."""
 
     def task(batches):
+        seen: set[int] = set()
         for batch in batches:
-            found = []
-            for i in range(len(batch)):
-                right = batch.column("right")[i].as_py()
-                found += links(group(batch.column("left")[i].as_py()), None if right is None else group(right), percent)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+            for _, _, texts in slices(batch.column("text")):
+                bands, keys = [], []
+                for tokens in shingle_sets(texts, words):
+                    if len(tokens) and (key := key_of(set_id(tokens))) not in seen:
+                        seen.add(key)
+                        bands.append(signatures(tokens, percent))
+                        keys.append(np.full(len(bands[-1]), key, dtype=np.int64))
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                if bands:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands).view(np.int64)), pa.array(np.concatenate(keys))], names=["band", "key"])
 
-    # Few rows a batch: a row is two groups of whole sets.
-    return pairs.select("left", "right").mapInArrow(task, "a binary, b binary")
+    return docs.select("text").mapInArrow(task, "band long, key long")
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included).
+    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included), set_id.
 
-    1. Equal sets are one set from here on. A set goes on if enough of its prefix
-       (the tokens of least hash) is shared with other sets; any linked set does.
-    2. Sets that share a bucket signature are joined to clusters, which no link leaves.
-    3. A cluster's sets are dealt into groups of GROUP. Links are sought within
-       each group, and in larger clusters between the sets that the cluster's
-       first set does not link with and all groups, through the groups' token unions.
-    4. Links are joined to components.
+    1. Equal sets are one set from here on. Sets that share a bucket signature are
+       joined to clusters of similar documents; no link leaves a cluster.
+    2. A cluster's sets are dealt into groups, and links are found through the
+       groups' token unions (see token_groups).
+    3. Links are joined to components.
 
     Null text counts as empty; empty sets link with nothing, so their component is
     their own id. Repeated rows have the same set and component. Null ids are left
@@ -189,47 +133,51 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     an empty result.
     """
     docs = plain_texts(docs, id_col, text_col)
-    every = cut_lineage(_sets(docs, words, percent))
+    every = cut_lineage(_named(docs, words))
     full = every.filter("n > 0")
-    same = full.groupBy("set_id").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    tokens = same.select(F.xxhash64("set_id").alias("key"), "n", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y").select("token")
-    met = tokens.join(shared, "token", "left_semi").groupBy("key", "n").agg(F.count("*").alias("m"))
-    met = met.filter(F.col("m") >= F.greatest(F.lit(1).cast("long"), F.floor((F.ceil(F.col("n") * percent / 100)) / 40))).select("key")
-    asked = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).withColumn("key", F.xxhash64("set_id")).join(met, "key", "left_semi").select(F.col("doc_id").alias("asked_id"), "set_id")
-    texts = docs.join(asked, docs["doc_id"].eqNullSafe(asked["asked_id"])).select("text", "set_id")
-    sets = cut_lineage(_chosen(texts, words, percent).dropDuplicates(["set_id"]))
-
-    signed = sets.select("set_id", F.explode("signatures").alias("signature"))
-    first = signed.groupBy("signature").agg(F.min("set_id").alias("first_id"), F.max("set_id").alias("last_id")).filter("first_id <> last_id").select("signature", "first_id")
-    clusters = components(signed.join(first, "signature").filter("set_id <> first_id").select("set_id", "first_id").distinct(), "set_id", "first_id")
-    clusters = clusters.withColumnsRenamed({"node": "set_id", "root": "cluster"})
-    counts = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
-    members = cut_lineage(sets.select("set_id", "tokens").join(clusters, "set_id").join(counts, "cluster"))
-
-    def groups(rows: DataFrame) -> DataFrame:
-        """Sets dealt into groups by a hash of their id: about GROUP in each, at most a few more."""
-        rows = rows.withColumn("group", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("members") / GROUP)))
-        return rows.groupBy("cluster", "group").agg(F.collect_list(F.struct("set_id", "tokens")).alias("sets"))
-
-    none = F.lit(None).cast("array<struct<set_id: binary, tokens: array<bigint>>>")
-    every_group = groups(members)
-    found = _verified(every_group.select(F.col("sets").alias("left"), none.alias("right")), percent)
-    large = members.filter(F.col("members") > GROUP)
-    if large.limit(1).count():
-        leaders = large.filter(F.col("set_id") == F.col("cluster")).select("cluster", F.array(F.struct("set_id", "tokens")).alias("right"))
-        against = groups(large).join(leaders, "cluster").select(F.col("sets").alias("left"), "right")
-        led = cut_lineage(_verified(against, percent))
-        found = found.unionAll(led)
-        # What the first set links with is one component already; only the others need all groups.
-        linked = led.select(F.col("a").alias("set_id")).unionAll(led.select(F.col("b").alias("set_id"))).distinct()
-        rest = large.join(linked, "set_id", "left_anti").filter(F.col("set_id") != F.col("cluster"))
-        rest = groups(rest).select("cluster", F.col("group").alias("number"), F.col("sets").alias("left"))
-        found = found.unionAll(_verified(rest.join(every_group.select("cluster", F.col("sets").alias("right")), "cluster").select("left", "right"), percent))
-    joined = components(found, "a", "b").withColumnRenamed("node", "set_id")
-    ids = full.groupBy("set_id").agg(F.min("doc_id").alias("least_id"))
+    ids = full.groupBy("set_id").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("key").alias("key"), F.first("n").alias("n"))
+    buckets = cut_lineage(components(stars(_signed(docs, words, percent)), "a", "b"))
+    release(docs.sparkSession)
+    first = ids.join(buckets.withColumnRenamed("node", "key"), "key")
+    least = first.groupBy("root").agg(F.min("set_id").alias("cluster"))
+    clusters = first.join(least, "root").select("set_id", "n", "cluster", F.col("one.doc_id").alias("asked_id"), F.col("one.text_hash").alias("asked_hash"))
+
+    def attach(sets: DataFrame) -> DataFrame:
+        asked = sets.join(clusters.select("set_id", "asked_id", "asked_hash"), "set_id")
+        found = docs.join(asked, (F.xxhash64(docs["text"]) == asked["asked_hash"]) & docs["doc_id"].eqNullSafe(asked["asked_id"]))
+        return found.drop("doc_id", "asked_id", "asked_hash").withColumnRenamed("text", "content").dropDuplicates(["set_id"])
+
+    def load(name: bytes, text: str) -> np.ndarray | None:
+        data = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
+        tokens = shingle_sets(Texts(data, np.array([0, len(data)])), words)[0]
+        return tokens if set_id(tokens) == name else None  # texts may share doc_id and hash
+
+    joined = components(link_clusters(clusters.drop("asked_id", "asked_hash"), attach, percent, load), "a", "b").withColumnRenamed("node", "set_id")
     roots = ids.join(joined, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = roots.select("set_id", "root").join(least, "root").select("set_id", "component_id")
-    empty = every.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.join(named, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    empty = every.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "set_id")
+    return full.join(named, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "set_id").unionByName(empty)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """docs, same columns, with one row of each component: that of the least id (one of them, if rows share it).
+
+    Rows without words stay, for they link with nothing.
+    """
+    found = linked_components(docs, id_col, text_col, words, percent).filter("n_shingles > 0")
+    found = found.groupBy("doc_id", "set_id").agg(F.first("component_id").alias("component_id"))
+
+    def task(batches):
+        for batch in batches:
+            for low, high, texts in slices(batch.column("text")):
+                names = [set_id(s) if len(s) else None for s in shingle_sets(texts, words)]
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(low, high - low), pa.array(names, pa.binary())], names=["row", "row_set"])
+
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    rows = rows.mapInArrow(task, f"row {rows.schema['row'].dataType.simpleString()}, row_set binary")
+    own = F.col(f"row.`{id_col}`")
+    joined = rows.filter("row_set is not null").join(found, (F.col("row_set") == found["set_id"]) & own.eqNullSafe(found["doc_id"]))
+    joined = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    joined = joined.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "component_id").orderBy("set_id"))).filter("turn = 1")
+    return joined.select("row").unionAll(rows.filter("row_set is null").select("row")).select("row.*")

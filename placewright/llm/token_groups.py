@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.common import cut_lineage
+from placewright.llm.common import cut_lineage, release
 from placewright.llm.components import Forest
 
 #: Sets of one group, and tokens of one block of a matrix.
@@ -21,8 +22,8 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndarray]] | None, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links between two groups (or within one), no more than join their components.
+def links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndarray]] | None, percent: int, forest: Forest) -> list[tuple[bytes, bytes]]:
+    """Links between two groups (or within one), no more than join components of the forest, which they then join.
 
     The token union of the right group is one row of the token-group matrix. A
     query of the left whose overlap with it is too small for any member is passed
@@ -55,7 +56,7 @@ def links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndar
         overlap += a @ b.T
     own = np.array([len(left[i][1]) for i, _ in queries])
     linked = 100 * overlap >= percent * (own[:, None] + sizes - overlap)
-    forest, out = Forest(), []
+    out = []
     for q, j in np.argwhere(linked):
         a, b = left[queries[q][0]][0], right[j][0]
         if a != b and forest.join(a, b):
@@ -63,49 +64,69 @@ def links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndar
     return out
 
 
-def _verified(pairs: DataFrame, percent: int, load: Callable[[object], np.ndarray]) -> DataFrame:
+def _verified(pairs: DataFrame, percent: int, load: Callable[[bytes, object], np.ndarray | None]) -> DataFrame:
     """Links of rows of two groups, arrays of (set_id, content); a null right group stands for the left one itself."""
 
     def group(values) -> list[tuple[bytes, np.ndarray]]:
-        return [(v["set_id"], load(v["content"])) for v in values]
+        sets = {v["set_id"]: load(v["set_id"], v["content"]) for v in values}
+        return [(name, tokens) for name, tokens in sets.items() if tokens is not None]
 
     def task(batches):
+        forest = Forest()
         for batch in batches:
             found = []
             for i in range(len(batch)):
-                right = batch.column("right")[i].as_py()
-                found += links(group(batch.column("left")[i].as_py()), None if right is None else group(right), percent)
+                left, right = batch.column("left")[i].as_py(), batch.column("right")[i].as_py()
+                if len(forest.parent) > 1_000_000:
+                    forest = Forest()
+                names = {v["set_id"] for v in (*left, *(right or ()))}
+                if len(names) < 2 or names <= forest.parent.keys() and len({forest.root(x) for x in names}) == 1:
+                    continue  # one component already
+                left, right = group(left), None if right is None else group(right)
+                if left and right != []:
+                    found += links(left, right, percent, forest)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
 
     return pairs.select("left", "right").mapInArrow(task, "a binary, b binary")
 
 
-def link_clusters(sets: DataFrame, clusters: DataFrame, percent: int, load: Callable[[object], np.ndarray]) -> DataFrame:
+def link_clusters(sets: DataFrame, attach: Callable[[DataFrame], DataFrame], percent: int, load: Callable[[bytes, object], np.ndarray | None]) -> DataFrame:
     """Links a, b that join the sets of each cluster to their components.
 
-    sets: set_id, content, with one row per set; clusters: set_id, cluster, which no
-    link leaves. load makes sorted distinct uint64 tokens of a content.
+    sets: set_id, n (tokens), cluster, which no link leaves. attach adds the column
+    content; it may repeat a row, and add rows for which load gives None. load makes
+    sorted distinct uint64 tokens of a set's content.
 
-    A cluster's sets are dealt into groups of about GROUP. Links are sought within
+    A cluster's sets are dealt into groups of about GROUP sets of similar size, for
+    linked sets differ in size by the similarity at most. Links are sought within
     each group. In a cluster of several groups all sets are first compared with the
     cluster's first set: those that link with it are one component already, and
-    only the others are compared with every group, through the groups' token unions.
+    only the others are compared with every group of a fitting size, through the
+    groups' token unions.
     """
-    counts = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
-    members = cut_lineage(sets.select("set_id", "content").join(clusters, "set_id").join(counts, "cluster"))
+    step = math.log(100 / percent) * 1.0001  # linked sets are in the same size class or in neighbouring ones
+    sets = sets.withColumn("level", F.floor(F.log("n") / step).cast("int"))
+    counts = sets.groupBy("cluster", "level").agg(F.count("*").alias("fellows"))
+    whole = counts.groupBy("cluster").agg(F.sum("fellows").alias("members"), F.count("*").alias("levels"))
+    sets = sets.join(counts, ["cluster", "level"]).join(whole, "cluster").withColumn("several", (F.col("levels") > 1) | (F.col("members") > GROUP))
+    sets = sets.withColumn("group", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("fellows") / GROUP)))
+    members = cut_lineage(attach(sets.select("set_id", "cluster", "level", "group", "several")))
+    release(members.sparkSession)
 
     def groups(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("group", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("members") / GROUP)))
-        return rows.groupBy("cluster", "group").agg(F.collect_list(F.struct("set_id", "content")).alias("sets"))
+        return rows.groupBy("cluster", "level", "group").agg(F.collect_list(F.struct("set_id", "content")).alias("sets"))
 
     every = groups(members)
     found = _verified(every.select(F.col("sets").alias("left"), F.when(F.lit(False), F.col("sets")).alias("right")), percent, load)
-    large = members.filter(F.col("members") > GROUP)
+    large = members.filter("several")
     if not large.limit(1).count():
         return found
-    first = large.filter(F.col("set_id") == F.col("cluster")).select("cluster", F.array(F.struct("set_id", "content")).alias("right"))
-    led = cut_lineage(_verified(groups(large).join(first, "cluster").select(F.col("sets").alias("left"), "right"), percent, load))
+    first = large.filter(F.col("set_id") == F.col("cluster")).groupBy("cluster").agg(F.array(F.struct(F.first("set_id").alias("set_id"), F.first("content").alias("content"))).alias("right"), F.first("level").alias("its"))
+    near = groups(large).join(first, "cluster").filter(F.abs(F.col("level") - F.col("its")) <= 1)
+    led = cut_lineage(_verified(near.select(F.col("sets").alias("left"), "right"), percent, load))
     linked = led.select(F.col("a").alias("set_id")).unionAll(led.select(F.col("b").alias("set_id"))).distinct()
-    rest = groups(large.join(linked, "set_id", "left_anti").filter(F.col("set_id") != F.col("cluster"))).select("cluster", F.col("sets").alias("left"))
-    across = rest.join(every.select("cluster", F.col("sets").alias("right")), "cluster")
+    rest = groups(large.join(linked, "set_id", "left_anti")).select("cluster", "group", "level", F.col("sets").alias("left"))
+    rest = rest.withColumn("other", F.explode(F.array(*[F.col("level") + i for i in (-1, 0, 1)])))
+    across = rest.join(groups(large).select("cluster", F.col("level").alias("other"), F.col("group").alias("number"), F.col("sets").alias("right")), ["cluster", "other"])
+    across = across.filter((F.col("other") != F.col("level")) | (F.col("group") != F.col("number")))
     return found.unionAll(led).unionAll(_verified(across, percent, load))
