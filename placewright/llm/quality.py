@@ -126,3 +126,15 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     scored = docs.mapInArrow(task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", threshold: float = 0.3, settings: Settings = Settings()) -> DataFrame:
+    """docs, same columns, without the rows that score() would predict as 0. Null text counts as empty."""
+    weights = fit(plain_texts(docs, id_col, text_col), labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).alias("label")), settings)
+
+    def task(batches):
+        for batch in batches:
+            for low, high, texts in slices(batch.column(text_col)):
+                yield batch.slice(low, high - low).filter(pa.array(scores(texts, weights) >= threshold))
+
+    return docs.mapInArrow(task, docs.schema)
