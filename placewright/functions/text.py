@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -67,22 +69,66 @@ def clean_nullish(c) -> Column:
     return F.when(F.lower(t).isin("nan", "none"), "").otherwise(t)
 
 
-def place_key(c) -> Column:
-    """Comparison key: fold width, lower-case, keep digits, a-z and Hangul.
+def _fold_tables() -> tuple[dict, dict, str]:
+    """What NFKC makes of single characters, as far as keys can see it, by rule.
 
-    Equal to the NFKC key for ASCII, full-width ASCII and composed Hangul; use
-    ``place_key_nfkc`` for anything else.
+    Characters that become one key character or one conjoining jamo; characters
+    that become several; and a pattern of the letters that a following mark turns
+    into another, accented letter (which keys drop).
     """
-    folded = F.translate(clean(c), _WIDE, _NARROW)
-    return F.regexp_replace(F.lower(folded), fv.KEY_DROP_PATTERN, "")
+    drop = re.compile(fv.KEY_DROP_PATTERN)
+    one, many, marked = {}, {}, {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if "가" <= c <= "힣":
+            continue
+        full = unicodedata.normalize("NFKC", c)
+        kept = drop.sub("", full.lower())
+        if len(kept) == 1 or len(full) == 1 and "\u1100" <= full <= "\u11ff" and full != c:
+            one[c] = kept or full
+        elif kept:
+            many[c] = kept
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) == 2 and parts[0].isascii() and parts[0].isalnum() and unicodedata.normalize("NFC", parts) == c:
+            marked.setdefault(parts[1], []).append(parts[0])
+    return one, many, "|".join(f"[{''.join(bases)}]{mark}" for mark, bases in marked.items())
+
+
+_ONE, _MANY, _MARKED = _fold_tables()
+
+
+def _composed(chars: Column) -> Column:
+    """Text of an array of characters with conjoining jamo joined to syllables."""
+    code = lambda x: F.ascii(x)
+    syllable = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 4, "0")), "UTF-16BE")
+
+    def step(done, c):
+        last = F.right(done, F.lit(1))
+        head = F.left(done, F.length(done) - 1)
+        vowel = code(c).between(0x1161, 0x1175) & code(last).between(0x1100, 0x1112)
+        tail = code(c).between(0x11A8, 0x11C2) & code(last).between(0xAC00, 0xD7A3) & ((code(last) - 0xAC00) % 28 == 0)
+        return (F.when(vowel, F.concat(head, syllable(0xAC00 + ((code(last) - 0x1100) * 21 + code(c) - 0x1161) * 28)))
+                .when(tail, F.concat(head, syllable(code(last) + code(c) - 0x11A7))).otherwise(F.concat(done, c)))
+
+    return F.aggregate(chars, F.lit(""), step)
+
 
+def place_key(c) -> Column:
+    """Comparison key: NFKC, lower case, then digits, a-z and Hangul syllables only.
 
-def place_key_nfkc(c) -> Column:
-    """``place_key`` with true NFKC; only unusual text is sent to Python."""
+    Plain text takes a short path; the rest is folded by tables and its jamo are
+    composed, all in the JVM.
+    """
     text = clean(c)
-    odd = ~text.rlike(_PLAIN)
-    normalised = nfkc(F.when(odd, text))
-    return F.when(odd, F.regexp_replace(F.lower(normalised), fv.KEY_DROP_PATTERN, "")).otherwise(place_key(text))
+    many = F.expr("map_from_arrays(split({}, ','), split({}, ','))".format(sql_lit(",".join(_MANY)), sql_lit(",".join(_MANY.values()))))
+    chars = F.split(F.translate(text, "".join(_ONE), "".join(_ONE.values())), "")
+    spelt = F.array_join(F.transform(chars, lambda x: F.coalesce(F.try_element_at(many, x), x)), "")
+    folded = _composed(F.split(F.regexp_replace(spelt, _MARKED, ""), ""))
+    plain = F.translate(text, _WIDE, _NARROW)
+    return F.regexp_replace(F.lower(F.when(text.rlike(_PLAIN), plain).otherwise(folded)), fv.KEY_DROP_PATTERN, "")
+
+
+#: The key is the true NFKC key for any text.
+place_key_nfkc = place_key
 
 
 def relaxed_key(key: Column) -> Column:

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from placewright import fixed_values as fv
 from placewright.functions.areas import norm_area, standard_area
-from placewright.functions.text import all_rules, clean, contains_any, join_context, label_map, lit_array, place_key
+from placewright.functions.text import all_rules, clean, contains_any, join_context, label_map, lit_array, lit_map, place_key
 from placewright.functions.times import time_slot2
-from placewright.operators.shaping import first_per, type_compatible
+from placewright.operators.shaping import first_per
 
 TEXT_COLUMNS = ["place_type", "activity_type", "target_group", "context_tags"]
 
@@ -83,18 +83,23 @@ def candidate_type(place_type, *names) -> Column:
 def alias_candidates(pools: DataFrame, aliases: DataFrame, areas=None, most: int = 50) -> DataFrame:
     """Area- and type-compatible aliases per pool, in (type, name, alias) order.
 
-    At most ``most`` enter a pool, so later ones per pool are cut here.
+    Aliases are one row per (name, area, type) before anything is cut. Pools
+    without an area meet the first ``most`` of each alias type, which hold every
+    row that they can keep; the others join on their area.
     """
     keyed = pools.withColumn("std_area", standard_area("query_area", fv.ALIAS_LANDMARK_AREAS, areas))
+    cols = ["alias_type", "canonical_name", "alias_name", "place_id"]
     renamed = aliases.select("std_area", F.col("place_type").alias("alias_type"), "canonical_name", "alias_name",
                              "candidate_type", "place_id", "source")
-    cols = ["alias_type", "canonical_name", "alias_name", "place_id"]
-    scoped = keyed.filter("std_area <> ''").join(renamed, "std_area")
-    unscoped = keyed.filter("std_area = ''")
-    any_area = first_per(renamed.withColumn("_one", F.lit(1)), ["_one", "alias_type"], cols, most).drop("_one")
-    open_pools = unscoped.drop("std_area").join(any_area, type_compatible(F.col("query_type"), F.col("alias_type")), "inner")
-    rows = scoped.unionByName(open_pools).filter(type_compatible(F.col("query_type"), F.col("alias_type")))
-    rows = first_per(rows, ["pool_id", "canonical_name", "std_area", "candidate_type"], cols)
+    # Types meet by an equi-join: a pool asks for each type that fits its own, or for any (*).
+    listed = F.coalesce(F.try_element_at(lit_map(fv.TYPE_COMPATIBILITY), F.col("query_type")), F.array().cast("array<string>"))
+    fits = F.when(F.col("query_type") == "", F.array(F.lit("*"))).otherwise(F.array_distinct(F.concat(F.array("query_type", F.lit("")), listed)))
+    typed = keyed.withColumn("fit", F.explode(fits))
+    each = renamed.withColumn("fit", F.explode(F.array("alias_type", F.lit("*"))))
+    scoped = typed.filter("std_area <> ''").join(each, ["std_area", "fit"])
+    heads = first_per(first_per(each, ["canonical_name", "std_area", "candidate_type", "fit"], cols), ["fit"], cols, most)
+    open_pools = typed.filter("std_area = ''").drop("std_area").join(heads, "fit")
+    rows = first_per(scoped.unionByName(open_pools), ["pool_id", "canonical_name", "std_area", "candidate_type"], cols)
     rows = first_per(rows, ["pool_id"], cols, most, "alias_pos")
     source = F.concat(F.lit("alias_table:"), F.coalesce(F.nullif("source", F.lit("")), F.lit("manual")))
     return rows.select("pool_id", F.col("canonical_name").alias("rec_name"), F.col("std_area").alias("rec_area"),

@@ -76,8 +76,8 @@ def assert_unique(df, keys):
 def order_breaks(df, key, rank, ordinal) -> DataFrame:
     """Rows whose rank is below the one before it in the stated file order.
 
-    Compared with the running maximum per key, so the check is one aggregate
-    over neighbours rather than a walk.
+    Neighbours are compared, so one break is one row; a key without breaks is
+    ascending throughout.
     """
     before = F.lag(rank).over(W.partitionBy(key).orderBy(ordinal))
     return df.withColumn("previous", before).filter(F.col(rank) < F.col("previous"))

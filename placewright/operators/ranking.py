@@ -264,17 +264,15 @@ def area_or_all(rows: DataFrame, key="sig", areas=None) -> DataFrame:
     return flagged.withColumn("_any", any_in).filter(F.col("_in") | ~F.col("_any")).drop("_in", "_any")
 
 
-def diverse_rerank(rows: DataFrame, keys=("sig",), k: int = 10, weight: Column | float = 0.0, score="base_final", fold=False) -> DataFrame:
+def diverse_rerank(rows: DataFrame, keys=("sig",), k: int = 10, weight: Column | float = 0.0, score="base_final") -> DataFrame:
     """Greedy top k with penalties for repeated types and areas.
 
     Within one (type, area) the penalty is equal, so rows leave in score order:
     the first k per (type, area) are enough, which bounds the collected array
-    exactly. The state (picks and what is left) folds over 1..k. With weight 0
-    the plain top k is taken instead, unless ``fold`` asks for the fold.
+    exactly. The state (picks and what is left) folds over 1..k; with weight 0
+    the result is the plain top k.
     """
     order = [F.desc(score), F.desc("base_score"), "raw_rank"]
-    if not isinstance(weight, Column) and weight == 0 and not fold:
-        return first_per(rows, keys, order, k, "rank").withColumn("score", F.round(score, 6))
     bounded = first_per(rows, [*keys, "rec_type", "rec_area"], order, k)
     w = weight if isinstance(weight, Column) else F.lit(float(weight))
     item = F.struct((-F.col(score)).alias("neg"), (-F.col("base_score")).alias("nb"), F.col("raw_rank").cast("int").alias("raw_rank"),

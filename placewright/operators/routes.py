@@ -105,7 +105,11 @@ def source_counts(rows: DataFrame, by="route_id") -> DataFrame:
 
 # --- requests ---------------------------------------------------------------------
 def parse_requests(df: DataFrame, areas=None) -> DataFrame:
-    """Defaults, canonical area lists, start area, slots."""
+    """Defaults, canonical area lists, start area, slots.
+
+    A window that does not end after it starts, or has no readable time, fails
+    the job when its slots are read.
+    """
     d = fv.ROUTE_DEFAULTS
     fill = lambda c: F.coalesce(F.nullif(clean(c), F.lit("")), F.lit(d[c])) if c in df.columns else F.lit(d[c])
     rows = df.withColumns({c: fill(c) for c in d})
@@ -120,12 +124,17 @@ def parse_requests(df: DataFrame, areas=None) -> DataFrame:
         "areas": names, "preferred_types": F.array_distinct(F.transform(F.coalesce("preferred_types", F.array().cast("array<string>")), route_type)),
         "start_area": F.coalesce(F.nullif(begin, F.lit("")), first, F.lit("")), "num_visits": visits,
         "avoid_duplicates": F.coalesce(F.col("avoid_duplicates").cast("boolean"), F.lit(True)) if "avoid_duplicates" in df.columns else F.lit(True),
-    }).withColumn("slots", time_slots("start_time", "end_time", "num_visits"))
+    }).withColumn("slots", F.when(bad_window(), F.raise_error(F.concat(F.lit("bad time window: "), "start_time", F.lit(" - "), "end_time")).cast("array<string>"))
+                  .otherwise(time_slots("start_time", "end_time", "num_visits")))
 
 
-def bad_time_windows(requests: DataFrame) -> DataFrame:
+def bad_window() -> Column:
     lo, hi = minutes("start_time"), minutes("end_time")
-    return requests.filter(lo.isNull() | hi.isNull() | (hi <= lo))
+    return lo.isNull() | hi.isNull() | (hi <= lo)
+
+
+def bad_time_windows(requests: DataFrame) -> DataFrame:
+    return requests.filter(bad_window())
 
 
 # --- candidates per request -----------------------------------------------------------
@@ -239,7 +248,7 @@ def recency_penalty(stops: DataFrame, visits: DataFrame) -> DataFrame:
     by_area = daily.filter("area <> ''").groupBy("area", "visit_date").agg(F.sum("n").alias("n"))
     area_days = asked.select("day", "area").distinct().select("*", F.inline(days))
     around = area_days.join(by_area, ["area", "visit_date"]).groupBy("day", "area").agg(F.sum("n").alias("a30"))
-    own = back.join(daily, ["place_name", "area", "visit_date"]).groupBy("day", "place_name", "area").agg(F.sum("n").alias("o30"))
+    own = back.join(daily.filter("area <> ''"), ["place_name", "area", "visit_date"]).groupBy("day", "place_name", "area").agg(F.sum("n").alias("o30"))
     keys = ["day", "place_name", "area"]
     rows = asked.join(near, keys, "left").join(ever, "place_name", "left").join(around, ["day", "area"], "left").join(own, keys, "left").na.fill(0)
     c7, c30 = F.col("c7"), F.col("c30")
@@ -402,15 +411,16 @@ def route_summary(requests: DataFrame, stops: DataFrame) -> DataFrame:
 def swap_options(stops: DataFrame, pool: DataFrame, n: int = 4) -> DataFrame:
     """Per stop: other places of its area, same type first, at most n.
 
-    The pool side is cut to n+1 rows per (area, type) and n+1 per area first.
+    The pool side is cut to n+1 names per (area, type) and n+1 per area first;
+    each name enters a cut once, so the stop's own name costs one place only.
     """
-    by_type = first_per(pool, ["area", "place_type"], POOL_ORDER, n + 1, "turn")
-    by_area = first_per(pool, ["area"], POOL_ORDER, n + 1, "turn")
+    by_type = first_per(first_per(pool, ["area", "place_type", "place_name"], POOL_ORDER), ["area", "place_type"], POOL_ORDER, n + 1, "turn")
+    by_area = first_per(first_per(pool, ["area", "place_name"], POOL_ORDER), ["area"], POOL_ORDER, n + 1, "turn")
     cols = [F.col("place_name").alias("swap_name"), F.col("place_type").alias("swap_type"), "turn"]
     same = stops.join(by_type.select("area", *cols, F.col("place_type")), ["area", "place_type"]).withColumn("same_type", F.lit(True))
     other = stops.join(by_area.select("area", *cols), "area").withColumn("same_type", F.col("swap_type") == F.col("place_type"))
     rows = same.unionByName(other).filter(F.col("swap_name") != F.col("raw_place_name"))
-    rows = first_per(rows, ["route_id", "order", "swap_name", "swap_type"], [F.desc("same_type"), "turn"])
+    rows = first_per(rows, ["route_id", "order", "swap_name"], [F.desc("same_type"), "turn"])
     return first_per(rows, ["route_id", "order"], [F.desc("same_type"), "turn", "swap_name"], n, "option").select(
         "route_id", "order", "option", "swap_name", "swap_type")
 
@@ -469,9 +479,10 @@ def broaden(lists: DataFrame, pool: DataFrame, seeds: DataFrame, limit: int = 5)
     sizes = lists.groupBy("list_id", "area").agg(F.count("*").alias("have"))
     short = sizes.filter(F.col("have") < limit)
     near = first_per(pool, ["area"], [F.desc("score"), "item_id"], 2 * limit, "_r").select("area", "item_id", "score", "_r")
-    any_ = first_per(seeds.withColumn("_k", F.lit(1)), ["_k"], [F.desc("score"), "item_id"], 2 * limit, "_r").drop("_k", "area")
+    # The best seeds of all, 2 * limit of them, as one array value.
+    best = seeds.orderBy(F.desc("score"), "item_id").limit(2 * limit).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_neg"), "item_id", "score"))).alias("b"))
     a = short.join(near, "area").select("list_id", "area", "item_id", "score", F.lit(1).alias("stage"), "_r")
-    s = short.withColumn("_k", F.lit(1)).join(any_.withColumn("_k", F.lit(1)), "_k").select("list_id", "area", "item_id", "score", F.lit(2).alias("stage"), "_r")
+    s = short.select("list_id", "area", F.posexplode(best.scalar()).alias("_p", "_b")).select("list_id", "area", "_b.item_id", "_b.score", F.lit(2).alias("stage"), (F.col("_p") + 1).alias("_r"))
     own = lists.select("list_id", "area", "item_id", "score", F.lit(0).alias("stage"), F.col("rank").alias("_r"))
     rows = first_per(union_all([own, a, s]), ["list_id", "item_id"], ["stage", "_r"])
     return first_per(rows, ["list_id"], ["stage", "_r", "item_id"], limit, "position").drop("_r")

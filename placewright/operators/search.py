@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from placewright import fixed_values as fv
 from placewright.functions.text import lit_array
@@ -36,14 +36,14 @@ def grid_trials(spark: SparkSession, names, grid) -> DataFrame:
     return rows.withColumns(cols)
 
 
-def build_trials(spark, names, grid, required, mode="random", n_trials=300, seed=42) -> DataFrame:
-    """Required trials, then a grid prefix or seeded sample, without repeats."""
+def build_trials(spark, names, grid, required, mode="random", n_trials=None, seed=42) -> DataFrame:
+    """Required trials, then a seeded sample (300 unless stated) or the whole grid (a prefix only if stated), without repeats."""
     every = grid_trials(spark, names, grid)
     if mode == "grid":
-        picked = every.filter(F.col("grid_id") < n_trials) if n_trials > 0 else every
+        picked = every.filter(F.col("grid_id") < n_trials) if n_trials else every
         picked = picked.withColumn("position", F.col("grid_id") + 1)
     else:
-        picked = hash_order(every, "grid_id", seed).filter(F.col("position") <= max(n_trials, 0))
+        picked = hash_order(every, "grid_id", seed).filter(F.col("position") <= (300 if n_trials is None else max(n_trials, 0)))
     schema = "seq long, " + ", ".join(f"{n} double" for n in names)
     first = spark.createDataFrame([(i, *[float(x) for x in row]) for i, row in enumerate(required, 1)], schema)
     rest = picked.select((F.col("position") + len(required)).alias("seq"), *names)
@@ -54,8 +54,6 @@ def build_trials(spark, names, grid, required, mode="random", n_trials=300, seed
 
 
 def row_order(col: str) -> Column:
-    from pyspark.sql import Window as W
-
     return F.row_number().over(W.orderBy(col))
 
 
@@ -65,13 +63,6 @@ def trial_array(trials: DataFrame, names) -> DataFrame:
     return trials.agg(F.array_sort(F.collect_list(F.struct("trial_id", *names))).alias("trials"))
 
 
-def candidate_lists(features: DataFrame, cols, key="sig", areas=None) -> DataFrame:
-    """One row per signature with its in-area candidates (at most 50)."""
-    rows = in_area(features, key, areas)
-    item = F.struct("raw_rank", *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(["base_score", *cols])])
-    return rows.groupBy(key).agg(F.collect_list(item).alias("cands"))
-
-
 def label_sums(gold: DataFrame, pool: DataFrame, queries: DataFrame, ks, list_col="sig", aliases=None, areas=None) -> DataFrame:
     """(list_id, ranks, sums): gold contributions by set of matching candidates.
 
@@ -118,24 +109,16 @@ def search_weights(features: DataFrame, pool: DataFrame, gold: DataFrame, splits
     train = splits.filter("split = 'train'")
     n = train.agg(F.count("*").cast("double").alias("n"))
     labels = label_sums(gold, pool, train, ks, list_col, aliases, areas)
-    lists = candidate_lists(features, TUNED_FEATURES, list_col, areas).withColumnRenamed(list_col, "list_id")
-    lists = lists.join(labels.select("list_id").distinct(), "list_id", "left_semi")
-
-    def top(trial: Column) -> Column:
-        def entry(c):
-            score = None
-            for f, w in zip(TUNED_FEATURES, fv.TUNED_WEIGHTS):
-                term = c[f] * trial[w]
-                score = term if score is None else score + term
-            return F.struct((-F.round(score, 6)).alias("s"), (-c["base_score"]).alias("b"), c["raw_rank"].alias("r"))
-        ordered = F.array_sort(F.transform("cands", entry))
-        return F.transform(F.slice(ordered, 1, k), lambda e: e["r"])
-
-    tops = lists.withColumn("trials", trial_array(trials, fv.TUNED_WEIGHTS).scalar())
-    tops = tops.select("list_id", F.transform("trials", lambda t: F.struct(t["trial_id"].alias("trial_id"), top(t).alias("top"))).alias("tops"))
-    met = labels.join(tops, "list_id").withColumn("_t", F.explode("tops"))
-    met = met.withColumn("best", best_position(F.col("_t.top"), F.col("ranks"))).filter("best is not null")
-    sums = met.groupBy(F.col("_t.trial_id").alias("trial_id")).agg(*metric_sums(ks, F.lit(1.0)))
+    rows = labelled_candidates(in_area(features, list_col, areas), labels, ["base_score", *TUNED_FEATURES], list_col)
+    rows = rows.withColumn("t", F.explode(trial_array(trials, fv.TUNED_WEIGHTS).scalar()))
+    score = None
+    for f, w in zip(TUNED_FEATURES, fv.TUNED_WEIGHTS):
+        term = F.col(f).cast("double") * F.col(f"t.{w}")
+        score = term if score is None else score + term
+    rows = rows.select("list_id", F.col("t.trial_id").alias("trial_id"), "raw_rank", "base_score", "labels", F.round(score, 6).alias("score"))
+    order = W.partitionBy("list_id", "trial_id").orderBy(F.desc("score"), F.desc("base_score"), "raw_rank")
+    top = rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+    sums = label_metrics(top, ks)
     rows = trials.join(sums, "trial_id", "left")
     names = [f"{m}_{x}" for x in ks for m in ("p", "r", "ndcg")]
     total = n.scalar()
@@ -143,6 +126,28 @@ def search_weights(features: DataFrame, pool: DataFrame, gold: DataFrame, splits
     return rows.withColumn("objective", objective(fv.OBJECTIVE))
 
 
+def labelled_candidates(features: DataFrame, labels: DataFrame, cols, list_col="sig") -> DataFrame:
+    """Candidates of the lists that have labels, each with its labels, dealt by list.
+
+    Everything that follows per (list, trial) keeps that partitioning, so trials
+    times candidates is never shuffled.
+    """
+    sums = [c for c in labels.columns if c not in ("list_id", "ranks")]
+    each = labels.withColumn("label", F.array_join("ranks", ",")).withColumn("raw_rank", F.explode("ranks"))
+    each = each.groupBy("list_id", "raw_rank").agg(F.collect_list(F.struct("label", *sums)).alias("labels"))
+    rows = features.select(F.col(list_col).alias("list_id"), F.col("raw_rank").cast("int").alias("raw_rank"), *dict.fromkeys(c for c in cols))
+    rows = rows.join(labels.select("list_id").distinct(), "list_id", "left_semi").join(each, ["list_id", "raw_rank"], "left")
+    return rows.repartition("list_id")
+
+
+def label_metrics(top: DataFrame, ks) -> DataFrame:
+    """Metric sums of each trial from its top candidates (list_id, trial_id, position, labels)."""
+    met = top.select("list_id", "trial_id", "position", F.inline("labels"))
+    sums = [c for c in met.columns if c not in ("list_id", "trial_id", "position", "label")]
+    best = met.groupBy("list_id", "trial_id", "label").agg(F.min("position").alias("best"), *[F.first(c).alias(c) for c in sums])
+    return best.groupBy("trial_id").agg(*metric_sums(ks, F.lit(1.0)))
+
+
 def best_trials(results: DataFrame, criteria) -> DataFrame:
     """Arg-max trial per criterion; the first trial wins ties."""
     picks = [F.struct(F.lit(name).alias("criterion"), F.max_by("trial_id", F.struct(F.col(c), -F.col("trial_id"))).alias("trial_id"),

@@ -12,7 +12,6 @@ from placewright.functions.text import clean, contains_any, lit_map, slug
 from placewright.functions.numbers import valid_coords
 from placewright.session import cut_lineage
 
-BROADCAST_ROWS = 200_000
 
 
 # --- projection and filter ---------------------------------------------------
@@ -88,13 +87,6 @@ def split_eligible(df: DataFrame, flag: Column) -> tuple[DataFrame, DataFrame]:
 
 
 # --- joins that hold under skew ----------------------------------------------
-def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; beyond the bound no hint is given
-    and Spark shuffles, with adaptive skew splitting."""
-    small = df.limit(most + 1).count() <= most
-    return F.broadcast(df) if small else df
-
-
 def salted_join(left: DataFrame, right: DataFrame, keys, how="inner", salts: int = 16, spread=None) -> DataFrame:
     """Equi-join whose hot left keys are spread over ``salts`` buckets.
 
@@ -157,7 +149,7 @@ def number_rows(df: DataFrame, order, group=None, name="n") -> DataFrame:
     sizes = ranged.groupBy("_part", *groups).agg(F.count("*").alias("_size"))
     before = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    out = local.join(checked_broadcast(offsets), ["_part", *groups])
+    out = local.join(offsets, ["_part", *groups])
     return out.withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
 
 

@@ -207,9 +207,8 @@ FROM r_ranked WHERE base <= 50"""
 CTE["r_sigs"] = "SELECT DISTINCT sig, pool_id, area, time, hh, place_type, activity_type, target_group, context_tags FROM r_asked"
 CTE["r_lists"] = "SELECT s.*, rec_name, rec_area, rec_type, place_id, base_score, candidate_source, raw_rank FROM r_sigs s JOIN r_frozen f USING (pool_id)"
 CTE["r_gold"] = """
-SELECT l_orderkey AS query_id, l_orderkey * 10 + l_linenumber AS gold_id, p_name AS place_name, CASE WHEN l_returnflag = 'R' THEN '' ELSE p_brand END AS area,
- 1 + (l_quantity > 17)::INT + (l_quantity > 34)::INT AS relevance FROM lineitem JOIN part ON l_partkey = p_partkey
- QUALIFY row_number() OVER (PARTITION BY l_orderkey * 10 + l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity) = 1"""
+SELECT l_orderkey AS query_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT, l_quantity::BIGINT) AS gold_id, p_name AS place_name, CASE WHEN l_returnflag = 'R' THEN '' ELSE p_brand END AS area,
+ 1 + (l_quantity > 17)::INT + (l_quantity > 34)::INT AS relevance FROM lineitem JOIN part ON l_partkey = p_partkey"""
 CTE["r_goldsig"] = "SELECT g.*, sig, place_type, activity_type, actor FROM r_gold g JOIN (SELECT query_id, sig, place_type, activity_type, actor FROM r_asked) USING (query_id)"
 
 
@@ -221,7 +220,7 @@ def metrics_sql(recs, by="", models=""):
     steps, before = [], None
     for r in range(1, 11):
         free = "" if before is None else f" AND NOT EXISTS (SELECT 1 FROM {before} a WHERE a.query_id = p.query_id AND a.gold_id = p.gold_id {same})"
-        pick = (f"SELECT {b}query_id, {r} AS rank, arg_max(gold_id, (prio, relevance, -gold_id)) AS gold_id, arg_max(relevance, (prio, relevance, -gold_id)) AS relevance "
+        pick = (f"SELECT {b}query_id, {r} AS rank, arg_min(gold_id, (-prio, -relevance, gold_id)) AS gold_id, arg_min(relevance, (-prio, -relevance, gold_id)) AS relevance "
                 f"FROM prs p WHERE rank = {r}{free} GROUP BY {b}query_id")
         steps.append(f"a{r} AS MATERIALIZED ({pick}{'' if before is None else f' UNION ALL SELECT * FROM {before}'})")
         before = f"a{r}"

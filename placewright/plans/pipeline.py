@@ -1,29 +1,43 @@
 """Composed stages shared by the registered queries.
 
-Each stage is a lazy plan that is built once per session and input folder; a
-plan holds no data, so sharing it only saves building it again.
+Each stage is written once per application and input folder, as Parquet in the
+folder that all machines share, and read from there by every query that builds
+on it. No query plans or computes a stage a second time.
 """
 
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 from placewright import fixed_values as fv
 from placewright.operators import candidates as cand, cleaning, diagnostics as diag, ranking as rank, scoring
 from placewright.plans import roles
+from placewright.session import shared_folder
+
+_FOLDERS: dict[str, str] = {}
+
+
+def _folder(spark) -> str:
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_folder(spark)}/stages-{app}-{uuid.uuid4().hex[:8]}"
+    return _FOLDERS[app]
 
 
 def stage(fn):
-    plans: dict = {}
+    written: dict = {}
 
     @functools.wraps(fn)
     def once(spark, sf, *args):
-        key = (spark.sparkContext.applicationId, id(spark), sf, *args)
-        if key not in plans:
-            plans[key] = fn(spark, sf, *args)
-        return plans[key]
+        key = (spark.sparkContext.applicationId, sf, *args)
+        if key not in written:
+            path = f"{_folder(spark)}/{fn.__name__}-{len(written)}"
+            fn(spark, sf, *args).write.parquet(path)
+            written[key] = spark.read.parquet(path)
+        return written[key]
 
     return once
 

@@ -211,11 +211,3 @@ def seeded_top_k(spark, sf):
 @query("split_ids", "SELECT query_id, split FROM r_split")
 def split_ids(spark, sf):
     return ev.train_split(roles.gold(spark, sf))
-
-
-@query("weight_grid", "SELECT count(*) AS n, round(sum(a * 1.0), 4) AS areas, round(sum(b * 1.0), 4) AS ranks, count(DISTINCT query_id) AS queries FROM (SELECT unnest([0.2, 0.3, 0.4, 0.5, 0.7]) AS a), "
-       "(SELECT unnest([0.0, 0.05, 0.1]) AS b), (SELECT query_id FROM r_requests)")
-def weight_grid(spark, sf):
-    grid = search.grid_trials(spark, ["a", "b"], [[0.2, 0.3, 0.4, 0.5, 0.7], [0.0, 0.05, 0.1]])
-    rows = roles.requests(spark, sf).select("query_id", F.explode(grid.agg(F.collect_list(F.struct("a", "b"))).scalar()).alias("t"))
-    return rows.agg(F.count("*").alias("n"), F.round(F.sum("t.a"), 4).alias("areas"), F.round(F.sum("t.b"), 4).alias("ranks"), F.count_distinct("query_id").alias("queries"))

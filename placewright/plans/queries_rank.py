@@ -77,7 +77,7 @@ def split_evaluation(spark, sf):
     return out.select("split", "k", *R6("precision_at_k", "recall_at_k", "ndcg_at_k"), "query_count")
 
 
-TRIALS = 12
+TRIALS = 300
 
 
 def _trials_sql():
@@ -131,6 +131,35 @@ def weight_search(spark, sf):
     return _search(spark, sf).select("trial_id", *fv.TUNED_WEIGHTS, *R6(*_M, "objective"))
 
 
+def _grid_sql(names, grid):
+    """All combinations with their row number, last list fastest."""
+    stride, parts, lists = 1, [], []
+    for i in reversed(range(len(names))):
+        parts.append(f"i{i} * {stride}")
+        stride *= len(grid[i])
+    for i, (n, g) in enumerate(zip(names, grid)):
+        lists.append(f"(SELECT unnest({[float(v) for v in g]}) AS {n}, unnest(range({len(g)})) AS i{i})")
+    return f"SELECT {' + '.join(parts)} AS grid_id, {', '.join(names)} FROM {', '.join(lists)}"
+
+
+def _grid_means(features, names, grid, cols):
+    """Every grid row with the mean score that its weights give the candidates."""
+    means = features.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)])
+    rows = search.grid_trials(features.sparkSession, names, grid).withColumn("m", means.agg(F.first(F.struct(*means.columns))).scalar())
+    total = None
+    for i, n in enumerate(names):
+        term = F.col(n) * F.col(f"m.m{i}")
+        total = term if total is None else total + term
+    return rows.select("grid_id", *names, F.round(total, 6).alias("mean_score"))
+
+
+@query("weight_grid", f"""WITH grid AS ({_grid_sql(fv.TUNED_WEIGHTS, fv.TUNED_GRID)}), m AS (SELECT {', '.join(f'avg({c}) AS m{i}' for i, c in enumerate(rank.TUNED_FEATURES))} FROM r_tuned)
+SELECT grid_id, {', '.join(fv.TUNED_WEIGHTS)}, round({' + '.join(f'{n} * m{i}' for i, n in enumerate(fv.TUNED_WEIGHTS))}, 6) AS mean_score FROM grid, m""")
+def weight_grid(spark, sf):
+    """All 3 840 rows of the tuned grid."""
+    return _grid_means(pipe.tuned(spark, sf), fv.TUNED_WEIGHTS, fv.TUNED_GRID, rank.TUNED_FEATURES)
+
+
 @query("weight_search_best", _search_sql(" UNION ALL ".join(
     f"SELECT '{n}' AS criterion, arg_max(trial_id, ({c}, -trial_id)) AS trial_id, round(max({c}), 6) AS value FROM res"
     for n, c in {"best_by_ndcg10": "ndcg_10", "best_by_p1": "p_1", "best_by_p3": "p_3", "best_by_objective": "objective"}.items())))

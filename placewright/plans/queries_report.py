@@ -28,7 +28,20 @@ def final_rerank(spark, sf):
     return _final_recs(spark, sf).select("sig", "raw_rank", "rank", "score")
 
 
-@query("diverse_rerank")
+def _diverse_sql(weight, k=10):
+    """The greedy steps, unrolled: each takes the best of what is left under the penalties of the picks before."""
+    steps = [f"c AS MATERIALIZED (SELECT sig, raw_rank, rec_type, rec_area, s, row_number() OVER (PARTITION BY sig ORDER BY s DESC, base_score DESC, raw_rank) AS pos FROM (SELECT *, {FINAL_SCORE(_CTXW)} AS s FROM r_final))",
+             "d0 AS MATERIALIZED (SELECT sig, 0 AS rank, raw_rank, rec_type, rec_area, s AS adj FROM c WHERE false)"]
+    for r in range(1, k + 1):
+        d = f"d{r - 1}"
+        steps.append(f"""d{r} AS MATERIALIZED (SELECT * FROM {d} UNION ALL SELECT sig, {r}, raw_rank, rec_type, rec_area, adj FROM (
+ SELECT c.*, s - {weight} * (coalesce(t.n, 0)::DOUBLE * 0.70 + greatest(0.0, coalesce(a.n, 0)::DOUBLE - 2.0) * 0.30) AS adj FROM c
+ LEFT JOIN (SELECT sig, rec_type, count(*) AS n FROM {d} GROUP BY sig, rec_type) t USING (sig, rec_type) LEFT JOIN (SELECT sig, rec_area, count(*) AS n FROM {d} GROUP BY sig, rec_area) a USING (sig, rec_area)
+ WHERE NOT EXISTS (SELECT 1 FROM {d} x WHERE x.sig = c.sig AND x.raw_rank = c.raw_rank) QUALIFY row_number() OVER (PARTITION BY sig ORDER BY adj DESC, pos) = 1))""")
+    return f"WITH {', '.join(steps)} SELECT sig, raw_rank, rank, rec_type, round(adj, 6) AS score FROM d{k}"
+
+
+@query("diverse_rerank", _diverse_sql("0.10"))
 def diverse_rerank(spark, sf):
     return _final_recs(spark, sf, 0.10).select("sig", "raw_rank", "rank", "rec_type", "score")
 

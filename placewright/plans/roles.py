@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from placewright.operators.shaping import first_per
-
 AREAS = [f"Brand#{i}" for i in range(1, 26)]
 KNOWN_AREAS = AREAS[:20]
 ADJACENCY = {a: [b] for a, b in zip(AREAS, AREAS[1:])}
-CANDIDATE_POOL = 1000
+#: Places per type and context that a request's pool is drawn from; the operator's default.
+CANDIDATE_POOL = 200
 
 
 _SCHEMAS: dict = {}
@@ -72,13 +71,14 @@ def requests(spark, sf) -> DataFrame:
 
 
 def gold(spark, sf) -> DataFrame:
-    """Every order line with its part as a gold row; first row per gold id."""
+    """Every order line with its part as a gold row; the id holds all columns that tell lines apart."""
     l, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    parts = [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), cents, F.col("l_quantity").cast("long")]
     rel = F.lit(1) + (F.col("l_quantity") > 17).cast("int") + (F.col("l_quantity") > 34).cast("int")
     rows = l.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("query_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("gold_id"), F.col("p_name").alias("place_name"),
-        F.when(F.col("l_returnflag") == "R", "").otherwise(F.col("p_brand")).alias("area"), rel.alias("relevance"), "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    rows = first_per(rows, ["gold_id"], ["l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"])
+        F.col("l_orderkey").alias("query_id"), F.concat_ws("-", *[c.cast("string") for c in parts]).alias("gold_id"), F.col("p_name").alias("place_name"),
+        F.when(F.col("l_returnflag") == "R", "").otherwise(F.col("p_brand")).alias("area"), rel.alias("relevance"))
     return rows.select("query_id", "gold_id", "place_name", "area", "relevance", F.col("gold_id").alias("ord"))
 
 

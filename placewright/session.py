@@ -33,18 +33,24 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that the driver and all executors share, for checkpoints and tables between stages.
 
     ``spark.checkpoint.dir`` is read from the session. Where it is not set, a
     temporary folder serves a local master, as in tests; on a cluster that folder
     would be one machine's own, so there the setting is required.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        if named is None and not re.match(r"local(\[|$)", context.master):
+    if named is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="placewright-ckpt-"))
+        named = tempfile.mkdtemp(prefix="placewright-ckpt-")
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder that the session's machines share."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

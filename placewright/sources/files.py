@@ -52,23 +52,41 @@ def read_csv_pruned(spark, path, cols, encodings=("UTF-8", "MS949"), schema=None
     raise ValueError(f"cannot read {path}: " + " / ".join(errors))
 
 
-def read_csv_strings(spark, path, encoding="UTF-8") -> DataFrame:
-    """All-text CSV; blanks stay blank instead of becoming null."""
-    df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True) \
+def read_csv_strings(spark, path, encoding="UTF-8", multi_line: bool = False) -> DataFrame:
+    """All-text CSV; blanks stay blank instead of becoming null.
+
+    Files are split between tasks unless ``multi_line`` says that quoted fields
+    hold line breaks, which makes each file one task.
+    """
+    df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line) \
         .option("escape", '"').option("encoding", encoding).csv(path)
     df = df.toDF(*[c.lstrip(BOM) for c in df.columns])
     return df.na.fill("")
 
 
+def csv_files(spark, path) -> list[str]:
+    """All CSV files under a folder, at any depth; the listing is Spark's own."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path).select("path")
+    return sorted(r.path for r in rows.collect())
+
+
 def read_dir(spark, path, prefer_token="manual_reviewed") -> DataFrame:
-    """Every CSV under a folder, or only those whose name carries the token."""
-    files = _paths(spark, path.rstrip("/") + "/*.csv") + _paths(spark, path.rstrip("/") + "/*/*.csv")
+    """Every CSV under a folder at any depth, or only those whose name carries the token.
+
+    Files are joined by column name: those that share a header, in whatever
+    place, are one read, and headers that differ are united.
+    """
+    files = csv_files(spark, path)
     preferred = [f for f in files if prefer_token in f.rsplit("/", 1)[-1]]
-    chosen = sorted(preferred or files)
+    chosen = preferred or files
     if not chosen:
         raise FileNotFoundError(path)
-    df = read_csv_strings(spark, chosen)
-    return df.withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    by_header: dict[tuple, list[str]] = {}
+    for f in chosen:
+        by_header.setdefault(tuple(header_of(spark, f)), []).append(f)
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+        read_csv_strings(spark, group).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1)) for group in by_header.values()])
+    return df.na.fill("")
 
 
 def discover_by_schema(spark, globs, required, skip_tokens=()) -> list[str]:
@@ -101,19 +119,26 @@ RECORD_AREA_KEYS = ["district_normalized", "recommended_district", "district", "
 RECORD_TYPE_KEYS = ["recommended_place_type", "place_type", "type", "category"]
 
 
-def flatten_json_records(df: DataFrame, column: str, depth: int = 6) -> DataFrame:
-    """Every object in nested JSON that has a name and an area, to a depth.
+def flatten_json_records(df: DataFrame, column: str) -> DataFrame:
+    """Every object in nested JSON that has a name and an area, at any depth.
 
-    Each level explodes the variant one step; leaves drop out as they are met.
+    The deepest nesting is taken from the data (most brackets open at once, an
+    upper bound); each level explodes the variant one step, and leaves drop out
+    as they are met.
     """
     fields = T.StructType([T.StructField(k, T.StringType()) for k in
                            RECORD_NAME_KEYS + RECORD_AREA_KEYS + RECORD_TYPE_KEYS + ["address", "lat", "lng", "score"]])
+    brackets = F.split(F.regexp_replace(F.regexp_replace(column, r'"(?:[^"\\\\]|\\\\.)*"', ""), r"[^\[\]{}]", ""), "")
+    open_ = F.aggregate(brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda d, c: F.struct(
+        (d["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias("now"),
+        F.greatest(d["most"], d["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most")))
+    depth = df.agg(F.max(open_["most"])).first()[0] or 0
     level = df.select(F.parse_json(F.col(column)).alias("v"))
     levels = [level]
-    for i in range(depth):
+    for _ in range(depth):
         level = level.lateralJoin(
             level.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("value").alias("child"))
-        ).select(F.col("child").alias("v")) if i >= 0 else level
+        ).select(F.col("child").alias("v"))
         level = level.filter(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
         levels.append(level)
     every = reduce(lambda a, b: a.unionByName(b), levels)

@@ -90,3 +90,20 @@ def test_display_name(spark):
     rows = spark.createDataFrame([("강남", "subway"), ("중구", "park"), ("사당역", "subway"), ("망원시장", "market"), ("", "park")], "n string, t string")
     got = [r[0] for r in rows.select(text.display_name("n", "t")).collect()]
     assert got == ["강남역 11번 출구 앞", "중구 주요 유세 거점", "사당역 출구 앞", "망원시장 입구", "장소 확인 필요"]
+
+
+def test_place_key_is_the_nfkc_key(spark):
+    """Decomposed Hangul, circled digits, superscripts, ligatures, marks and width variants against Python's NFKC."""
+    import random
+    import re
+    import unicodedata
+
+    rng = random.Random(2)
+    pool = "aZ9 가힣강남역①⑩²½ﬁ№ｶＡ１ㄱㅏㄴ한가éñx́éÉㅎㅏㄴﾡￂ-_/()😀"
+    values = ["강남역", "①번 출구", "²층", "제⑩회 ㈜가", "", None]
+    values += ["".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    want = [re.sub("[^0-9a-z가-힣]", "", unicodedata.normalize("NFKC", (v or "").strip(" ")).lower()) for v in values]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = [r.k for r in rows.select("i", text.place_key("v").alias("k")).orderBy("i").collect()]
+    assert [(v, g, w) for v, g, w in zip(values, got, want) if g != w] == []
+    assert want[:3] == ["강남역", "1번출구", "2층"]

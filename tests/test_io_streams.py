@@ -102,3 +102,23 @@ def test_recent_visits_counts_match(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("recent").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("recent").agg(F.max("visits")).first()[0] == 3
+
+
+def test_read_dir_joins_by_name_at_any_depth(spark, tmp_path):
+    (tmp_path / "x" / "y" / "z").mkdir(parents=True)
+    (tmp_path / "one.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "x" / "two.csv").write_text("b,a\n9,8\n")
+    (tmp_path / "x" / "y" / "z" / "three.csv").write_text("a,c\n5,6\n")
+    rows = files.read_dir(spark, str(tmp_path)).select("a", "b", "c", "source_file").collect()
+    assert sorted(map(tuple, rows)) == [("1", "2", "", "one.csv"), ("5", "", "6", "three.csv"), ("8", "9", "", "two.csv")]
+
+
+def test_json_records_at_any_depth(spark):
+    import json
+
+    deep = {"name": "n", "district": "d"}
+    for i in range(9):
+        deep = {"k": [deep]} if i % 2 else {"k": deep, "note": "]]}}"}
+    rows = spark.createDataFrame([(json.dumps(deep),), (json.dumps([{"place_name": "p", "region": "r"}]),), ("{}",)], "v string")
+    got = files.flatten_json_records(rows, "v").select("place_name", "area").collect()
+    assert sorted(map(tuple, got)) == [("n", "d"), ("p", "r")]

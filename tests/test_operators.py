@@ -98,7 +98,7 @@ def test_diverse_rerank_equals_the_loop(spark, weight):
     rows = [{"sig": s, "raw_rank": i, "base_score": (i * 37 % 11) / 10, "base_final": (i * 53 % 17) / 10, "rec_type": "ab"[i % 2] + str(i % 3), "rec_area": "xyz"[i % 3]}
             for s in ("p", "q") for i in range(1, 25)]
     df = spark.createDataFrame(rows, "sig string, raw_rank int, base_score double, base_final double, rec_type string, rec_area string")
-    got = ranking.diverse_rerank(df, ("sig",), 10, weight, fold=True).filter("sig = 'p'").orderBy("rank").collect()
+    got = ranking.diverse_rerank(df, ("sig",), 10, weight).filter("sig = 'p'").orderBy("rank").collect()
     assert [r["raw_rank"] for r in got] == _greedy([r for r in rows if r["sig"] == "p"], 10, weight)
 
 
@@ -213,3 +213,23 @@ def test_scores_stay_in_range(spark):
     rows = scoring.score_places({"park": parks}).collect()
     assert len(rows) == 8 and all(0 <= r["score"] <= 1 for r in rows)
     assert any("context keyword match: 광장, 문화" in r["reasons"] for r in rows)
+
+
+def test_recency_ignores_visits_without_area(spark):
+    stops = spark.createDataFrame([("2024-05-10", "p", "")], "day string, place_name string, area string").selectExpr("to_date(day) AS day", "place_name", "area")
+    visits = spark.createDataFrame([("2024-05-09", "p", "")], "visit_date string, place_name string, area string")
+    assert routes.recency_penalty(stops, visits).first()["visit_penalty"] == -0.5
+
+
+def test_window_that_ends_before_it_starts_fails(spark):
+    rows = spark.createDataFrame([(1, ["a"], 3, "10:00", "09:00")], "route_id int, areas array<string>, num_visits int, start_time string, end_time string")
+    with pytest.raises(Exception, match="bad time window"):
+        routes.parse_requests(rows).collect()
+
+
+def test_swaps_count_each_name_once(spark):
+    stops = spark.createDataFrame([(1, 1, "a", "t0", "own")], "route_id int, order int, area string, place_type string, raw_place_name string")
+    names = [("own", f"t{i}") for i in range(6)] + [(f"n{i}", "t9") for i in range(4)]
+    pool = spark.createDataFrame([(n, "a", t, "", None, None, 1.0, "s", 1, False, i) for i, (n, t) in enumerate(names)],
+                                 "place_name string, area string, place_type string, address string, lat double, lng double, score double, source string, priority int, is_fallback boolean, i int")
+    assert routes.swap_options(stops, pool, 4).count() == 4
