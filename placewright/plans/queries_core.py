@@ -176,11 +176,10 @@ def gold_normalised(spark, sf):
     return rows.select(F.col("gold_id").cast("long").alias("query_id"), "area", "place_type", "activity_type", "presence", "label", "context_tags")
 
 
-@query("target_groups", f"""SELECT t AS targets, count(*) AS docs FROM (SELECT CASE WHEN len(x) = 0 THEN '{fv.TARGET_DEFAULT}' ELSE array_to_string(x, ';') END AS t FROM (
- SELECT {all_of("concat_ws(' ', place_type, activity_type, target_group)", fv.TARGET_RULES)} AS x FROM r_requests)) GROUP BY t""")
+@query("target_groups", f"""SELECT query_id, t AS targets FROM (SELECT query_id, CASE WHEN len(x) = 0 THEN '{fv.TARGET_DEFAULT}' ELSE array_to_string(x, ';') END AS t FROM (
+ SELECT query_id, {all_of("concat_ws(' ', place_type, activity_type, target_group)", fv.TARGET_RULES)} AS x FROM r_requests))""")
 def target_groups(spark, sf):
-    rows = roles.requests(spark, sf).select(goldset.infer_targets(tf.join_context("place_type", "activity_type", "target_group")).alias("targets"))
-    return rows.groupBy("targets").agg(F.count("*").alias("docs"))
+    return roles.requests(spark, sf).select("query_id", goldset.infer_targets(tf.join_context("place_type", "activity_type", "target_group")).alias("targets"))
 
 
 @query("value_counts", "SELECT place_type AS value, count(*) AS rows FROM r_requests GROUP BY place_type")

@@ -59,13 +59,13 @@ def similarity_at_10(spark, sf):
 WITH t AS (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY s DESC, base_score DESC, raw_rank) AS rank FROM (SELECT *, {FINAL_SCORE(_CTXW)} AS s FROM r_final) QUALIFY rank <= 10),
  f AS (SELECT g.gold_id, min(l.rank) AS bf FROM r_goldsig g JOIN t l ON l.sig = g.sig AND (contains(l.rec_name, g.place_name) OR contains(g.place_name, l.rec_name))
   AND (g.area = '' OR g.area = l.rec_area) GROUP BY g.gold_id)
-SELECT CASE WHEN coalesce(bf <= 10, false) THEN 'hit' WHEN NOT in_raw_top50 THEN 'candidate_generation_gap' WHEN t.type_match < 0.5 THEN 'place_type_mismatch'
- WHEN t.time_match < 0.5 THEN 'time_context_mismatch' ELSE 'ranking_demoted' END AS failure_category, count(*) AS rows FROM r_coverage c LEFT JOIN f USING (gold_id)
- LEFT JOIN t ON t.sig = c.sig AND t.rank = 1 GROUP BY 1""")
+SELECT c.gold_id, CASE WHEN coalesce(bf <= 10, false) THEN 'hit' WHEN NOT in_raw_top50 THEN 'candidate_generation_gap' WHEN t.type_match < 0.5 THEN 'place_type_mismatch'
+ WHEN t.time_match < 0.5 THEN 'time_context_mismatch' ELSE 'ranking_demoted' END AS failure_category FROM r_coverage c LEFT JOIN f USING (gold_id)
+ LEFT JOIN t ON t.sig = c.sig AND t.rank = 1""")
 def failure_classes(spark, sf):
     recs = _final_recs(spark, sf)
     covered = diag.coverage(pipe.gold(spark, sf), pipe.lists(spark, sf), recs, "sig", areas=roles.AREAS)
-    return diag.failure_cases(covered, recs, "sig").groupBy("failure_category").agg(F.count("*").alias("rows"))
+    return diag.failure_cases(covered, recs, "sig").select("gold_id", "failure_category")
 
 
 @query("semantic_similarity")
@@ -118,13 +118,13 @@ _ALIAS = """al AS (SELECT DISTINCT p_name AS cn, string_split(p_name, ' ')[2] AS
 WITH {_ALIAS}, ok AS (SELECT area, f, t FROM ed), gx AS (SELECT gold_id, sig, area, replace(place_name, ' ', '') AS k FROM r_goldsig), rx AS (SELECT DISTINCT sig, rank, rec_area, replace(rec_name, ' ', '') AS k FROM r_combined),
  base AS (SELECT gold_id, rank, g.k AS gk, r.k AS rk, CASE WHEN g.k = r.k THEN 'exact' WHEN contains(g.k, r.k) OR contains(r.k, g.k) THEN 'partial' END AS m, r.rec_area AS a FROM gx g JOIN rx r ON r.sig = g.sig AND (g.area = '' OR g.area = r.rec_area)),
  ah AS (SELECT DISTINCT gold_id, rank FROM base JOIN ok x ON x.f = gk AND x.area = a JOIN ok y ON y.f = rk AND y.area = a AND y.t = x.t)
-SELECT method, count(*) AS pairs FROM (SELECT CASE WHEN m = 'exact' THEN 'exact' WHEN ah.gold_id IS NOT NULL THEN 'alias' ELSE m END AS method FROM base LEFT JOIN ah USING (gold_id, rank))
-WHERE method IS NOT NULL GROUP BY method""")
+SELECT gold_id, rank, method FROM (SELECT gold_id, rank, CASE WHEN m = 'exact' THEN 'exact' WHEN ah.gold_id IS NOT NULL THEN 'alias' ELSE m END AS method FROM base LEFT JOIN ah USING (gold_id, rank))
+WHERE method IS NOT NULL""")
 def alias_match(spark, sf):
     recs = pipe.variants(spark, sf, "combined")
     g, r = match.prepare_gold(pipe.gold(spark, sf), "sig", roles.AREAS), match.prepare_recs(recs, "sig", areas=roles.AREAS)
     pairs = match.match_pairs(g, r, pipe.alias_table(spark, sf))
-    return pairs.groupBy("method").agg(F.count("*").alias("pairs"))
+    return pairs.select("gold_id", "rank", "method")
 
 
 @query("alias_table", f"""WITH {_ALIAS} SELECT replace(cn, ' ', '') AS canonical_key, an AS alias_key, area AS std_area,

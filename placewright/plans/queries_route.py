@@ -112,14 +112,14 @@ def route_distance(spark, sf):
 @query("coordinate_sources", """
 WITH k AS (SELECT DISTINCT area, name FROM r_places WHERE kind = 'park' AND latitude BETWEEN 37.0 AND 38.0 AND longitude BETWEEN 126.0 AND 128.0),
  s AS (SELECT DISTINCT area, name FROM r_places WHERE kind = 'market' AND latitude BETWEEN 37.0 AND 38.0 AND longitude BETWEEN 126.0 AND 128.0)
-SELECT CASE WHEN p.pk % 3 = 0 AND latitude BETWEEN 37.0 AND 38.0 AND longitude BETWEEN 126.0 AND 128.0 THEN 'original' WHEN k.name IS NOT NULL THEN 'known_seoul_coordinates' WHEN s.name IS NOT NULL THEN 'static'
- ELSE 'missing' END AS coordinate_source, count(*) AS rows FROM r_places p LEFT JOIN k USING (area, name) LEFT JOIN s USING (area, name) GROUP BY 1""")
+SELECT p.place_id, CASE WHEN p.pk % 3 = 0 AND latitude BETWEEN 37.0 AND 38.0 AND longitude BETWEEN 126.0 AND 128.0 THEN 'original' WHEN k.name IS NOT NULL THEN 'known_seoul_coordinates' WHEN s.name IS NOT NULL THEN 'static'
+ ELSE 'missing' END AS coordinate_source FROM r_places p LEFT JOIN k USING (area, name) LEFT JOIN s USING (area, name)""")
 def coordinate_sources(spark, sf):
     p = roles.places(spark, sf)
     index = lambda k: p.filter(F.col("kind") == k).select("area", tf.place_key("name").alias("key"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
     own = F.col("pk") % 3 == 0
-    stops = p.select("area", F.col("name").alias("place_name"), F.when(own, F.col("latitude")).alias("lat"), F.when(own, F.col("longitude")).alias("lng"))
-    return coords.resolve(stops, index("park"), index("market")).groupBy("coordinate_source").agg(F.count("*").alias("rows"))
+    stops = p.select("place_id", "area", F.col("name").alias("place_name"), F.when(own, F.col("latitude")).alias("lat"), F.when(own, F.col("longitude")).alias("lng"))
+    return coords.resolve(stops, index("park"), index("market")).select("place_id", "coordinate_source")
 
 
 @query("template_routes")
@@ -128,13 +128,28 @@ def template_routes(spark, sf):
     return rows.select("age_group", "template", *[F.col(f"c{i}.name").alias(f"stop_{i}") for i in range(1, 5)], "route_score", *R6("mean_place_score", "average_interaction"))
 
 
-@query("choose_query")
+@query("choose_query", """
+WITH a AS (SELECT DISTINCT c_nationkey AS nk, c_mktsegment AS seg, ['Brand#' || (c_nationkey + 1), 'Brand#' || ((c_nationkey + 1) % 25 + 1)] AS areas,
+  CASE c_mktsegment WHEN 'AUTOMOBILE' THEN '직장인' WHEN 'BUILDING' THEN '지역주민' WHEN 'FURNITURE' THEN '상인' WHEN 'HOUSEHOLD' THEN '노년층' ELSE '청년' END AS target FROM customer),
+ q AS (SELECT area, target_group, place_type, activity_type, substr(time, 1, 2) AS h, min(query_id) AS query_id FROM r_requests GROUP BY ALL),
+ s AS (SELECT nk, seg, query_id, CASE WHEN contains(target_group, target) THEN 3 ELSE 0 END + CASE WHEN contains(place_type || ' ' || activity_type, '시장') THEN 3 ELSE 0 END
+  + CASE WHEN h = '09' THEN 2 ELSE 0 END + CASE WHEN list_contains(areas, area) THEN 10 ELSE 0 END AS score FROM a, q),
+ b AS (SELECT nk, seg, arg_min(query_id, (-score, query_id)) AS query_id, max(score) AS score FROM s GROUP BY nk, seg)
+SELECT c_custkey AS request_id, query_id, score FROM customer JOIN b ON nk = c_nationkey AND seg = c_mktsegment""")
 def choose_query(spark, sf):
     asks = _requests(spark, sf).select(F.col("route_id").alias("request_id"), "areas", F.col("target_group").alias("target"), F.lit("시장").alias("purpose"), F.col("start_time").alias("time"))
     return routes.choose_query(asks, roles.requests(spark, sf), roles.AREAS)
 
 
-@query("broadened_lists")
+@query("broadened_lists", """
+WITH own AS (SELECT sig AS list_id, rec_area AS area, place_id AS item_id, score, 0 AS stage, rank AS r FROM r_tuned_recs WHERE rank <= 3),
+ short AS (SELECT list_id, area FROM own GROUP BY list_id, area HAVING count(*) < 5),
+ p AS (SELECT area, place_id AS item_id, price / 10000.0 AS score, pk % 2 AS odd FROM r_places),
+ near AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY score DESC, item_id) AS r FROM p WHERE odd = 0 QUALIFY r <= 10),
+ seed AS (SELECT *, row_number() OVER (ORDER BY score DESC, item_id) AS r FROM p WHERE odd = 1 QUALIFY r <= 10),
+ every AS (SELECT * FROM own UNION ALL SELECT list_id, area, item_id, score, 1, r FROM short JOIN near USING (area) UNION ALL SELECT list_id, short.area, item_id, score, 2, r FROM short, seed),
+ one AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY list_id, item_id ORDER BY stage, r) = 1)
+SELECT list_id, area, item_id, score, stage, row_number() OVER (PARTITION BY list_id ORDER BY stage, r, item_id) AS position FROM one QUALIFY position <= 5""")
 def broadened_lists(spark, sf):
     recs = pipe.tuned_recs(spark, sf).filter("rank <= 3").select(F.col("sig").alias("list_id"), F.col("rec_area").alias("area"), F.col("place_id").alias("item_id"), "score", "rank")
     p = roles.places(spark, sf).select("area", F.col("place_id").alias("item_id"), (F.col("price") / 10000.0).alias("score"))
