@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewright.llm.common import cut_lineage
@@ -76,7 +78,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
         edges = cut_lineage(small.distinct())
@@ -88,19 +90,70 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(roots)
 
 
+#: Pairs of (band, key) that a task holds before it passes them on, or reduces them to one key a band.
+HELD = 1 << 20
+DEALT = "deal int, bands binary, keys binary"
+
+
+def dealt(pieces: Iterator[tuple[np.ndarray, np.ndarray]], deals: int) -> Iterator[pa.RecordBatch]:
+    """Rows of DEALT for (bands, keys): pairs go by band to one of `deals` places, many to a row."""
+    held, n = [], 0
+
+    def passed():
+        bands, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+        place = (bands.view(np.uint64) % np.uint64(deals)).astype(np.int32)
+        order = np.argsort(place, kind="stable")
+        used, first = np.unique(place[order], return_index=True)
+        cut = [np.split(x[order].astype("<i8"), first[1:]) for x in (bands, keys)]
+        return pa.RecordBatch.from_arrays([pa.array(used), *(pa.array([x.tobytes() for x in parts], pa.binary()) for parts in cut)], names=["deal", "bands", "keys"])
+
+    for piece in pieces:
+        held.append(piece)
+        n += len(piece[0])
+        if n >= HELD:
+            yield passed()
+            held, n = [], 0
+    if n:
+        yield passed()
+
+
 def stars(bands: DataFrame) -> DataFrame:
-    """Edges a, b from the keys of each band to the least one; band, key."""
+    """Edges a, b from the keys of each band to one of them; rows of DEALT.
+
+    A partition keeps one key for each band that it has seen, so a band of any
+    number of keys takes no more memory than a band of one.
+    """
 
     def task(batches):
-        last, first = None, None
-        for batch in batches:
-            band, key = batch.column("band").to_numpy(), batch.column("key").to_numpy()
-            new = np.append(band[0] != last, band[1:] != band[:-1])
-            heads = np.maximum.accumulate(np.where(new, np.arange(len(band)), -1))
-            pivot = np.where(heads >= 0, key[np.maximum(heads, 0)], first if first is not None else 0)
-            last, first = band[-1], pivot[-1]
+        heads, pivots, held, n = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def reduced():
+            nonlocal heads, pivots
+            band = np.concatenate([heads, *(b for b, _ in held)])
+            key = np.concatenate([pivots, *(k for _, k in held)])
+            order = np.argsort(band, kind="stable")  # a key kept from before comes first in its band
+            band, key = band[order], key[order]
+            new = np.append(True, band[1:] != band[:-1])
+            first = np.flatnonzero(new)
+            pivot = key[first][np.cumsum(new) - 1]
+            heads, pivots = band[first], key[first]
             other = pivot != key
             pairs = np.unique(np.stack([np.minimum(pivot, key)[other], np.maximum(pivot, key)[other]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            for bands_, keys in zip(batch.column("bands"), batch.column("keys"), strict=True):
+                held.append((np.frombuffer(bands_.as_py(), "<i8"), np.frombuffer(keys.as_py(), "<i8")))
+                n += len(held[-1][0])
+                if n >= HELD + len(heads):
+                    yield reduced()
+                    held, n = [], 0
+        if n:
+            yield reduced()
+
+    return bands.repartition("deal").mapInArrow(task, "a long, b long")
+
 
-    return bands.repartition("band").sortWithinPartitions("band", "key").mapInArrow(task, "a long, b long")
+def deals_of(spark: SparkSession) -> int:
+    """As many places as the session deals shuffles out to."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

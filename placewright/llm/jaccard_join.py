@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewright.llm.common import Texts, cut_lineage, mix, plain_texts, range_hash, release, slices
-from placewright.llm.components import components, stars
+from placewright.llm.components import DEALT, components, dealt, deals_of, stars
 from placewright.llm.token_groups import link_clusters
 
 _U = np.uint64
+#: Tokens of a bucket below which it is left out where that is safe.
+TELLING = 4
 
 def shingle_sets(texts: Texts, words: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the word n-grams of each text, A-Z lower-cased; a shorter text is one n-gram of all its words."""
@@ -51,10 +53,12 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     """Values of which linked sets share at least one.
 
     Linked sets differ in at most (100 - percent) / percent of the smaller one's
-    tokens. The tokens are dealt into one bucket more than sets of a size class can
-    differ in, so a linked pair has a bucket of equal content in the class of the
-    larger set; the smaller one therefore also counts in the next class where a
-    partner may lie there. Empty buckets count only where all others could differ.
+    tokens. The tokens are dealt into `spare` more buckets than sets of a size class
+    can differ in, so a linked pair has that many buckets of equal content in the
+    class of the larger set; the smaller one therefore also counts in the next class
+    where a partner may lie there. Buckets of few tokens tell little. Equal buckets
+    are small in both sets, so a set with fewer small buckets than `spare` leaves
+    them out: what it shares with any partner holds a larger one.
     """
     bounds, out = size_classes(percent), []
     own = int(np.searchsorted(bounds, len(tokens), side="right")) - 1
@@ -62,7 +66,8 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     spread, mixed = mix(tokens ^ _U(0xD6E8FEB86659FD93)), mix(tokens + _U(0x632BE59BD9B4E019))
     for c in range(own, last + 1):
         differ = (int(bounds[c + 1]) - 1) * (100 - percent) // percent
-        buckets = differ + 1
+        spare = 1 + differ * 2 // 5
+        buckets = differ + spare
         at = (spread % _U(buckets)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         sums = np.zeros(buckets + 1, dtype=np.uint64)
@@ -71,8 +76,11 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
         totals = np.concatenate([[_U(0)], np.cumsum(mixed[order])])
         sums = totals[ends] - totals[ends - counts]
         values = mix(mix(sums + _U(c)) + np.arange(buckets, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + counts.astype(np.uint64))
-        filled = counts > 0
-        out.append(values[filled] if filled.sum() > differ else values)
+        for least in (TELLING, 2, 1):
+            if (counts < least).sum() < spare:
+                values = values[counts >= least]
+                break
+        out.append(values)
     return np.concatenate(out)
 
 
@@ -98,24 +106,26 @@ def _named(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Signatures of each set, once per set and task: band (the signature), key (of the set's digest)."""
+    """Signatures of each set with the key of its digest, once per set and task."""
+    deals = deals_of(docs.sparkSession)
 
     def task(batches):
         seen: set[int] = set()
-        for batch in batches:
-            for _, _, texts in slices(batch.column("text")):
-                bands, keys = [], []
-                for tokens in shingle_sets(texts, words):
-                    if len(tokens) and (key := key_of(set_id(tokens))) not in seen:
-                        seen.add(key)
-                        bands.append(signatures(tokens, percent))
-                        keys.append(np.full(len(bands[-1]), key, dtype=np.int64))
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                if bands:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands).view(np.int64)), pa.array(np.concatenate(keys))], names=["band", "key"])
-
-    return docs.select("text").mapInArrow(task, "band long, key long")
+
+        def pieces():
+            for batch in batches:
+                for _, _, texts in slices(batch.column("text")):
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    for tokens in shingle_sets(texts, words):
+                        if len(tokens) and (key := key_of(set_id(tokens))) not in seen:
+                            seen.add(key)
+                            values = signatures(tokens, percent).view(np.int64)
+                            yield values, np.full(len(values), key, dtype=np.int64)
+
+        yield from dealt(pieces(), deals)
+
+    return docs.select("text").mapInArrow(task, DEALT)
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:

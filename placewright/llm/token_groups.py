@@ -65,14 +65,26 @@ def links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndar
 
 
 def _verified(pairs: DataFrame, percent: int, load: Callable[[bytes, object], np.ndarray | None]) -> DataFrame:
-    """Links of rows of two groups, arrays of (set_id, content); a null right group stands for the left one itself."""
+    """Links of rows of two groups, arrays of (set_id, content); a null right group stands for the left one itself.
 
-    def group(values) -> list[tuple[bytes, np.ndarray]]:
-        sets = {v["set_id"]: load(v["set_id"], v["content"]) for v in values}
-        return [(name, tokens) for name, tokens in sets.items() if tokens is not None]
+    A row holds two groups of whole contents, so the session's Arrow batches are
+    kept to 8 MB (the buffers on both sides are a multiple of that).
+    """
+    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
     def task(batches):
-        forest = Forest()
+        forest, loaded = Forest(), {}
+
+        def group(values) -> list[tuple[bytes, np.ndarray]]:
+            """Sets of a group; a few groups are kept, for one meets several others."""
+            names = frozenset(v["set_id"] for v in values)
+            if names not in loaded:
+                if len(loaded) == 32:
+                    loaded.clear()
+                sets = {v["set_id"]: load(v["set_id"], v["content"]) for v in values}
+                loaded[names] = [(name, tokens) for name, tokens in sets.items() if tokens is not None]
+            return loaded[names]
+
         for batch in batches:
             found = []
             for i in range(len(batch)):
@@ -97,19 +109,20 @@ def link_clusters(sets: DataFrame, attach: Callable[[DataFrame], DataFrame], per
     content; it may repeat a row, and add rows for which load gives None. load makes
     sorted distinct uint64 tokens of a set's content.
 
-    A cluster's sets are dealt into groups of about GROUP sets of similar size, for
-    linked sets differ in size by the similarity at most. Links are sought within
-    each group. In a cluster of several groups all sets are first compared with the
+    A cluster of up to GROUP sets is one group; a larger one is dealt into groups of
+    about GROUP sets of similar size, for linked sets differ in size by the
+    similarity at most. Links are sought within each group. In a cluster of several
+    groups all sets are first compared with the
     cluster's first set: those that link with it are one component already, and
     only the others are compared with every group of a fitting size, through the
     groups' token unions.
     """
     step = math.log(100 / percent) * 1.0001  # linked sets are in the same size class or in neighbouring ones
-    sets = sets.withColumn("level", F.floor(F.log("n") / step).cast("int"))
+    whole = sets.groupBy("cluster").agg(F.count("*").alias("members"))
+    sets = sets.join(whole, "cluster").withColumn("several", F.col("members") > GROUP)
+    sets = sets.withColumn("level", F.when(F.col("several"), F.floor(F.log("n") / step)).otherwise(0).cast("int"))
     counts = sets.groupBy("cluster", "level").agg(F.count("*").alias("fellows"))
-    whole = counts.groupBy("cluster").agg(F.sum("fellows").alias("members"), F.count("*").alias("levels"))
-    sets = sets.join(counts, ["cluster", "level"]).join(whole, "cluster").withColumn("several", (F.col("levels") > 1) | (F.col("members") > GROUP))
-    sets = sets.withColumn("group", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("fellows") / GROUP)))
+    sets = sets.join(counts, ["cluster", "level"]).withColumn("group", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("fellows") / GROUP)))
     members = cut_lineage(attach(sets.select("set_id", "cluster", "level", "group", "several")))
     release(members.sparkSession)
 
