@@ -92,20 +92,22 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 #: Pairs of (band, key) that a task holds before it passes them on, or reduces them to one key a band.
 HELD = 1 << 20
-DEALT = "deal int, bands binary, keys binary"
+#: Keys of a band up to which its pairs are counted one by one.
+FEW = 16
+DEALT = "deal int, bands binary, keys binary, needs binary"
 
 
-def dealt(pieces: Iterator[tuple[np.ndarray, np.ndarray]], deals: int) -> Iterator[pa.RecordBatch]:
-    """Rows of DEALT for (bands, keys): pairs go by band to one of `deals` places, many to a row."""
+def dealt(pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], deals: int) -> Iterator[pa.RecordBatch]:
+    """Rows of DEALT for (bands, keys, needs): pairs go by band to one of `deals` places, many to a row."""
     held, n = [], 0
 
     def passed():
-        bands, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+        bands, keys, needs = (np.concatenate(x) for x in zip(*held, strict=True))
         place = (bands.view(np.uint64) % np.uint64(deals)).astype(np.int32)
         order = np.argsort(place, kind="stable")
         used, first = np.unique(place[order], return_index=True)
-        cut = [np.split(x[order].astype("<i8"), first[1:]) for x in (bands, keys)]
-        return pa.RecordBatch.from_arrays([pa.array(used), *(pa.array([x.tobytes() for x in parts], pa.binary()) for parts in cut)], names=["deal", "bands", "keys"])
+        cut = [np.split(x[order].astype(kind), first[1:]) for x, kind in ((bands, "<i8"), (keys, "<i8"), (needs, "<u2"))]
+        return pa.RecordBatch.from_arrays([pa.array(used), *(pa.array([x.tobytes() for x in parts], pa.binary()) for parts in cut)], names=["deal", "bands", "keys", "needs"])
 
     for piece in pieces:
         held.append(piece)
@@ -117,41 +119,69 @@ def dealt(pieces: Iterator[tuple[np.ndarray, np.ndarray]], deals: int) -> Iterat
         yield passed()
 
 
+def _band_edges(band: np.ndarray, key: np.ndarray, need: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Edges (a, b, bands shared, bands needed) of rows sorted by band; kept marks rows of an earlier part."""
+    first = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+    sizes = np.diff(np.append(first, len(band)))
+    wide = (sizes > FEW) | kept[first]
+    spread = np.repeat(wide, sizes)
+    pivot = np.repeat(key[first], sizes)[spread]
+    a, b = [pivot], [key[spread]]
+    counts, needs = [np.full(len(pivot), 1 << 30)], [np.zeros(len(pivot), np.int64)]
+    for size in range(2, FEW + 1):
+        at = first[~wide & (sizes == size)]
+        for i in range(size if len(at) else 0):
+            for j in range(i):
+                a.append(key[at + i])
+                b.append(key[at + j])
+                counts.append(np.ones(len(at), np.int64))
+                needs.append(np.minimum(need[at + i], need[at + j]).astype(np.int64))
+    a, b, counts, needs = (np.concatenate(x) for x in (a, b, counts, needs))
+    pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b]
+    pairs, at = np.unique(pairs, axis=0, return_inverse=True)
+    total, least = np.zeros(len(pairs), np.int64), np.full(len(pairs), 1 << 30)
+    np.add.at(total, at, counts[a != b])
+    np.minimum.at(least, at, needs[a != b])
+    return pairs[:, 0], pairs[:, 1], np.minimum(total, 1 << 30), least
+
+
 def stars(bands: DataFrame) -> DataFrame:
-    """Edges a, b from the keys of each band to one of them; rows of DEALT.
+    """Edges a, b between keys that share a band; rows of DEALT.
 
-    A partition keeps one key for each band that it has seen, so a band of any
-    number of keys takes no more memory than a band of one.
+    Two keys of a band of few keys are joined if they share as many bands as
+    either needs; all keys of a band of many are joined to one of them. A partition
+    that does not fit keeps one key for each band that it has seen and goes on, and
+    joins what follows to that key.
     """
 
     def task(batches):
-        heads, pivots, held, n = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        old, held, n = None, [], 0
 
         def reduced():
-            nonlocal heads, pivots
-            band = np.concatenate([heads, *(b for b, _ in held)])
-            key = np.concatenate([pivots, *(k for _, k in held)])
+            nonlocal old
+            parts = [*([old] if old else []), *held]
+            band, key, need = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            kept = np.zeros(len(band), dtype=bool)
+            kept[: len(old[0]) if old else 0] = True
             order = np.argsort(band, kind="stable")  # a key kept from before comes first in its band
-            band, key = band[order], key[order]
-            new = np.append(True, band[1:] != band[:-1])
-            first = np.flatnonzero(new)
-            pivot = key[first][np.cumsum(new) - 1]
-            heads, pivots = band[first], key[first]
-            other = pivot != key
-            pairs = np.unique(np.stack([np.minimum(pivot, key)[other], np.maximum(pivot, key)[other]], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            band, key, need, kept = band[order], key[order], need[order], kept[order]
+            first = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+            old = (band[first], key[first], need[first])
+            columns = _band_edges(band, key, need, kept)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "shared", "needed"])
 
         for batch in batches:
-            for bands_, keys in zip(batch.column("bands"), batch.column("keys"), strict=True):
-                held.append((np.frombuffer(bands_.as_py(), "<i8"), np.frombuffer(keys.as_py(), "<i8")))
+            for row in zip(*(batch.column(c) for c in ("bands", "keys", "needs")), strict=True):
+                held.append(tuple(np.frombuffer(x.as_py(), kind) for x, kind in zip(row, ("<i8", "<i8", "<u2"), strict=True)))
                 n += len(held[-1][0])
-                if n >= HELD + len(heads):
+                if n >= HELD + (len(old[0]) if old else 0):
                     yield reduced()
                     held, n = [], 0
         if n:
             yield reduced()
 
-    return bands.repartition("deal").mapInArrow(task, "a long, b long")
+    edges = bands.repartition("deal").mapInArrow(task, "a long, b long, shared long, needed long")
+    return edges.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).filter("shared >= needed").select("a", "b")
 
 
 def deals_of(spark: SparkSession) -> int:

@@ -49,8 +49,8 @@ def size_classes(percent: int, most: int = 1 << 40) -> np.ndarray:
     return np.array(bounds)
 
 
-def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Values of which linked sets share at least one.
+def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of bucket contents, and for each how many values linked sets share at least.
 
     Linked sets differ in at most (100 - percent) / percent of the smaller one's
     tokens. The tokens are dealt into `spare` more buckets than sets of a size class
@@ -60,7 +60,7 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     are small in both sets, so a set with fewer small buckets than `spare` leaves
     them out: what it shares with any partner holds a larger one.
     """
-    bounds, out = size_classes(percent), []
+    bounds, out, needs = size_classes(percent), [], []
     own = int(np.searchsorted(bounds, len(tokens), side="right")) - 1
     last = int(np.searchsorted(bounds, len(tokens) * 100 // percent, side="right")) - 1
     spread, mixed = mix(tokens ^ _U(0xD6E8FEB86659FD93)), mix(tokens + _U(0x632BE59BD9B4E019))
@@ -76,12 +76,14 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
         totals = np.concatenate([[_U(0)], np.cumsum(mixed[order])])
         sums = totals[ends] - totals[ends - counts]
         values = mix(mix(sums + _U(c)) + np.arange(buckets, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + counts.astype(np.uint64))
+        need = spare
         for least in (TELLING, 2, 1):
-            if (counts < least).sum() < spare:
-                values = values[counts >= least]
+            if (small := int((counts < least).sum())) < spare:
+                values, need = values[counts >= least], spare - small
                 break
         out.append(values)
-    return np.concatenate(out)
+        needs.append(np.full(len(values), min(need, 65_535), dtype=np.uint16))
+    return np.concatenate(out), np.concatenate(needs)
 
 
 def set_id(tokens: np.ndarray) -> bytes:
@@ -120,8 +122,8 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     for tokens in shingle_sets(texts, words):
                         if len(tokens) and (key := key_of(set_id(tokens))) not in seen:
                             seen.add(key)
-                            values = signatures(tokens, percent).view(np.int64)
-                            yield values, np.full(len(values), key, dtype=np.int64)
+                            values, needs = signatures(tokens, percent)
+                            yield values.view(np.int64), np.full(len(values), key, dtype=np.int64), needs
 
         yield from dealt(pieces(), deals)
 
@@ -131,8 +133,9 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included), set_id.
 
-    1. Equal sets are one set from here on. Sets that share a bucket signature are
-       joined to clusters of similar documents; no link leaves a cluster.
+    1. Equal sets are one set from here on. Sets that share as many bucket signatures
+       as linked sets must are joined to clusters of similar documents, and all sets
+       of a signature that many have; no link leaves a cluster.
     2. A cluster's sets are dealt into groups, and links are found through the
        groups' token unions (see token_groups).
     3. Links are joined to components.
