@@ -96,6 +96,20 @@ def _fold_tables() -> tuple[dict, dict, str]:
 _ONE, _MANY, _MARKED = _fold_tables()
 
 
+def _ranges(chars) -> str:
+    """Regular-expression class of a few ranges that hold all the characters, and others between them."""
+    out = []
+    for c in sorted(map(ord, chars)):
+        if out and c - out[-1][1] <= (8 if c < 0x2000 else 0x1000):
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+_SPELT = _ranges(_MANY)
+
+
 def _composed(chars: Column) -> Column:
     """Text of an array of characters with conjoining jamo joined to syllables."""
     code = lambda x: F.ascii(x)
@@ -120,9 +134,12 @@ def place_key(c) -> Column:
     """
     text = clean(c)
     many = F.expr("map_from_arrays(split({}, ','), split({}, ','))".format(sql_lit(",".join(_MANY)), sql_lit(",".join(_MANY.values()))))
-    chars = F.split(F.translate(text, "".join(_ONE), "".join(_ONE.values())), "")
-    spelt = F.array_join(F.transform(chars, lambda x: F.coalesce(F.try_element_at(many, x), x)), "")
-    folded = _composed(F.split(F.regexp_replace(spelt, _MARKED, ""), ""))
+    spelt = F.translate(text, "".join(_ONE), "".join(_ONE.values()))
+    # Each of these steps is rare, and runs only where a text has what it is for.
+    spelt = F.when(spelt.rlike(_SPELT), F.array_join(F.transform(F.split(spelt, ""), lambda x: F.coalesce(F.try_element_at(many, x), x)), "")).otherwise(spelt)
+    spelt = F.when(spelt.rlike(r"\p{M}"), F.regexp_replace(spelt, _MARKED, "")).otherwise(spelt)
+    words = F.transform(F.split(spelt, r"\s+"), lambda w: _composed(F.split(w, "")))
+    folded = F.when(spelt.rlike("[\u1161-\u1175\u11a8-\u11c2]"), F.array_join(words, "")).otherwise(spelt)
     plain = F.translate(text, _WIDE, _NARROW)
     return F.regexp_replace(F.lower(F.when(text.rlike(_PLAIN), plain).otherwise(folded)), fv.KEY_DROP_PATTERN, "")
 

@@ -99,7 +99,7 @@ def similarity_at(rows: DataFrame, by=(), k=10) -> DataFrame:
     """Mean match features over the top k rows."""
     top = rows.filter(F.col("rank") <= k)
     cols = {"area_10": "area_match", "type_10": "type_match", "time_10": "time_match", "context_10": "context_match",
-            "composite_10": "composite", "hit_10": "exact_place_hit"}
+            "target_10": "target_match", "composite_10": "composite", "hit_10": "exact_place_hit"}
     return top.groupBy(*by).agg(*[F.avg(F.col(c).cast("double")).alias(n) for n, c in cols.items() if c in rows.columns],
                                 F.count("*").alias("evaluated_rows"))
 

@@ -24,12 +24,15 @@ def commercial_ratios(spark, sf):
                        F.col("morning_flow_score").alias("morning_score"), F.col("afternoon_flow_score").alias("afternoon_score"))
 
 
+_AUX_COLUMNS = [*((c, "r_commercial_clean") for c in ("young_ratio", "senior_ratio", "morning_score", "afternoon_score")), *((c, "r_workers_clean") for c in ("young_ratio", "senior_ratio")),
+                *((c, "r_living") for c in ("young_ratio", "senior_ratio", "morning_score", "afternoon_score"))]
+
+
 @query("aux_stats", " UNION ALL ".join(
-    f"SELECT '{n}' AS feature, round(avg({c}), 6) AS mean, round(min({c}), 6) AS low, round(max({c}), 6) AS high FROM {t}" for n, c, t in [
-        ("commercial_age_20_40_ratio", "young_ratio", "r_commercial_clean"), ("commercial_morning_flow_score", "morning_score", "r_commercial_clean"),
-        ("worker_age_60_plus_ratio", "senior_ratio", "r_workers_clean"), ("living_pop_afternoon_score", "afternoon_score", "r_living")]))
+    f"SELECT '{n}' AS feature, round(avg({c}), 6) AS mean, round(min({c}), 6) AS low, round(max({c}), 6) AS high FROM {t}" for n, (c, t) in zip(fv.AUX_FEATURES, _AUX_COLUMNS)))
 def aux_stats(spark, sf):
-    names = ["commercial_age_20_40_ratio", "commercial_morning_flow_score", "worker_age_60_plus_ratio", "living_pop_afternoon_score"]
+    """All ten series."""
+    names = fv.AUX_FEATURES
     get = lambda n, s: F.round(F.try_element_at("summary", F.lit(f"{n}_{s}")), 6)
     items = [F.struct(F.lit(n).alias("feature"), get(n, "mean").alias("mean"), get(n, "min").alias("low"), get(n, "max").alias("high")) for n in names]
     return pipe.aux(spark, sf).select(F.inline(F.array(*items)))

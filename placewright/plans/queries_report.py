@@ -49,10 +49,10 @@ def diverse_rerank(spark, sf):
 @query("similarity_at_10", f"""
 WITH t AS (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY s DESC, base_score DESC, raw_rank) AS rank FROM (SELECT *, {FINAL_SCORE(_CTXW)} AS s FROM r_final) QUALIFY rank <= 10)
 SELECT place_type, count(*) AS evaluated_rows, round(avg(area_match), 6) AS area_10, round(avg(type_match), 6) AS type_10, round(avg(time_match), 6) AS time_10,
- round(avg(context_match), 6) AS context_10 FROM t GROUP BY place_type""")
+ round(avg(context_match), 6) AS context_10, round(avg(target_match), 6) AS target_10 FROM t GROUP BY place_type""")
 def similarity_at_10(spark, sf):
     rows = ev.similarity_at(_final_recs(spark, sf), ["place_type"])
-    return rows.select("place_type", "evaluated_rows", *R6("area_10", "type_10", "time_10", "context_10"))
+    return rows.select("place_type", "evaluated_rows", *R6("area_10", "type_10", "time_10", "context_10", "target_10"))
 
 
 @query("failure_classes", f"""
@@ -68,6 +68,27 @@ def failure_classes(spark, sf):
     return diag.failure_cases(covered, recs, "sig").select("gold_id", "failure_category")
 
 
+@query("baseline_top10", "SELECT pool_id, base AS rank, rec_name, rec_area, rec_type, round(base_score, 4) AS score FROM r_ranked WHERE base <= 10")
+def baseline_top10(spark, sf):
+    """Top ten of every pool by score alone."""
+    rows = cand.baseline_recommend(pipe.candidates(spark, sf), 10)
+    return rows.select("pool_id", "rank", "rec_name", "rec_area", "rec_type", F.round("base_score", 4).alias("score"))
+
+
+def _rule_sql(text):
+    scores = ", ".join(f"CASE WHEN regexp_matches(lower({text}), '{p}') THEN {hi} ELSE {lo} END AS {n}" for n, p, hi, lo in fv.DISPLAY_SCORE_RULES)
+    labels = ", ".join(f"CASE WHEN regexp_matches(lower({text}), '{p}') THEN '{n}' END" for n, p in fv.FEATURE_LABEL_RULES)
+    return f"{scores}, list_filter([{labels}], lambda x: x IS NOT NULL) AS hit"
+
+
+@query("display_rules", f"""SELECT place_id, {', '.join(n for n, *_ in fv.DISPLAY_SCORE_RULES)}, CASE WHEN len(hit) = 0 THEN '{'|'.join(fv.FEATURE_LABEL_OTHER)}' ELSE array_to_string(hit[1:4], '|') END AS labels
+ FROM (SELECT place_id, {_rule_sql("kind || ' ' || name")} FROM r_places)""")
+def display_rules(spark, sf):
+    """Display scores and feature labels by keyword rules."""
+    text = F.concat_ws(" ", "kind", "name")
+    return roles.places(spark, sf).select("place_id", *[c.alias(n) for n, c in routes.display_scores(text).items()], F.array_join(routes.feature_labels(text), "|").alias("labels"))
+
+
 @query("semantic_similarity")
 def semantic_similarity(spark, sf):
     return pipe.final(spark, sf).select("sig", "raw_rank", *R6("semantic", "composite"))
