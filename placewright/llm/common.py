@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from placewright.session import cut_lineage
 
-__all__ = ["cut_lineage", "table", "text_key", "plain_texts", "release", "slices", "Texts", "mix", "range_hash", "windows", "BATCH_BYTES"]
+__all__ = ["cut_lineage", "table", "text_key", "plain_texts", "bounded_batches", "release", "slices", "Texts", "mix", "range_hash", "windows", "BATCH_BYTES"]
 
 #: Text that one numpy step works on; keeps a Python worker within a few hundred MB.
 BATCH_BYTES = 2 << 20
@@ -30,9 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def plain_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text under fixed names, null text as empty; other columns are left out, so none can clash."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches to 8 MB; the buffers on both sides of a Python worker are a multiple of that."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def text_key(text: Column) -> Column:
     """Content key of a text, 32 bytes."""
     return F.unhex(F.sha2(text, 256))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.common import slices
+from placewright.llm.common import bounded_batches, slices
 
 # Element names of the HTML standard by how they are treated here, and words that class names and ids use.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -266,6 +266,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 found = [main_text(texts.bytes(i).decode("utf-8")) for i in range(high - low)]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id").slice(low, high - low), batch.column("url").slice(low, high - low), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    bounded_batches(pages.sparkSession)
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     return pages.mapInArrow(task, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

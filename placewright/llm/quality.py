@@ -19,7 +19,7 @@ class Settings:
     """bits: weights are 2 ** bits. sample: labelled rows that training reads at most, the bound of its one task."""
 
     bits: int = 18
-    sample: int = 20_000
+    sample: int = 10_000
     passes: int = 1
     alpha: float = 0.5
     beta: float = 1.0
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         w = train([(x, label) for *_, x, label in texts], settings)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()], pa.binary())], names=["weights"])
 
-    found = rows.select("turn", F.col("label").cast("int").alias("label"), "text").coalesce(1).mapInArrow(task, "weights binary").collect()
+    found = rows.select("turn", F.col("label").cast("int").alias("label"), "text").repartition(1).mapInArrow(task, "weights binary").collect()
     return np.frombuffer(found[0][0], dtype="<f8") if found else np.zeros((1 << settings.bits) + 1)
 
 

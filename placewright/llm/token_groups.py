@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.common import cut_lineage, release
+from placewright.llm.common import bounded_batches, cut_lineage, release
 from placewright.llm.components import Forest
 
 #: Sets of one group, and tokens of one block of a matrix.
@@ -67,10 +67,9 @@ def links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndar
 def _verified(pairs: DataFrame, percent: int, load: Callable[[bytes, object], np.ndarray | None]) -> DataFrame:
     """Links of rows of two groups, arrays of (set_id, content); a null right group stands for the left one itself.
 
-    A row holds two groups of whole contents, so the session's Arrow batches are
-    kept to 8 MB (the buffers on both sides are a multiple of that).
+    A row holds two groups of whole contents, so batches are kept small.
     """
-    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    bounded_batches(pairs.sparkSession)
 
     def task(batches):
         forest, loaded = Forest(), {}
