@@ -181,7 +181,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         coder = Coder(tokenizer)
         digest = lambda x: hashlib.sha256(x.encode("utf-8")).hexdigest()
         for batch in batches:
-            for low, high, texts in slices(batch.column("text")):
+            for low, high, texts in slices(batch.column("text"), 2 << 20):
                 found = coder.encode([texts.bytes(i).decode("utf-8") for i in range(high - low)])
                 n, ids, decoded = zip(*found, strict=True)
                 if digests:

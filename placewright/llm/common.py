@@ -16,7 +16,7 @@ from placewright.session import cut_lineage
 __all__ = ["cut_lineage", "table", "text_key", "plain_texts", "bounded_batches", "release", "slices", "Texts", "mix", "range_hash", "windows", "BATCH_BYTES"]
 
 #: Text that one numpy step works on; keeps a Python worker within a few hundred MB.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 _U = np.uint64
 #: Base of the polynomial hashes and the seed of their byte tables.

@@ -58,12 +58,19 @@ def _thin(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(task, edges.schema)
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller node, or only edges to larger ones: no component is in two parts then."""
+    ends = edges.select(F.col("hi").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("lo", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.filter("up > 1 or up > 0 and down > 0").limit(1).count() == 0
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, root for every node of the edges; root is the least node of its component.
 
     Each task first thins its edges to stars. Then rounds of large stars (each node
     links its larger neighbours to its least one) and small stars (each node links
-    its smaller neighbours and itself to the least) go on until no edge changes;
+    its smaller neighbours and itself to the least) go on until only stars are left;
     the number of rounds grows with the logarithm of the nodes. Edges are grouped
     by node with partial minima only, and never collected.
     """
@@ -71,21 +78,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     edges = _thin(edges)
     edges = cut_lineage(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
 
-    def state(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-
-    before = state(edges)
-    while True:
+    while not _are_stars(edges):
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
         edges = cut_lineage(small.distinct())
-        after = state(edges)
-        if after == before:
-            break
-        before = after
     roots = edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(roots)
 

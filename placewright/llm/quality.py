@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         for batch in batches:
             for low, high, part in slices(batch.column("text")):
                 numbers, sizes = features(part, settings.bits)
-                cut = np.split(numbers.astype(np.int32), np.cumsum(sizes)[:-1])
+                cut = np.split(numbers.astype(np.int32), np.cumsum(sizes)[:-1])  # views of one array, which is freed as a whole
                 turns = zip(batch.column("turn").slice(low, high - low).to_pylist(), batch.column("label").slice(low, high - low).to_pylist(), strict=True)
                 texts += [(turn, part.bytes(i)[:64], x, label) for i, ((turn, label), x) in enumerate(zip(turns, cut, strict=True))]
         texts.sort(key=lambda t: t[:2])

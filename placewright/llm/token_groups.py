@@ -31,6 +31,16 @@ def links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndar
     block by block of the union.
     """
     within = right is None
+    if within and len(left) <= 4:  # a matrix would cost more than the few pairs
+        out = []
+        for i, (a, x) in enumerate(left):
+            for b, y in left[:i]:
+                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and forest.root(a) != forest.root(b):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        forest.join(a, b)
+                        out.append((a, b))
+        return out
     right = left if within else right
     flat = np.concatenate([t for _, t in right])
     union = np.unique(flat)
@@ -104,7 +114,8 @@ def _verified(pairs: DataFrame, percent: int, load: Callable[[bytes, object], np
 def link_clusters(sets: DataFrame, attach: Callable[[DataFrame], DataFrame], percent: int, load: Callable[[bytes, object], np.ndarray | None]) -> DataFrame:
     """Links a, b that join the sets of each cluster to their components.
 
-    sets: set_id, n (tokens), cluster, which no link leaves. attach adds the column
+    sets: set_id, n (tokens; read in clusters of more than GROUP sets only),
+    cluster, which no link leaves. attach adds the column
     content; it may repeat a row, and add rows for which load gives None. load makes
     sorted distinct uint64 tokens of a set's content.
 
