@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 from collections.abc import Iterator
@@ -13,12 +14,13 @@ from pyspark.sql import functions as F
 
 from placewright.session import cut_lineage
 
-__all__ = ["cut_lineage", "table", "text_key", "plain_texts", "bounded_batches", "release", "slices", "Texts", "mix", "range_hash", "windows", "BATCH_BYTES"]
+__all__ = ["cut_lineage", "table", "text_key", "plain_texts", "bounded_batches", "release", "give_back", "slices", "Texts", "mix", "range_hash", "windows", "BATCH_BYTES"]
 
 #: Text that one numpy step works on; keeps a Python worker within a few hundred MB.
 BATCH_BYTES = 1 << 20
 
 _U = np.uint64
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Base of the polynomial hashes and the seed of their byte tables.
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -128,6 +130,14 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = BATCH_BYTES) -> Iter
         high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + limit, side="right")) - 1) if limit else low + 1
         yield low, high, Texts(raw[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
         low = high
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of this Python worker to the system; Spark keeps idle workers, and what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def windows(values: np.ndarray, width: int) -> np.ndarray:

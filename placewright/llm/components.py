@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewright.llm.common import cut_lineage
+from placewright.llm.common import cut_lineage, give_back
 
 
 class Forest:
@@ -89,8 +89,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(roots)
 
 
-#: Pairs of (band, key) that a task holds before it passes them on, or reduces them to one key a band.
-HELD = 1 << 20
+#: Pairs of (band, key) that a task holds before it passes them on, and before it reduces them to one key a band.
+PASSED, HELD = 1 << 18, 1 << 20
 #: Keys of a band up to which its pairs are counted one by one.
 FEW = 16
 DEALT = "deal int, bands binary, keys binary, needs binary"
@@ -111,7 +111,7 @@ def dealt(pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], deals: in
     for piece in pieces:
         held.append(piece)
         n += len(piece[0])
-        if n >= HELD:
+        if n >= PASSED:
             yield passed()
             held, n = [], 0
     if n:
@@ -178,8 +178,10 @@ def stars(bands: DataFrame) -> DataFrame:
                     held, n = [], 0
         if n:
             yield reduced()
+        old, held = None, []
+        give_back()
 
-    edges = bands.repartition("deal").mapInArrow(task, "a long, b long, shared long, needed long")
+    edges = bands.repartition(deals_of(bands.sparkSession), "deal").mapInArrow(task, "a long, b long, shared long, needed long")
     return edges.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).filter("shared >= needed").select("a", "b")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.common import bounded_batches, cut_lineage, release
+from placewright.llm.common import bounded_batches, cut_lineage, give_back, release
 from placewright.llm.components import Forest
 
 #: Sets of one group, and tokens of one block of a matrix.
@@ -107,6 +107,8 @@ def _verified(pairs: DataFrame, percent: int, load: Callable[[bytes, object], np
                 if left and right != []:
                     found += links(left, right, percent, forest)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+        loaded.clear()
+        give_back()
 
     return pairs.select("left", "right").mapInArrow(task, "a binary, b binary")
 
