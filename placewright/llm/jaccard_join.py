@@ -131,7 +131,7 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included), set_id.
+    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included), set_id, root (the component's own key).
 
     1. Equal sets are one set from here on. Sets that share as many bucket signatures
        as linked sets must are joined to clusters of similar documents, and all sets
@@ -168,9 +168,9 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     joined = components(link_clusters(clusters.drop("asked_id", "asked_hash"), attach, percent, load), "a", "b").withColumnRenamed("node", "set_id")
     roots = ids.join(joined, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = roots.select("set_id", "root").join(least, "root").select("set_id", "component_id")
-    empty = every.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "set_id")
-    return full.join(named, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "set_id").unionByName(empty)
+    named = roots.select("set_id", "root").join(least, "root").select("set_id", "component_id", "root")
+    empty = every.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "set_id", F.col("set_id").alias("root"))
+    return full.join(named, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "set_id", "root").unionByName(empty)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -179,7 +179,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows without words stay, for they link with nothing.
     """
     found = linked_components(docs, id_col, text_col, words, percent).filter("n_shingles > 0")
-    found = found.groupBy("doc_id", "set_id").agg(F.first("component_id").alias("component_id"))
+    found = found.groupBy("doc_id", "set_id").agg(F.first("component_id").alias("component_id"), F.first("root").alias("root"), F.count("*").alias("copies"))
+    # Chosen by id and set alone; texts are only read for what stays.
+    found = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = found.withColumn("turn", F.row_number().over(Window.partitionBy("root").orderBy("set_id"))).filter("turn = 1")
+    found = cut_lineage(found.select("doc_id", "set_id", "copies"))
+    release(docs.sparkSession)
 
     def task(batches):
         for batch in batches:
@@ -191,6 +196,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.mapInArrow(task, f"row {rows.schema['row'].dataType.simpleString()}, row_set binary")
     own = F.col(f"row.`{id_col}`")
     joined = rows.filter("row_set is not null").join(found, (F.col("row_set") == found["set_id"]) & own.eqNullSafe(found["doc_id"]))
-    joined = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    joined = joined.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "component_id").orderBy("set_id"))).filter("turn = 1")
-    return joined.select("row").unionAll(rows.filter("row_set is null").select("row")).select("row.*")
+    many = joined.filter("copies > 1").withColumn("turn", F.row_number().over(Window.partitionBy("set_id", "doc_id").orderBy("set_id"))).filter("turn = 1")
+    joined = joined.filter("copies = 1").select("row").unionAll(many.select("row"))
+    return joined.unionAll(rows.filter("row_set is null").select("row")).select("row.*")

@@ -124,6 +124,12 @@ def test_one_of_each(spark, rows):
     assert all(n == 1 for (_, t), n in collections.Counter(kept).items() if t and t.strip())
 
 
+def test_one_of_each_without_ids(spark):
+    rows = [(None, "one two three four five six"), (None, "seven eight nine ten eleven twelve"), (None, "one two three four five six"), (2, "a b c d e f g"), (1, "a b c d e f g"), (1, "q r s t u v")]
+    kept = sorted([(r.doc_id, r.text) for r in one_of_each(frame(spark, rows)).collect()], key=str)
+    assert kept == sorted([(None, rows[0][1]), (None, rows[1][1]), (1, "a b c d e f g"), (1, "q r s t u v")], key=str)
+
+
 def line_sets(rows, settings):
     lines = sorted({normal(x) for _, t in rows for x in (t or "").split("\n")} - {""})
     sets = {x: {x[i : i + settings.width] for i in range(max(1, len(x) - settings.width + 1))} for x in lines}
