@@ -89,7 +89,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(roots)
 
 
-#: Pairs of (band, key) that a task holds before it passes them on, and before it reduces them to one key a band.
+#: Pairs of (band, key) that a task holds before it passes them on, and before it joins them and lets most keys of wide bands go.
 PASSED, HELD = 1 << 18, 1 << 20
 #: Keys of a band up to which its pairs are counted one by one.
 FEW = 16
@@ -118,30 +118,37 @@ def dealt(pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], deals: in
         yield passed()
 
 
-def _band_edges(band: np.ndarray, key: np.ndarray, need: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Edges (a, b, bands shared, bands needed) of rows sorted by band; kept marks rows of an earlier part."""
+def _band_edges(band: np.ndarray, key: np.ndarray, need: np.ndarray, old: np.ndarray, joined: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """Edges (a, b, bands shared, bands needed) of rows sorted by band; which rows a later part needs, and which of these are of wide bands.
+
+    old marks rows of an earlier part, first in their band: pairs of two of them are
+    counted already. joined marks those whose band was wide there.
+    """
     first = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
     sizes = np.diff(np.append(first, len(band)))
-    wide = (sizes > FEW) | kept[first]
+    wide = (sizes > FEW) | joined[first]
     spread = np.repeat(wide, sizes)
+    later = ~spread
+    later[first] = True
     pivot = np.repeat(key[first], sizes)[spread]
     a, b = [pivot], [key[spread]]
     counts, needs = [np.full(len(pivot), 1 << 30)], [np.zeros(len(pivot), np.int64)]
     for size in range(2, FEW + 1):
         at = first[~wide & (sizes == size)]
         for i in range(size if len(at) else 0):
-            for j in range(i):
-                a.append(key[at + i])
-                b.append(key[at + j])
-                counts.append(np.ones(len(at), np.int64))
-                needs.append(np.minimum(need[at + i], need[at + j]).astype(np.int64))
+            new = at[~old[at + i]]
+            for j in range(i if len(new) else 0):
+                a.append(key[new + i])
+                b.append(key[new + j])
+                counts.append(np.ones(len(new), np.int64))
+                needs.append(np.minimum(need[new + i], need[new + j]).astype(np.int64))
     a, b, counts, needs = (np.concatenate(x) for x in (a, b, counts, needs))
     pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b]
     pairs, at = np.unique(pairs, axis=0, return_inverse=True)
     total, least = np.zeros(len(pairs), np.int64), np.full(len(pairs), 1 << 30)
     np.add.at(total, at, counts[a != b])
     np.minimum.at(least, at, needs[a != b])
-    return pairs[:, 0], pairs[:, 1], np.minimum(total, 1 << 30), least
+    return (pairs[:, 0], pairs[:, 1], np.minimum(total, 1 << 30), least), later, spread
 
 
 def stars(bands: DataFrame) -> DataFrame:
@@ -149,8 +156,9 @@ def stars(bands: DataFrame) -> DataFrame:
 
     Two keys of a band of few keys are joined if they share as many bands as
     either needs; all keys of a band of many are joined to one of them. A partition
-    that does not fit keeps one key for each band that it has seen and goes on, and
-    joins what follows to that key.
+    that does not fit goes part by part: all keys of a band of few go on to the next
+    part with their needs and are counted against the new ones, and of a band of
+    many the one key goes on that all others are joined to.
     """
 
     def task(batches):
@@ -158,26 +166,34 @@ def stars(bands: DataFrame) -> DataFrame:
 
         def reduced():
             nonlocal old
-            parts = [*([old] if old else []), *held]
-            band, key, need = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            kept = np.zeros(len(band), dtype=bool)
-            kept[: len(old[0]) if old else 0] = True
-            order = np.argsort(band, kind="stable")  # a key kept from before comes first in its band
-            band, key, need, kept = band[order], key[order], need[order], kept[order]
-            first = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
-            old = (band[first], key[first], need[first])
-            columns = _band_edges(band, key, need, kept)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "shared", "needed"])
+            parts = [*([old] if old else []), *[(*p, np.zeros(len(p[0]), dtype=bool)) for p in held]]
+            band, key, need, joined = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            before = np.zeros(len(band), dtype=bool)
+            before[: len(old[0]) if old else 0] = True
+            order = np.argsort(band, kind="stable")  # keys from before come first in their band
+            rows = [x[order] for x in (band, key, need, before, joined)]
+            # Edges of a slice of the bands at a time, for there may be FEW / 2 of them to a row.
+            first = np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1]))
+            cuts = np.linspace(0, len(band), max(1, len(band) // HELD) + 1).astype(np.int64)[1:-1]
+            cuts = np.unique(np.append(first, len(band))[np.searchsorted(first, cuts)])
+            going = []
+            for low, high in zip([0, *cuts], [*cuts, len(band)], strict=True):
+                if low < high:
+                    part = [x[low:high] for x in rows]
+                    columns, later, spread = _band_edges(*part)
+                    going.append((*(x[later] for x in part[:3]), spread[later]))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "shared", "needed"])
+            old = tuple(np.concatenate(x) for x in zip(*going, strict=True))
 
         for batch in batches:
             for row in zip(*(batch.column(c) for c in ("bands", "keys", "needs")), strict=True):
                 held.append(tuple(np.frombuffer(x.as_py(), kind) for x, kind in zip(row, ("<i8", "<i8", "<u2"), strict=True)))
                 n += len(held[-1][0])
                 if n >= HELD + (len(old[0]) if old else 0):
-                    yield reduced()
+                    yield from reduced()
                     held, n = [], 0
         if n:
-            yield reduced()
+            yield from reduced()
         old, held = None, []
         give_back()
 

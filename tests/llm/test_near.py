@@ -9,7 +9,8 @@ import re
 import numpy as np
 import pytest
 
-from placewright.llm.components import components
+from placewright.llm import components as components_module
+from placewright.llm.components import DEALT, components, stars
 from placewright.llm.jaccard_join import linked_components, one_of_each, signatures
 from placewright.llm.line_dedup import Settings, band_values, duplicate_lines, normal, shingle_hashes, without_duplicate_lines
 from placewright.llm.repeats import repeated_passages, without_repeats
@@ -41,6 +42,38 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def star_roots(spark, pairs):
+    """Roots of (band, key, need), one pair to a row, all dealt to one place."""
+    rows = [(0, *(bytearray(np.array([x], kind).tobytes()) for x, kind in zip(p, ("<i8", "<i8", "<u2"), strict=True))) for p in pairs]
+    return {r.node: r.root for r in components(stars(spark.createDataFrame(rows, DEALT).coalesce(1)), "a", "b").collect()}
+
+
+def test_stars_link_keys_of_different_parts(spark, monkeypatch):
+    monkeypatch.setattr(components_module, "HELD", 4)
+    # 1 and 2 are the first keys of the bands that 3 and 4 share, and 4 comes when these have been reduced.
+    roots = star_roots(spark, [(101, 1, 2), (101, 3, 2), (102, 2, 2), (102, 3, 2), (101, 4, 2), (102, 4, 2), (103, 5, 2), (103, 6, 2)])
+    assert roots == {3: 3, 4: 3}
+
+
+@pytest.mark.parametrize("held", [3, 16, 100, 1 << 20])
+def test_stars_keep_every_link(spark, monkeypatch, held):
+    monkeypatch.setattr(components_module, "HELD", held)
+    rng = random.Random(held)
+    pairs = []
+    for group in range(40):
+        own = [group * 100 + i for i in range(rng.randint(2, 30))]
+        for band in range(rng.randint(1, 6)):
+            pairs += [(group * 10 + band, k, 3) for k in rng.sample(own, rng.randint(1, len(own)))]
+    rng.shuffle(pairs)
+    bands = collections.defaultdict(set)
+    for band, key, _ in pairs:
+        bands[band].add(key)
+    shared = collections.Counter(p for keys in bands.values() for p in itertools.combinations(sorted(keys), 2))
+    wide = [p for keys in bands.values() if len(keys) > components_module.FEW for p in itertools.combinations(sorted(keys), 2)]
+    want = sets_of([p for p, n in shared.items() if n >= 3] + wide)
+    assert star_roots(spark, pairs) == want
+
+
 def corpus():
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 6)))
