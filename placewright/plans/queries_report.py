@@ -165,11 +165,15 @@ def leave_one_type_out(spark, sf):
     return rows
 
 
+#: Public sources under the reference's names, and the kind of place of each.
+_PUBLIC = {"market": "market", "park": "park", "senior": "senior_friendly", "subway": "subway"}
+
+
 @query("alias_audit")
 def alias_audit(spark, sf):
     rows = shaping.number_rows(pipe.alias_table(spark, sf), ["canonical_key", "std_area"], name="alias_row_id")
     p = roles.places(spark, sf)
-    keys = ablation.public_keys({k: (p.filter(F.col("kind") == k), "name") for k in ("park", "market")})
+    keys = ablation.public_keys({source: (p.filter(F.col("kind") == kind), "name") for source, kind in _PUBLIC.items()})
     gold = roles.gold(spark, sf).select("query_id", "place_name")
     return ablation.classify_aliases(rows, gold, keys).groupBy("primary_class", "public_source_matches").agg(F.count("*").alias("aliases"), F.sum("gold_match_count").alias("gold_rows"))
 
