@@ -70,7 +70,7 @@ def csv_files(spark, path) -> list[str]:
     return sorted(r.path for r in rows.collect())
 
 
-def read_dir(spark, path, prefer_token="manual_reviewed") -> DataFrame:
+def read_dir(spark, path, prefer_token="manual_reviewed", multi_line: bool = False) -> DataFrame:
     """Every CSV under a folder at any depth, or only those whose name carries the token.
 
     Files are joined by column name: those that share a header, in whatever
@@ -85,7 +85,7 @@ def read_dir(spark, path, prefer_token="manual_reviewed") -> DataFrame:
     for f in chosen:
         by_header.setdefault(tuple(header_of(spark, f)), []).append(f)
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
-        read_csv_strings(spark, group).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1)) for group in by_header.values()])
+        read_csv_strings(spark, group, multi_line=multi_line).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1)) for group in by_header.values()])
     return df.na.fill("")
 
 
@@ -96,9 +96,9 @@ def discover_by_schema(spark, globs, required, skip_tokens=()) -> list[str]:
     return [p for p in named if set(required) <= set(header_of(spark, p))]
 
 
-def read_files_tagged(spark, files, group: str) -> DataFrame:
+def read_files_tagged(spark, files, group: str, multi_line: bool = False) -> DataFrame:
     """Several CSVs with differing columns as one table tagged by file."""
-    frames = [read_csv_strings(spark, f).withColumn("file_path", F.lit(f)) for f in files]
+    frames = [read_csv_strings(spark, f, multi_line=multi_line).withColumn("file_path", F.lit(f)) for f in files]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return union.na.fill("").withColumn("source_group", F.lit(group))
 

@@ -122,3 +122,10 @@ def test_json_records_at_any_depth(spark):
     rows = spark.createDataFrame([(json.dumps(deep),), (json.dumps([{"place_name": "p", "region": "r"}]),), ("{}",)], "v string")
     got = files.flatten_json_records(rows, "v").select("place_name", "area").collect()
     assert sorted(map(tuple, got)) == [("n", "d"), ("p", "r")]
+
+
+def test_readers_of_several_files_keep_quoted_line_breaks(spark, tmp_path):
+    p = tmp_path / "x.csv"
+    p.write_text('a,b\n"one\ntwo",3\n')
+    for df in (files.read_dir(spark, str(tmp_path), multi_line=True), files.read_files_tagged(spark, [str(p)], "g", multi_line=True)):
+        assert [(r.a, r.b) for r in df.collect()] == [("one\ntwo", "3")]
