@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from placewright.llm import sql
 from placewright.llm.bpe import encode_decode
 from placewright.llm.common import table
 from placewright.llm.exact_dedup import exact_duplicates
 from placewright.llm.hamming_index import nearest
 from placewright.llm.html_text import extract
+from placewright.llm.importance import resample
 from placewright.llm.jaccard_join import linked_components
 from placewright.llm.line_dedup import duplicate_lines
 from placewright.llm.packing import pack
@@ -57,12 +59,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_quality, op4_nearest, op5_html_text, op6_bpe, op7_jaccard_join, op8_repeated_passages, op9_exact_dedup, op10_token_counts)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-SQL = {
-    "op9_exact_dedup": """
-        WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
-        g AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size, sha256(text) AS text_sha256 FROM t)
-        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
-    """,
-}
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_quality, op4_nearest, op5_html_text, op6_bpe, op7_jaccard_join, op8_repeated_passages, op9_exact_dedup, op10_token_counts, op11_resampling)}
+
+SQL = {"op9_exact_dedup": sql.EXACT_DEDUP, "op11_resampling": sql.RESAMPLING}
