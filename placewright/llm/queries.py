@@ -15,6 +15,7 @@ from placewright.llm.jaccard_join import linked_components
 from placewright.llm.line_dedup import duplicate_lines
 from placewright.llm.packing import pack
 from placewright.llm.quality import score
+from placewright.llm.ranked_search import search
 from placewright.llm.repeats import repeated_passages
 from placewright.llm.token_counts import count_tokens
 
@@ -63,6 +64,10 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_quality, op4_nearest, op5_html_text, op6_bpe, op7_jaccard_join, op8_repeated_passages, op9_exact_dedup, op10_token_counts, op11_resampling)}
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-SQL = {"op9_exact_dedup": sql.EXACT_DEDUP, "op11_resampling": sql.RESAMPLING}
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_quality, op4_nearest, op5_html_text, op6_bpe, op7_jaccard_join, op8_repeated_passages, op9_exact_dedup, op10_token_counts, op11_resampling, op12_ranked_search)}
+
+SQL = {"op9_exact_dedup": sql.EXACT_DEDUP, "op11_resampling": sql.RESAMPLING, "op12_ranked_search": sql.RANKED_SEARCH}
