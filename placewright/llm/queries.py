@@ -12,6 +12,7 @@ from placewright.llm.hamming_index import nearest
 from placewright.llm.html_text import extract
 from placewright.llm.importance import resample
 from placewright.llm.jaccard_join import linked_components
+from placewright.llm.license_scan import scan
 from placewright.llm.line_dedup import duplicate_lines
 from placewright.llm.packing import pack
 from placewright.llm.quality import score
@@ -68,6 +69,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_quality, op4_nearest, op5_html_text, op6_bpe, op7_jaccard_join, op8_repeated_passages, op9_exact_dedup, op10_token_counts, op11_resampling, op12_ranked_search)}
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
 
-SQL = {"op9_exact_dedup": sql.EXACT_DEDUP, "op11_resampling": sql.RESAMPLING, "op12_ranked_search": sql.RANKED_SEARCH}
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_quality, op4_nearest, op5_html_text, op6_bpe, op7_jaccard_join, op8_repeated_passages, op9_exact_dedup, op10_token_counts, op11_resampling, op12_ranked_search, op13_license_scan)}
+
+SQL = {"op9_exact_dedup": sql.EXACT_DEDUP, "op11_resampling": sql.RESAMPLING, "op12_ranked_search": sql.RANKED_SEARCH, "op13_license_scan": sql.license_scan()}

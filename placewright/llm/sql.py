@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from placewright.llm.license_scan import Settings, templates
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -56,3 +58,29 @@ RANKED_SEARCH = f"""
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
     SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50
 """
+
+
+def license_scan(settings: Settings = Settings()) -> str:
+    """Every block against every template, without any filter."""
+    values = ", ".join(f"('{t.label}', {t.tokens}, {t.needed}, {t.words}, {str(t.phrase).lower()})" for t in templates(settings))
+    return f"""
+        WITH d AS MATERIALIZED (SELECT doc_id, {_TERMS} AS ws FROM documents),
+        t(label, tokens, needed, ws, phrase) AS (VALUES {values}),
+        b AS (
+            SELECT doc_id, list_slice(ws, s + 1, s + {settings.block + settings.overlap}) AS block
+            FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws), 1), {settings.block})) AS s FROM d)),
+        n AS (
+            SELECT doc_id, label, max(len(list_intersect(tokens, block)) / len(tokens)) AS part
+            FROM b, t WHERE NOT phrase AND len(list_intersect(tokens, block)) >= needed GROUP BY doc_id, label),
+        w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+        h AS (SELECT doc_id, label, t.ws AS phrase, i FROM w JOIN t ON word = t.ws[1] WHERE phrase),
+        p AS (SELECT doc_id, label, i - 1 AS pos FROM h JOIN d USING (doc_id) WHERE list_slice(ws, i, i + len(h.phrase) - 1) = h.phrase),
+        x AS (
+            SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+            FROM p GROUP BY doc_id),
+        l AS (
+            SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(part) AS score
+            FROM (SELECT doc_id, label, part FROM n UNION ALL SELECT doc_id, label, 1.0 FROM p) GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+        FROM d LEFT JOIN x USING (doc_id) LEFT JOIN l USING (doc_id)
+    """
