@@ -113,9 +113,11 @@ def _prefixes(spark, found: list[Template], order: list[str]) -> DataFrame:
     for t in found:
         ordered = sorted(t.tokens, key=place.__getitem__)
         for at, token in enumerate(ordered[: len(ordered) - t.needed + 1]):
-            rows.append((token, met[token], at, len(ordered), t.needed, ordered, t.words if t.phrase else None, 1 << labels.index(t.label)))
+            phrase = _strings(t.words) if t.phrase else F.lit(None).cast("array<string>")
+            values = {"token": F.lit(token), "lead": F.lit(met[token]), "at": F.lit(at), "size": F.lit(len(ordered)), "needed": F.lit(t.needed), "tokens": _strings(ordered), "phrase": phrase, "bit": F.lit(1 << labels.index(t.label)).cast("long")}
+            rows.append(F.struct(*[c.alias(name) for name, c in values.items()]))
             met[token] += 1
-    return spark.createDataFrame(rows, "token string, lead int, at int, size int, needed int, tokens array<string>, phrase array<string>, bit long")
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def label_order(found: list[Template]) -> list[str]:
