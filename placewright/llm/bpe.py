@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-from collections.abc import Iterable
+import re
 
 import numpy as np
 import public_tokenizers
@@ -49,9 +49,9 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], NEVER)
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
+    def encode(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each (non-empty) word."""
-        out: list[np.ndarray | None] = [None] * len(words)
+        out: list[list[int] | None] = [None] * len(words)
         lengths = np.array([len(w) for w in words])
         widths = 1 << np.ceil(np.log2(np.maximum(lengths, 2))).astype(np.int64)
         for width in np.unique(widths):
@@ -63,7 +63,7 @@ class Merges:
                     out[i] = ids
         return out
 
-    def _merge(self, words: list[bytes], width: int) -> list[np.ndarray]:
+    def _merge(self, words: list[bytes], width: int) -> list[list[int]]:
         """All words at once, one merge of each a step.
 
         tree[r] is the segment tree of word r: leaf width + i holds rank and place
@@ -111,7 +111,8 @@ class Merges:
                     break
                 tree[rows, nodes] = np.minimum(tree[rows, 2 * nodes], tree[rows, 2 * nodes + 1])
             rows = rows[tree[rows, 1] < NEVER]
-        return np.split(ids[:, :width][alive], np.cumsum(alive.sum(axis=1))[:-1])
+        flat, ends = ids[:, :width][alive].tolist(), np.cumsum(alive.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
 @functools.cache
@@ -126,43 +127,81 @@ def _split_pattern(name: str) -> regex.Pattern:
     return regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
 
 
+#: Texts of these characters only are the same after composing (NFC), are lower-cased one by one, and have no white space but tab, line ends and space.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f\u2010-\u2027\u20ac]*")
+#: Longer pieces are forgotten after their batch.
+LONG = 64
+
+
 class Coder:
-    """Encodes and decodes texts; remembers words for the length of a task."""
+    """Encodes and decodes texts; remembers pieces and words for the length of a task."""
 
     def __init__(self, name: str):
         self.name, self.merges, self.normal, self.special = name, merges(name), load(name).normalizer, specials(name)
-        self.pattern, self.known = _split_pattern(name), {}
+        # Both map to (number of ids, decimal ids, tokens): words, and pieces between white space.
+        self.pattern, self.known, self.pieces, self.longest = _split_pattern(name), {}, {}, 0
 
     def words(self, text: str) -> list[str]:
         """Words of a text in order; special strings stand for themselves and are cut out before normalisation."""
-        if not self.special.search(text):
-            return words(self.name, self.pattern, self.normal.normalize_str(text))
         found = []
         for i, part in enumerate(self.special.split(text)):
             found += [part] if i % 2 else words(self.name, self.pattern, self.normal.normalize_str(part))
         return found
 
-    def learn(self, words: Iterable[str]) -> None:
-        fresh = list(words)
-        strings = self.merges.strings
-        plain = [w for w in fresh if w not in self.merges.specials]
+    def learn(self, words: set[str]) -> None:
+        fresh = [w for w in words if w not in self.known]
+        self.longest = max(self.longest, max(map(len, fresh), default=0))
+        strings, special = self.merges.strings, self.merges.specials
+        plain = [w for w in fresh if w not in special]
         for word, ids in zip(plain, self.merges.encode([w.encode("utf-8") for w in plain]) if plain else [], strict=True):
-            ids = ids.tolist()
             self.known[word] = (len(ids), " ".join(map(str, ids)), " ".join([strings[i] for i in ids]))
-        for word in set(fresh) - set(plain):
-            self.known[word] = (1, str(self.merges.specials[word]), word)
+        for word in special.keys() & fresh:
+            self.known[word] = (1, str(special[word]), word)
+
+    def learn_pieces(self, pieces: set[str]) -> None:
+        """No word of a plain text reaches beyond white space, so a piece has the same words wherever it stands."""
+        fresh = [p for p in pieces if p not in self.pieces]
+        found = [(p,) if p.isalpha() else self.pattern.findall(p) for p in fresh]
+        self.learn({w for some in found for w in some})
+        known = self.known
+        for piece, some in zip(fresh, found, strict=True):
+            if len(some) == 1:
+                self.pieces[piece] = known[some[0]]
+            elif len(some) == 2:
+                (n, ids, tokens), (m, more, others) = known[some[0]], known[some[1]]
+                self.pieces[piece] = n + m, f"{ids} {more}", f"{tokens} {others}"
+            else:
+                self.pieces[piece] = self._joined(some, known)
+
+    @staticmethod
+    def _joined(parts: list[str], table: dict[str, tuple[int, str, str]]) -> tuple[int, str, str]:
+        if not parts:
+            return 0, "", ""
+        n, ids, tokens = zip(*map(table.__getitem__, parts), strict=True)
+        return sum(n), " ".join(ids), " ".join(tokens)
+
+    def forget(self, pieces: set[str]) -> None:
+        """Keeps memory bounded: long pieces go after each batch, and all but those of the last batch when there are too many."""
+        for part in [p for p in pieces if len(p) > LONG]:
+            del self.pieces[part]
+        if len(self.pieces) > MEMORY:
+            self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces}
+        if len(self.known) > MEMORY:
+            self.known = {}
+        elif self.longest > LONG:
+            self.known = {w: v for w, v in self.known.items() if len(w) <= LONG}
+        self.longest = 0
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number of ids, decimal ids and decoded text (tokens joined by a space, as a file without a decoder has it)."""
-        split = [self.words(t) for t in texts]
-        distinct = set().union(*split)
-        if len(self.known) + len(distinct) > MEMORY:
-            self.known = {w: self.known[w] for w in distinct if w in self.known}
-        self.learn(distinct - self.known.keys())
-        out = []
-        for words in split:
-            n, ids, tokens = zip(*map(self.known.__getitem__, words), strict=True) if words else ((), (), ())
-            out.append((sum(n), " ".join(ids), " ".join(tokens)))
+        special = list(self.merges.specials)
+        plain = [PLAIN.fullmatch(t) is not None and not any(s in t for s in special) for t in texts]
+        split = [t.lower().split() if p else self.words(t) for t, p in zip(texts, plain, strict=True)]
+        pieces = set().union(*(s for s, p in zip(split, plain, strict=True) if p))
+        self.learn_pieces(pieces)
+        self.learn({w for s, p in zip(split, plain, strict=True) if not p for w in s})
+        out = [self._joined(s, self.pieces if p else self.known) for s, p in zip(split, plain, strict=True)]
+        self.forget(pieces)
         return out
 
 
