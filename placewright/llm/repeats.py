@@ -206,12 +206,13 @@ def _with_runs(docs: DataFrame, width: int, gram: int | None, unit: str) -> Data
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, gram: int | None = None, unit: str = "byte") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte from, to of what goes).
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte from, to of what goes), text (what stays).
 
     Removes every unit (UTF-8 byte, or word) that a string of `width` units covers
     which also starts anywhere else, the same document included. Null text counts
     as empty. Repeated rows and copies repeat each other. Texts shorter than width
-    stay as they are. Empty input gives an empty result.
+    stay as they are. Empty input gives an empty result. A byte string that a cut
+    has left inside a character is U+FFFD in text; kept_sha256 is of the bytes.
     """
     docs = plain_texts(docs, id_col, text_col).withColumn("text_id", F.substring(text_key(F.col("text")), 1, 16))
 
@@ -221,13 +222,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for low, _, part in slices(batch.column("text"), limit=0):
                 spans = removed_spans(part, batch.column("runs")[low].as_py(), width, unit)
                 data = part.bytes(0)
-                rows.append((len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(cut(data, spans)).hexdigest(), [{"from": a, "to": b} for a, b in spans]))
+                kept = cut(data, spans)
+                rows.append((len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), [{"from": a, "to": b} for a, b in spans], kept.decode("utf-8", "replace")))
             if rows:
                 span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), span), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"])
 
     joined = _with_runs(docs, width, gram, unit).select("doc_id", "text", "runs")
-    return joined.mapInArrow(task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<`from`: bigint, `to`: bigint>>")
+    return joined.mapInArrow(task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<`from`: bigint, `to`: bigint>>, text string")
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", width: int = 50, gram: int | None = None, unit: str = "word") -> DataFrame:
