@@ -1,6 +1,7 @@
 """Readers, writers and streaming jobs on temporary folders."""
 
 import json
+import random
 
 from pyspark.sql import functions as F, types as T
 
@@ -129,3 +130,63 @@ def test_readers_of_several_files_keep_quoted_line_breaks(spark, tmp_path):
     p.write_text('a,b\n"one\ntwo",3\n')
     for df in (files.read_dir(spark, str(tmp_path), multi_line=True), files.read_files_tagged(spark, [str(p)], "g", multi_line=True)):
         assert [(r.a, r.b) for r in df.collect()] == [("one\ntwo", "3")]
+
+
+def test_best_forecast_stream_equals_batch(spark, tmp_path):
+    """Each prediction comes out once, with the visit that the batch operator picks; late visits and misses included."""
+    from placewright.operators.forecast import forecast_matches
+
+    rng = random.Random(5)
+    places = ["Hall", "Great Hall", "Park", "Station", "시장"]
+    stamp = lambda day, hour: f"timestamp'2026-01-{day:02d} {hour:02d}:30:00'"
+    preds = [(f"l{i // 3}", i % 3, 1 + i % 6, rng.choice(["a", "b", ""]), rng.choice(places), rng.choice(["중구", "종로구"])) for i in range(24)]
+    seen = [(i, 1 + i % 9, rng.randint(0, 23), rng.choice(["a", "b", "", "c"]), rng.choice(places), rng.choice(["중구", "종로구", ""])) for i in range(40)]
+    p_sql = lambda rows: "SELECT * FROM VALUES " + ", ".join(f"('{l}', {r}, timestamp'2026-01-{d:02d} 00:00:00', '{a}', '{n}', '{g}')" for l, r, d, a, n, g in rows) + " t(list_id, rank, target_ts, actor, place_name, area)"
+    v_sql = lambda rows: "SELECT * FROM VALUES " + ", ".join(f"({i}L, {stamp(d, h)}, '{a}', '{n}', '{g}')" for i, d, h, a, n, g in rows) + " t(visit_id, visit_ts, actor, place_name, area)"
+    p_schema, v_schema = spark.sql(p_sql(preds)).schema, spark.sql(v_sql(seen)).schema
+    read = lambda n, s: spark.readStream.schema(s).parquet(str(tmp_path / n))
+    run = lambda: jobs.run_to_files(jobs.best_forecast_stream(read("p", p_schema), read("v", v_schema), 2), str(tmp_path / "out"), str(tmp_path / "ck"))
+    _land(spark.sql(p_sql(preds)), tmp_path / "p", 1)
+    half = sorted(seen, key=lambda v: v[1])
+    for part in (half[20:30], half[:20] + half[30:]):  # some days arrive after later ones
+        _land(spark.sql(v_sql(part)), tmp_path / "v", 1)
+    run()
+    for i in range(3):  # the watermark moves on
+        _land(spark.sql(p_sql([("end", i, 25 + i, "z", "none", "중구")])), tmp_path / "p", 1)
+        _land(spark.sql(v_sql([(900 + i, 25 + i, 1, "y", "other", "종로구")])), tmp_path / "v", 1)
+        run()
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).filter("list_id <> 'end'").select("list_id", "rank", "match_type", "relevance", "matched_place", "visit_id").collect()]
+    batch = forecast_matches(spark.sql(p_sql(preds)).withColumn("target_date", F.to_date("target_ts")), spark.sql(v_sql(seen)).withColumn("visit_date", F.to_date("visit_ts")), 2, 9)
+    want = [tuple(r) for r in batch.select("list_id", "rank", "match_type", "relevance", "matched_place", "visit_id").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {"no_match", "exact_place_match", "alias_match"} <= {r[2] for r in got}
+
+
+def test_penalty_stream_equals_batch(spark, tmp_path):
+    from placewright.operators.routes import recency_penalty
+
+    rng = random.Random(9)
+    day = lambda n: f"timestamp'2026-01-01 09:00:00' + make_interval(0, 0, 0, {n})"
+    sql = lambda rows: "SELECT * FROM VALUES " + ", ".join(f"({day(d)}, '{p}', '{a}')" for d, p, a in rows) + " t(ts, place_name, area)"
+    seen = sorted((rng.randint(0, 80), rng.choice("pqr"), rng.choice(["중구", "종로구", ""])) for _ in range(120))
+    stops = sorted({(rng.randint(0, 78), rng.choice("pqrs"), rng.choice(["중구", "종로구", ""])) for _ in range(40)})
+    schema = spark.sql(sql(seen)).schema
+    read = lambda n: spark.readStream.schema(schema).parquet(str(tmp_path / n))
+    run = lambda: jobs.run_to_files(jobs.penalty_stream(read("s"), read("v")), str(tmp_path / "out"), str(tmp_path / "ck"))
+    for low in range(0, 100, 40):
+        inside = lambda rows: [r for r in rows if low <= r[0] < low + 40]
+        for name, rows in (("s", inside(stops)), ("v", inside(seen))):
+            if rows:
+                _land(spark.sql(sql(rows)), tmp_path / name, 1)
+        run()
+    for i in range(2):
+        _land(spark.sql(sql([(120 + i, "end", "중구")])), tmp_path / "v", 1)
+        run()
+    got = {(str(r["day"]), r["place_name"], r["area"]): r["visit_penalty"] for r in jobs.penalty_of(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    want = {}
+    for d, p, a in stops:
+        past = spark.sql(sql([s for s in seen if s[0] <= d] or [(200, "none", "")])).withColumn("visit_date", F.to_date("ts"))
+        stop = spark.sql(sql([(d, p, a)])).withColumn("day", F.to_date("ts"))
+        r = recency_penalty(stop, past).first()
+        want[str(r["day"]), p, a] = r["visit_penalty"]
+    assert got == want
