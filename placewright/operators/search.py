@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from placewright import fixed_values as fv
 from placewright.functions.text import lit_array
+from placewright.functions.numbers import dcg_gain
+from placewright.operators.diagnostics import best_ranks
 from placewright.operators.evaluation import gold_stats, objective
-from placewright.operators.matching import first_gold, match_pairs, prepare_gold, prepare_recs
-from placewright.operators.ranking import TUNED_FEATURES, in_area
+from placewright.operators.matching import first_gold, match_pairs, match_picks, prepare_gold, prepare_recs
+from placewright.operators.ranking import TUNED_FEATURES, diverse_rerank, final_score, in_area
 from placewright.operators.shaping import hash_order
+from placewright.session import cut_lineage
 
 
 def grid_size(grid) -> int:
@@ -162,71 +165,108 @@ def trial_weights(trials: DataFrame, results: DataFrame, names, metric="objectiv
 
 
 # --- final model search ---------------------------------------------------------
-def final_order(cands: Column, weights) -> Column:
-    """Candidates of one trial as structs sorted by (score, base, raw rank)."""
-    return F.array_sort(F.transform(cands, lambda c: F.struct(
-        (-_final(c, weights)).alias("neg"), (-c["base_score"]).alias("nb"), c["raw_rank"].alias("raw_rank"), c["t"].alias("t"), c["a"].alias("a"),
-        c["sim"].alias("sim"))))
+FINAL_MEANS = {"area_10": "area_match", "type_10": "type_match", "time_10": "time_match", "context_10": "context_match", "composite_10": "composite"}
 
 
-def final_picks(ordered: str, diversity: Column, k: int) -> Column:
-    """Greedy diverse top k over a sorted array column."""
-    count = lambda done, f, v: F.size(F.filter(done, lambda d: d[f] == v)).cast("double")
+def with_trials(rows: DataFrame, trials: DataFrame, key="trial_id") -> DataFrame:
+    """Rows times trials as an equi-join: numbers of trials are exploded, their weights looked up.
 
-    def step(done, _):
-        left = F.filter(F.col(ordered), lambda c: ~F.exists(done, lambda d: d["raw_rank"] == c["raw_rank"]))
-        ranked = F.transform(left, lambda c, i: F.struct(
-            (c["neg"] + diversity * (count(done, "t", c["t"]) * F.lit(0.70)
-             + F.greatest(F.lit(0.0), count(done, "a", c["a"]) - F.lit(2.0)) * F.lit(0.30))).alias("neg"),
-            i.alias("pos"), c["raw_rank"].alias("raw_rank"), c["t"].alias("t"), c["a"].alias("a"), c["sim"].alias("sim")))
-        return F.when(F.size(left) == 0, done).otherwise(F.concat(done, F.array(F.array_min(ranked))))
-
-    empty = F.array().cast("array<struct<neg:double,pos:int,raw_rank:int,t:string,a:string,sim:struct<area:double,type:double,time:double,composite:double>>>")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(k)), empty, step)
-
-
-def _final(c: Column, w) -> Column:
-    pop = (c["footfall"] + c["worker"]) / F.lit(2.0)
-    terms = [c["base_score"], c["area_match"], c["type_match"], c["time_match"], c["context_match"], c["target_match"], pop,
-             c["transit"], c["market"], c["welfare"], c["style"]]
-    total = None
-    for x, name in zip(terms, fv.FINAL_WEIGHTS):
-        total = x * w[name] if total is None else total + x * w[name]
-    return total + c["rank_score"] * F.lit(fv.FINAL_RANK_WEIGHT)
+    Trial ids are 1, 2, 3 ...; the table has one row per trial, as many as the caller asked for.
+    """
+    last = trials.agg(F.max(key).alias("n")).scalar()
+    each = rows.withColumn(key, F.explode(F.sequence(F.lit(1), last.cast("int"))))
+    return each.join(F.broadcast(trials.withColumn(key, F.col(key).cast("int"))), key)
 
 
-def search_final(features: DataFrame, pool: DataFrame, gold: DataFrame, requests: DataFrame, splits: DataFrame, trials: DataFrame,
-                 ks=None, k=10, list_col="sig", aliases=None) -> DataFrame:
-    """Final-model search: train metrics, mean similarities and objective.
+def diverse_lists(features: DataFrame, trials: DataFrame, k: int = 10, list_col="sig") -> DataFrame:
+    """(list_id, trial_id, raw_rank, position): greedy diverse top k of every list under every trial.
 
-    ``features`` must already follow the in-area-or-all rule.
+    A pick costs every later row of its type 0.70 weights, and of its area 0.30 from
+    the third on; so within a (type, area) class rows leave by score, and the first
+    k of each are enough. In a list of one area all rows pay the same for the area,
+    and the j-th row of a type always pays for the j - 1 before it: its price is
+    known in advance, and merging the classes greedily is one sort. Lists of several
+    areas (a request whose own area has no place) go through the step by step form.
+    """
+    rows = features.withColumn("list_id", F.col(list_col))
+    areas = rows.groupBy("list_id").agg((F.min("rec_area").eqNullSafe(F.max("rec_area"))).alias("one_area"))
+    scored = with_trials(rows.join(areas, "list_id").repartition("list_id"), trials)
+    scored = scored.withColumn("score", final_score([F.col(w) for w in fv.FINAL_WEIGHTS]))
+    scored = scored.select("list_id", "trial_id", "one_area", F.col("raw_rank").cast("int").alias("raw_rank"), "rec_type", "rec_area", "base_score", "score", "diversity_weight")
+    best = [F.desc("score"), F.desc("base_score"), F.col("raw_rank")]
+    kind = F.row_number().over(W.partitionBy("list_id", "trial_id", "rec_type").orderBy(*best))
+    one = scored.filter("one_area").withColumn("_nth", kind).filter(F.col("_nth") <= k)
+    price = F.round(F.col("score") - F.col("diversity_weight") * F.lit(0.70) * (F.col("_nth") - 1), 9)
+    position = F.row_number().over(W.partitionBy("list_id", "trial_id").orderBy(F.desc(price), *best))
+    one = one.withColumn("position", position).filter(F.col("position") <= k)
+    several = diverse_rerank(scored.filter("not one_area"), ("list_id", "trial_id"), k, F.col("diversity_weight"), "score").withColumn("position", F.col("rank"))
+    cols = ["list_id", "trial_id", "raw_rank", "position"]
+    return one.select(*cols).unionByName(several.select(*cols))
+
+
+def final_metrics(features: DataFrame, gold: DataFrame, groups: DataFrame, trials: DataFrame, ks=None, k: int = 10, list_col="sig", aliases=None, areas=None) -> DataFrame:
+    """Metrics of every trial over every group of queries, with the objective of the final model.
+
+    groups: (query_id, split); a query may be in several. features follow the
+    in-area-or-all rule already. A gold row and a candidate that match do so under
+    every trial: pairs are made once and meet the trials through the positions of
+    their candidates. Matching is one to one, by rank. Means over the top k count a
+    list once for each query of the group that it serves.
     """
     ks = sorted(set(ks or fv.EVAL_KS))
-    train = splits.filter("split = 'train'")
-    labels = label_sums(gold, pool, train, ks, list_col, aliases)
-    sim = F.struct(F.col("area_match").alias("area"), F.col("type_match").alias("type"), F.col("time_match").alias("time"),
-                   F.col("composite").alias("composite"))
-    used = ["base_score", "area_match", "type_match", "time_match", "context_match", "target_match", "footfall", "worker",
-            "transit", "market", "welfare", "style", "rank_score"]
-    item = F.struct(F.col("raw_rank").cast("int").alias("raw_rank"), *[F.col(c).cast("double").alias(c) for c in used],
-                    F.col("rec_type").alias("t"), F.col("rec_area").alias("a"), sim.alias("sim"))
-    lists = features.groupBy(F.col(list_col).alias("list_id")).agg(F.collect_list(item).alias("cands"))
-    asked = requests.join(train.select("query_id"), "query_id", "left_semi").groupBy(F.col(list_col).alias("list_id")).agg(
-        F.count("*").alias("queries"))
-    rows = lists.join(asked, "list_id").withColumn("_t", F.explode(trial_array(trials, fv.FINAL_WEIGHTS).scalar()))
-    rows = rows.withColumn("_ordered", final_order(F.col("cands"), F.col("_t")))
-    rows = rows.withColumn("picks", final_picks("_ordered", F.col("_t.diversity_weight"), k))
-    rows = rows.select("list_id", "queries", F.col("_t.trial_id").alias("trial_id"), F.transform("picks", lambda p: p["raw_rank"]).alias("top"),
-                       F.transform("picks", lambda p: p["sim"]).alias("sims"))
-    total = lambda f: F.aggregate("sims", F.lit(0.0), lambda acc, s: acc + s[f])
-    size = F.sum(F.size("sims") * F.col("queries"))
-    sims = rows.groupBy("trial_id").agg(*[(F.sum(total(f) * F.col("queries")) / size).alias(f"{f}_10")
-                                          for f in ("area", "type", "time", "composite")])
-    met = labels.join(rows, "list_id").withColumn("best", best_position(F.col("top"), F.col("ranks"))).filter("best is not null")
-    sums = met.groupBy("trial_id").agg(*metric_sums(ks, F.lit(1.0)))
-    n = train.agg(F.count("*").cast("double").alias("n"))
+    top = cut_lineage(diverse_lists(features, trials, k, list_col))
+    g = prepare_gold(gold, list_col, areas)
+    pairs = match_pairs(g, prepare_recs(features, list_col, "raw_rank", areas=areas), aliases).withColumnRenamed("rank", "raw_rank")
+    placed = pairs.join(top, ["list_id", "raw_rank"]).withColumnRenamed("position", "rank")
+    placed = cut_lineage(placed.select("trial_id", "query_id", "list_id", "rank", "gold_item", "gold_id", "relevance", "ord", "method"))
+    picks = match_picks(placed, k, ["trial_id"]).select("trial_id", "query_id", F.inline("picks"))
+    stats = gold_stats(g, ks).join(groups, "query_id")
+    sums = []
+    for x in ks:
+        near = F.col("rank") <= x
+        gain = F.coalesce(F.try_divide(dcg_gain(F.col("relevance"), F.col("rank")), F.col(f"idcg_{x}")), F.lit(0.0))
+        sums += [(F.count_if(near) / F.lit(float(x))).alias(f"p_{x}"), F.sum(F.when(near, F.lit(1.0) / F.col("total_relevant")).otherwise(0.0)).alias(f"r_{x}"),
+                 F.sum(F.when(near, gain).otherwise(0.0)).alias(f"ndcg_{x}")]
+    met = picks.drop("gold_id").join(stats, "query_id").groupBy("trial_id", "split").agg(*sums)
+    hits = placed.select("trial_id", "query_id", "rank").distinct().join(groups, "query_id").groupBy("trial_id", "split").agg(F.count("*").alias("hits"))
+    served = gold.select("query_id", F.col(list_col).alias("list_id")).distinct().join(groups, "query_id").groupBy("list_id", "split").agg(F.count("*").alias("queries"))
+    values = features.select(F.col(list_col).alias("list_id"), F.col("raw_rank").cast("int").alias("raw_rank"), *[F.col(c).cast("double").alias(c) for c in FINAL_MEANS.values()])
+    lists = top.join(values, ["list_id", "raw_rank"]).groupBy("trial_id", "list_id").agg(F.count("*").alias("rows"), *[F.sum(c).alias(n) for n, c in FINAL_MEANS.items()])
+    times = lambda c: F.sum(F.col(c) * F.col("queries"))
+    means = lists.join(served, "list_id").groupBy("trial_id", "split").agg(times("rows").alias("rows"), *[(times(c) / times("rows")).alias(c) for c in FINAL_MEANS])
+    sizes = groups.groupBy("split").agg(F.count("*").alias("queries"))
+    every = with_trials(sizes, trials.select("trial_id"))
+    out = every.join(met, ["trial_id", "split"], "left").join(means, ["trial_id", "split"], "left").join(hits, ["trial_id", "split"], "left")
     names = [f"{m}_{x}" for x in ks for m in ("p", "r", "ndcg")]
-    count = n.scalar()
-    out = trials.join(sims, "trial_id", "left").join(sums, "trial_id", "left")
-    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) / count for c in names})
-    return out.withColumn("objective", objective(fv.FINAL_OBJECTIVE))
+    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) / F.col("queries") for c in names} | {c: F.coalesce(c, F.lit(0.0)) for c in FINAL_MEANS}
+                          | {"hit_10": F.coalesce(F.try_divide("hits", "rows"), F.lit(0.0))})
+    out = out.withColumn("objective", objective(fv.FINAL_OBJECTIVE))
+    return out.select("trial_id", "split", "queries", *names, *FINAL_MEANS, "hit_10", "objective")
+
+
+def search_final(features: DataFrame, gold: DataFrame, splits: DataFrame, trials: DataFrame, **options) -> DataFrame:
+    """One row per trial: weights, and the metrics of train and validation queries side by side."""
+    long = final_metrics(features, gold, splits, trials, **options)
+    names = [c for c in long.columns if c not in ("trial_id", "split")]
+    wide = long.groupBy("trial_id").agg(*[F.max(F.when(F.col("split") == s, F.col(c))).alias(f"{s}_{c}") for s in ("train", "validation") for c in names])
+    return trials.withColumn("trial_id", F.col("trial_id").cast("int")).join(wide, "trial_id")
+
+
+def final_models(spark: SparkSession, best: DataFrame) -> DataFrame:
+    """The five compared models as trials: trial_id, model and weights; ``best`` holds the weights that the search found in one row."""
+    names = fv.FINAL_WEIGHTS
+    fixed = spark.createDataFrame([(i, m, *map(float, fv.FINAL_MODEL_WEIGHTS[m])) for i, m in enumerate(("baseline", "context", "profile"), 1)], "trial_id int, model string, " + ", ".join(f"{n} double" for n in names))
+    plain = {"profile_weight", "diversity_weight"}
+    found = lambda i, m, without: best.select(F.lit(i).alias("trial_id"), F.lit(m).alias("model"), *[(F.lit(0.0) if n in without else F.col(n)).alias(n) for n in names])
+    return fixed.unionByName(found(4, "similarity_optimized", plain)).unionByName(found(5, "final_proposed", set()))
+
+
+def compare_final(features: DataFrame, gold: DataFrame, models: DataFrame, pool: DataFrame, list_col="sig", areas=None, **options) -> DataFrame:
+    """Metrics of each model over all queries, with the share of gold rows that the first 50 and 100 candidates hold."""
+    everyone = gold.select("query_id").distinct().withColumn("split", F.lit("full"))
+    rows = final_metrics(features, gold, everyone, models.drop("model"), list_col=list_col, areas=areas, **options)
+    total = gold.agg(F.count("*").alias("n")).scalar()
+    found = best_ranks(gold, pool, "raw_rank", "best", list_col, areas=areas)
+    recall = found.agg(F.struct(*[F.try_divide(F.count_if(F.col("best") <= x), total).alias(f"raw_recall_{x}") for x in (50, 100)]).alias("r"))
+    rows = rows.join(models.select("trial_id", "model"), "trial_id").withColumn("_raw", recall.scalar())
+    return rows.select("model", *[c for c in rows.columns if c not in ("trial_id", "split", "model", "_raw")], "_raw.*")

@@ -340,3 +340,19 @@ SELECT f.*, c.p AS pc, a.p AS pa, t.p AS pt FROM (
  LEFT JOIN r_profile t ON t.actor = f.actor AND t.dim = 'time' AND t.key = f.bucket)"""
 FINAL_SCORE = lambda w: ("base_score * {0} + area_match * {1} + type_match * {2} + time_match * {3} + context_match * {4} + target_match * {5} + (footfall + worker) / 2.0 * {6} "
                          "+ transit * {7} + market * {8} + welfare * {9} + style * {10} + rank_score * 0.03").format(*w)
+# --- text similarity -----------------------------------------------------------------------
+_derived = cats(key("rec_type || ' ' || candidate_source"), fv.FINAL_CATEGORY_WORDS)
+CTE["r_told"] = f"""
+SELECT sig, raw_rank, queries, concat_ws(' ', place_type, activity_type, target_group, context_tags, area, time) AS l,
+ concat_ws(' ', rec_type, candidate_source, rec_area, array_to_string(list_sort({_derived}), ';'), bucket) AS r FROM r_final"""
+CTE["r_semantic"] = f"""
+WITH d AS (SELECT 'l' AS side, l AS doc, sum(queries) AS copies FROM r_told GROUP BY l UNION ALL SELECT 'r', r, sum(queries) FROM r_told GROUP BY r),
+ tok AS (SELECT side, doc, copies, unnest(list_filter(list_transform(regexp_split_to_array(doc, '[;,/|()\\s]+'), lambda x: {key('x')}), lambda x: length(x) >= 2)) AS token FROM d),
+ tf AS (SELECT side, doc, copies, token, count(*) AS c, sum(count(*)) OVER (PARTITION BY side, doc) AS len FROM tok GROUP BY side, doc, copies, token),
+ idf AS (SELECT token, ln(((SELECT sum(copies) FROM d) + 1)::DOUBLE / (sum(copies) + 1)::DOUBLE) + 1.0 AS idf FROM tf GROUP BY token),
+ v AS (SELECT side, doc, token, c / len::DOUBLE * idf AS w FROM tf JOIN idf USING (token)), nm AS (SELECT side, doc, sqrt(sum(w * w)) AS norm FROM v GROUP BY side, doc),
+ pr AS (SELECT DISTINCT l, r FROM r_told),
+ dot AS (SELECT l, r, sum(a.w * b.w) AS dot FROM pr JOIN v a ON a.side = 'l' AND a.doc = l JOIN v b ON b.side = 'r' AND b.doc = r AND b.token = a.token GROUP BY l, r)
+SELECT sig, raw_rank, coalesce(dot / (x.norm * y.norm), 0.0) AS semantic FROM r_told t LEFT JOIN dot USING (l, r) LEFT JOIN nm x ON x.side = 'l' AND x.doc = t.l LEFT JOIN nm y ON y.side = 'r' AND y.doc = t.r"""
+CTE["r_whole"] = f"""
+SELECT *, {clamp(' + '.join(f'{w} * {c}' for c, w in fv.COMPOSITE.items()))} AS composite FROM r_final JOIN r_semantic USING (sig, raw_rank)"""

@@ -134,3 +134,9 @@ def final_base(spark, sf) -> DataFrame:
 def final(spark, sf) -> DataFrame:
     """All final features, with text similarity and the composite."""
     return rank.composite(rank.with_semantic(final_base(spark, sf), "queries"))
+
+
+@stage
+def final_lists(spark, sf) -> DataFrame:
+    """Final features of the rows that a request may be served: those of its area, or all where it has none."""
+    return rank.area_or_all(final(spark, sf), areas=roles.AREAS)

@@ -80,24 +80,23 @@ def split_evaluation(spark, sf):
 TRIALS = 300
 
 
-def _trials_sql():
-    names = fv.TUNED_WEIGHTS
-    lists = ", ".join(f"(SELECT unnest({[float(v) for v in g]}) AS {n}, unnest(range({len(g)})) AS i{i})" for i, (n, g) in enumerate(zip(names, fv.TUNED_GRID)))
+def trials_sql(names, grid, required, n_trials):
+    lists = ", ".join(f"(SELECT unnest({[float(v) for v in g]}) AS {n}, unnest(range({len(g)})) AS i{i})" for i, (n, g) in enumerate(zip(names, grid)))
     stride, parts = 1, []
     for i in reversed(range(len(names))):
         parts.append(f"i{i} * {stride}")
-        stride *= len(fv.TUNED_GRID[i])
-    req = ", ".join("(" + ", ".join(str(x) for x in [j, *row]) + ")" for j, row in enumerate(fv.TUNED_REQUIRED, 1))
+        stride *= len(grid[i])
+    req = ", ".join("(" + ", ".join(str(x) for x in [j, *row]) + ")" for j, row in enumerate(required, 1))
     cols = ", ".join(names)
     return f"""
  grid AS (SELECT {' + '.join(parts)} AS grid_id, {cols} FROM {lists}),
- pick AS (SELECT row_number() OVER (ORDER BY md5('42|' || grid_id::VARCHAR), grid_id) AS pos, {cols} FROM grid QUALIFY pos <= {TRIALS}),
- every AS (SELECT * FROM (VALUES {req}) r(seq, {cols}) UNION ALL SELECT pos + {len(fv.TUNED_REQUIRED)}, {cols} FROM pick),
+ pick AS (SELECT row_number() OVER (ORDER BY md5('42|' || grid_id::VARCHAR), grid_id) AS pos, {cols} FROM grid QUALIFY pos <= {n_trials}),
+ every AS (SELECT * FROM (VALUES {req}) r(seq, {cols}) UNION ALL SELECT pos + {len(required)}, {cols} FROM pick),
  trials AS (SELECT row_number() OVER (ORDER BY seq) AS trial_id, * FROM (SELECT {cols}, min(seq) AS seq FROM every GROUP BY {cols}))"""
 
 
 def _search_sql(tail):
-    return f"""WITH {_trials_sql()},
+    return f"""WITH {trials_sql(fv.TUNED_WEIGHTS, fv.TUNED_GRID, fv.TUNED_REQUIRED, TRIALS)},
  recs AS (SELECT *, row_number() OVER (PARTITION BY trial_id, sig ORDER BY score DESC, base_score DESC, raw_rank) AS rank FROM (
    SELECT trial_id, sig, raw_rank, rec_name, rec_area, base_score, {TUNED_SCORE} AS score FROM r_tuned, trials WHERE area = rec_area) QUALIFY rank <= 10),
  lab AS (SELECT g.query_id, g.sig, l.raw_rank, g.gold_id, g.relevance FROM r_goldsig g JOIN r_lists l ON l.sig = g.sig AND (contains(l.rec_name, g.place_name) OR contains(g.place_name, l.rec_name))

@@ -89,7 +89,7 @@ def display_rules(spark, sf):
     return roles.places(spark, sf).select("place_id", *[c.alias(n) for n, c in routes.display_scores(text).items()], F.array_join(routes.feature_labels(text), "|").alias("labels"))
 
 
-@query("semantic_similarity")
+@query("semantic_similarity", "SELECT sig, raw_rank, round(semantic, 6) AS semantic, round(composite, 6) AS composite FROM r_whole")
 def semantic_similarity(spark, sf):
     return pipe.final(spark, sf).select("sig", "raw_rank", *R6("semantic", "composite"))
 
