@@ -32,10 +32,14 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adsbygoogle|advert\w*|alerts?|banners?|breadcrumbs?|byline|captcha|comments?|consent|cookie\w*|copyright|disclaimer|disqus|discussion|footer|gdpr|header|masthead|menus?|modal|nav\w*|newsletter|notices?|notification"
-    r"|outbrain|pagination|pager|popup|promo\w*|recommend\w*|related|replies|reply|respond|share|sharing|shoutbox|side-?bar\w*|side-?nav\w*|sign-?up|skyscraper|social|sponsor\w*|subscri\w*|taboola|tags?|toc|toolbar|widgets?)(?:$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|adsbygoogle|advert\w*|alerts?|banners?|breadcrumbs?|byline|captcha|comments?|consent|cookie\w*|copyright|disclaimer|disqus|discussion|footer|gdpr|header|masthead|menus?|modal|nav\w*|newsletter|notices?|notification"
+    r"|outbrain|pagination|pager|popup|promo\w*|recommend\w*|related|replies|reply|respond|share|sharing|shoutbox|side-?bar\w*|side-?nav\w*|sign-?up|skyscraper|social|sponsor\w*|subscri\w*|taboola|tags?|toc|toolbar|widgets?)(?:$|[_-])",
     re.I,
 )
+#: Class names that tell how an element is laid out, or that something is absent.
+LAYOUT = re.compile(r"^(?:has|no|not|with|without|is|hide|show|two|three|single)[_-]|[_-](?:layout|page|left-of|right-of|less)$", re.I)
+#: Words that an article's own parts carry too.
+HEADS = re.compile(r"^(?:\w+[_-])*header(?:[_-]\w+)*$", re.I)
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search".split())
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 CONTAINERS = frozenset(["article", "main"])
@@ -55,7 +59,10 @@ class Node:
         self.tag, self.parent, self.children, self.score, self.text, self.linked = tag, parent, [], 0.0, 0, 0
 
 
-def _left_out(tag: str, attributes: str) -> bool:
+def _left_out(tag: str, attributes: str, inside: bool, by_class: bool) -> bool:
+    """Whether an element can never be main text; inside: within an article or main element, whose headers are its own."""
+    if tag == "header" and inside:
+        return False
     if tag in DROPPED or tag in ASIDE or tag in RAW:
         return True
     if not attributes or tag in ("html", "body"):
@@ -64,12 +71,20 @@ def _left_out(tag: str, attributes: str) -> bool:
         name, value = name.lower(), next(filter(None, values), "")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value) or name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in CONTAINERS and UNWANTED.search(value):
-            return True
+        if by_class and name in ("class", "id") and tag not in CONTAINERS:
+            for word in value.split():
+                if UNWANTED.search(word) and not LAYOUT.search(word) and not (inside and HEADS.match(word)):
+                    return True
     return False
 
 
-def parse(page: str) -> Node:
+def _within(node: Node | None) -> bool:
+    while node is not None and node.tag not in CONTAINERS:
+        node = node.parent
+    return node is not None
+
+
+def parse(page: str, by_class: bool = True) -> Node:
     """Tree of a page without what can never be main text. Unclosed and misnested tags are put right as browsers do it, roughly."""
     root = Node("html", None)
     at, skipped, depth = root, "", 0
@@ -126,7 +141,7 @@ def parse(page: str) -> Node:
             continue
         if tag in ("html", "body"):
             continue
-        if _left_out(tag, m[3]):
+        if _left_out(tag, m[3], (tag == "header" or m[3] != "") and _within(at), by_class):
             if not m[3].endswith("/"):
                 skipped, depth = tag, 1
             continue
@@ -214,6 +229,7 @@ def best_container(root: Node) -> tuple[Node, list[Node]]:
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks of a subtree in page order: character references decoded, white space as one space, trimmed."""
     out, parts = [], []
+    declared = _within(node)  # an article's own lists are kept
 
     def end() -> None:
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
@@ -230,7 +246,7 @@ def blocks(node: Node) -> list[str]:
                 continue
             if c.tag in BLOCKS:
                 end()
-                if c.tag in ("ul", "ol", "table", "div", "section") and c.text and _density(c) > 0.5 and c.linked > 20:
+                if not declared and c.tag in ("ul", "ol", "table", "div", "section") and c.text and _density(c) > 0.5 and c.linked > 20:
                     continue  # a list of links
             stack.append((c, iter(c.children)))
             break
@@ -242,9 +258,7 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def main_text(page: str) -> str:
-    """The article of a page, blocks joined by one newline; empty where a page has no text."""
-    root = parse(page)
+def _text_of(root: Node) -> str:
     top, beside = best_container(root)
     if not beside:
         return "\n".join(blocks(top))
@@ -252,6 +266,15 @@ def main_text(page: str) -> str:
     return "\n".join(b for n in top.parent.children if id(n) in chosen for b in blocks(n))
 
 
+def main_text(page: str) -> str:
+    """The article of a page, blocks joined by one newline; empty where a page has no text.
+
+    Where class names and ids would leave nothing, as on a wrapper around the whole
+    article, the page is read again without them.
+    """
+    return _text_of(parse(page)) or _text_of(parse(page, by_class=False))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 

@@ -150,6 +150,22 @@ def test_small_pages(page, want):
     assert main_text(page) == want
 
 
+LONG = "This paragraph is the article, long enough, with commas, to be taken for text."
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<div class='content no-sidebar'><p>{LONG}</p></div>", LONG),
+    (f"<div class='has-sidebar'><article><p>{LONG}</p></article><div class='sidebar'><p>{LONG} Not.</p></div></div>", LONG),
+    (f"<div class='sidebar'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div class='site-header'>Site</div><article><div class='post-header'><h1>Headline</h1></div><p>{LONG}</p></article>", f"Headline\n{LONG}"),
+    (f"<header>Site</header><article><header><h1>Headline</h1></header><p>{LONG}</p></article>", f"Headline\n{LONG}"),
+    (f"<article><p>{LONG}</p><ul><li><a href=a>A first source of it</a><li><a href=b>A second source of it</a></ul></article>", f"{LONG}\nA first source of it\nA second source of it"),
+    (f"<article><p>{LONG}</p><div class='comment-list'><p>{LONG}</p></div><nav><a>x</a></nav><div class='ad-slot'>Buy, buy, buy now or never, it is cheap</div></article>", LONG),
+])
+def test_main_text_of_wrappers_and_parts(page, want):
+    assert main_text(page) == want
+
+
 def test_extract(spark):
     deep = "<div>" * 5000 + "<p>deep, but still text, of a page</p>"
     long = "<article>" + "".join(f"<p>Paragraph {i}, with text.</p>" for i in range(5000)) + "</article>"
