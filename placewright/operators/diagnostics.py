@@ -176,17 +176,20 @@ def before_after(before: DataFrame, after: DataFrame, key="metric", value="value
                                          relative_change(x, y).alias("relative_change"), interpretation(F.col(key), x, y).alias("interpretation"))
 
 
-def coverage_stats(covered: DataFrame, raw_sizes: DataFrame) -> DataFrame:
+def coverage_stats(covered: DataFrame, raw_sizes: DataFrame, weight: str | None = None) -> DataFrame:
     """Long (metric, value) table of recall, misses, demotions and pool sizes.
 
-    ``raw_sizes`` has one row per query with its pool size in ``rows``.
+    ``raw_sizes`` has one row per query with its pool size in ``rows``, or one row
+    per pool with its number of queries in the column that ``weight`` names.
     """
+    times = F.col(weight) if weight else F.lit(1)
+    n = F.sum(times)
     c = covered.agg(F.avg(F.col("in_raw_top50").cast("double")).alias("raw_recall_50"),
                     F.count_if(~F.col("in_raw_top50")).cast("double").alias("missing_query_count"),
                     F.count_if(F.col("in_raw_top50") & ~F.col("in_top10")).cast("double").alias("raw_present_not_top10_count"),
                     F.avg(F.col("in_top10").cast("double")).alias("hit_10_rate"))
-    s = raw_sizes.agg(F.sum("rows").cast("double").alias("raw_candidate_rows"), F.count("*").cast("double").alias("raw_query_count"),
-                      F.avg("rows").alias("avg_raw_candidates_per_query"))
+    s = raw_sizes.agg(F.sum(F.col("rows") * times).cast("double").alias("raw_candidate_rows"), F.coalesce(n, F.lit(0)).cast("double").alias("raw_query_count"),
+                      F.try_divide(F.sum(F.col("rows") * times), n).alias("avg_raw_candidates_per_query"))
     long = lambda d: d.unpivot([], d.columns, "metric", "value")
     return long(c).unionByName(long(s))
 

@@ -127,14 +127,41 @@ def split_summaries(detail: DataFrame, splits: DataFrame, by=()) -> DataFrame:
     return summarise(tagged, [*by, "split"])
 
 
-def trace(recs: DataFrame, gold: DataFrame, models, samples: DataFrame, k=10, aliases=None) -> DataFrame:
-    """Per sampled query: best matching rank and top-k names of each model."""
-    some = recs.join(samples.select("query_id"), "query_id", "left_semi").filter(F.col("rank") <= k)
-    g = prepare_gold(gold.join(samples.select("query_id"), "query_id", "left_semi"))
-    pairs = match_pairs(g, prepare_recs(some, by=["model"]), aliases, ["model"])
+def transitions(before: DataFrame, after: DataFrame, actors: DataFrame, per_actor: int = 1) -> DataFrame:
+    """The first queries of each actor that were missed before and are hit after: query_id, actor, rank_after.
+
+    before, after: (query_id, rank), the best matching rank of a run, rows of missed
+    queries absent. Each task keeps per_actor rows of an actor before the shuffle.
+    """
+    turned = after.join(before.select("query_id"), "query_id", "left_anti").withColumnRenamed("rank", "rank_after")
+    return first_per(actors.join(turned, "query_id"), ["actor"], ["query_id"], per_actor).select("query_id", "actor", "rank_after")
+
+
+def trace_sample(actors: DataFrame, turned: DataFrame, heads: int = 2, cap: int = 5) -> DataFrame:
+    """Queries to trace (query_id, actor, reason): the first of each actor, then the first that turned into a hit; ``cap`` in all.
+
+    reason is head, miss_to_hit or fill; a query is listed once, for its first reason.
+    """
+    head = first_per(actors, ["actor"], ["query_id"], heads, "_n").select("query_id", "actor", F.lit(0).alias("_k"), F.col("actor").alias("_by"))
+    turn = turned.orderBy("query_id").limit(1).select("query_id", "actor", F.lit(1).alias("_k"), F.lit("").alias("_by"))
+    fill = actors.orderBy("query_id").limit(cap + heads).select("query_id", "actor", F.lit(2).alias("_k"), F.lit("").alias("_by"))
+    rows = first_per(head.unionByName(turn).unionByName(fill), ["query_id"], ["_k", "_by"])
+    picked = rows.orderBy("_k", "_by", "query_id").limit(cap)
+    return picked.select("query_id", "actor", F.get(lit_array(["head", "miss_to_hit", "fill"]), F.col("_k")).alias("reason"))
+
+
+def trace(recs: DataFrame, gold: DataFrame, models, samples: DataFrame, k=10, aliases=None, list_col="query_id", areas=None) -> DataFrame:
+    """Per sampled query: best matching rank and top-k names of each model.
+
+    ``recs`` has a row per (model, list, rank); ``list_col`` names the list of a query.
+    """
+    some = gold.join(samples.select("query_id"), "query_id", "left_semi")
+    lists = some.select("query_id", F.col(list_col).alias("list_id")).distinct()
+    rows = recs.withColumn("list_id", F.col(list_col)).filter(F.col("rank") <= k).join(lists.select("list_id").distinct(), "list_id", "left_semi")
+    pairs = match_pairs(prepare_gold(some, list_col, areas), prepare_recs(rows, "list_id", by=["model"], areas=areas), aliases, ["model"])
     best = pairs.groupBy("query_id").pivot("model", list(models)).agg(F.min("rank"))
-    names = some.groupBy("query_id").pivot("model", list(models)).agg(F.array_join(F.transform(F.array_sort(
+    names = rows.groupBy("list_id").pivot("model", list(models)).agg(F.array_join(F.transform(F.array_sort(
         F.collect_list(F.struct("rank", "rec_name"))), lambda x: x["rec_name"]), " | "))
     ranked = best.select("query_id", *[F.col(m).alias(f"{m}_rank") for m in models])
-    listed = names.select("query_id", *[F.col(m).alias(f"{m}_places") for m in models])
+    listed = lists.join(names.select("list_id", *[F.col(m).alias(f"{m}_places") for m in models]), "list_id", "left").drop("list_id")
     return samples.join(listed, "query_id", "left").join(ranked, "query_id", "left")

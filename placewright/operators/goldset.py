@@ -12,7 +12,8 @@ from placewright.functions.text import (
 from placewright.functions.times import d_day, date_from_name, day_of_week, norm_date, norm_time, norm_time_locale, time_slot4
 from placewright.operators import quality
 from placewright.operators.shaping import (
-    composite_key, dedupe_keep_blank, first_per, long_query_id, query_id, sequential_ids, trim_all_strings, union_all)
+    composite_key, dedupe_keep_blank, first_per, long_query_id, number_rows, query_id, sequential_ids, trim_all_strings, union_all)
+from placewright.session import cut_lineage
 from placewright.sources.contracts import GOLD, GOLD_REVIEW
 
 
@@ -183,6 +184,37 @@ def merge_gold(old: DataFrame, new: DataFrame, prefixes: dict | None = None, act
     return sequential_ids(rows, prefix, ["actor", "date", "time", "area", "place_name", order], "gold_id")
 
 
+def _prefix(prefixes: dict | None) -> Column:
+    out = F.lit("CD")
+    for actor, p in (prefixes or {}).items():
+        out = F.when(F.col("actor") == actor, p).otherwise(out)
+    return out
+
+
+def merge_again(kept: DataFrame | None, new: DataFrame, prefixes: dict | None = None, actors=None, areas=None, order="ord") -> tuple[DataFrame, DataFrame]:
+    """Merge further rows into a merged set whose ids stay as they are.
+
+    Returns the merged rows, and one row per row of ``new``: its ``order`` value, the
+    gold_id of the row that stands for its 7-column key, and whether it is that row
+    itself. A key that is known keeps its row; of new rows with one key the first
+    stays, and gets the next number of its prefix. Merging the same rows again
+    changes nothing.
+    """
+    rows = normalize_gold(new, actors, areas)
+    known = kept.select(*MERGE_KEY, F.col("gold_id").alias("_id")) if kept is not None else rows.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in [*MERGE_KEY, "_id"]))
+    fresh = first_per(rows.join(known, MERGE_KEY, "left_anti"), MERGE_KEY, [order]).withColumn("_prefix", _prefix(prefixes))
+    number = F.regexp_extract("_id", r"_(\d+)$", 1).cast("long")
+    last = known.groupBy(F.regexp_replace("_id", r"_\d+$", "").alias("_prefix")).agg(F.max(number).alias("_last"))
+    numbered = number_rows(fresh, ["actor", "date", "time", "area", "place_name", order], ["_prefix"], "_n").join(last, "_prefix", "left")
+    digits = (F.col("_n") + F.coalesce("_last", F.lit(0))).cast("string")
+    numbered = numbered.withColumn("gold_id", F.concat_ws("_", "_prefix", F.when(F.length(digits) >= 4, digits).otherwise(F.lpad(digits, 4, "0")))).drop("_prefix", "_n", "_last")
+    numbered = cut_lineage(numbered)
+    stands = known.select(*MERGE_KEY, F.col("_id").alias("gold_id"), F.lit(None).alias("_own")).unionByName(numbered.select(*MERGE_KEY, "gold_id", F.col(order).alias("_own")))
+    told = rows.drop("gold_id").join(stands, MERGE_KEY).select(order, "gold_id", F.coalesce(F.col(order) == F.col("_own"), F.lit(False)).alias("is_kept"))
+    merged = numbered if kept is None else kept.unionByName(numbered, allowMissingColumns=True)
+    return merged, told
+
+
 def merge_report(old: DataFrame, new: DataFrame, merged: DataFrame) -> DataFrame:
     """Rows per input file, then totals, duplicates removed and final rows."""
     inputs = union_all([old, new]).groupBy("source_group", "file_path").agg(F.count("*").alias("input_rows"))

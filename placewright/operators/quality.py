@@ -196,3 +196,13 @@ def area_safety(rows: DataFrame, route="route_id", order="order", area="area", s
     return rows.groupBy(route).agg(
         F.count("*").alias("rows"), F.count_if(outside).alias("mismatches"),
         F.coalesce(last_real < first_fill, F.lit(True)).alias("fillers_last"))
+
+
+def filler_breaks(rows: DataFrame, route="route_id", order="order", filler="is_fallback") -> DataFrame:
+    """Every real row that stands after a filler of its route, with the first filler before it.
+
+    One running minimum over the ordered stops of a route; equal positions do not break.
+    """
+    before = W.partitionBy(route).orderBy(order).rangeBetween(W.unboundedPreceding, -1)
+    first = F.min(F.when(F.col(filler), F.col(order))).over(before)
+    return rows.withColumn("first_filler", first).filter(~F.col(filler) & F.col("first_filler").isNotNull())

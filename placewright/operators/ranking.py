@@ -363,8 +363,14 @@ def top_shares_text(profiles: DataFrame, n: int = 4) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), "; ").alias("top"))
 
 
+#: Texts of these characters only have no character that NFKC changes or joins.
+_SETTLED = "^[\\x00-\\x7F\\u00C0-\\u00FF\\u0152\\u0153가-힣]*$"
+
+
 def document_tokens(c) -> Column:
-    keys = F.transform(split_tokens(c), lambda t: F.regexp_replace(F.lower(t), fv.KEY_DROP_PATTERN, ""))
+    """Comparison keys of a text's tokens, those of two characters or more; each token is normalised (NFKC) on its own."""
+    short = F.transform(split_tokens(c), lambda t: F.regexp_replace(F.lower(t), fv.KEY_DROP_PATTERN, ""))
+    keys = F.when(clean(c).rlike(_SETTLED), short).otherwise(F.transform(split_tokens(c), place_key))
     return F.filter(keys, lambda k: F.length(k) >= 2)
 
 

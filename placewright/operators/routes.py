@@ -53,6 +53,22 @@ def public_pool(sources: dict, city: str = "서울특별시") -> DataFrame:
     return union_all(frames)
 
 
+def recommended_pool(*lists: DataFrame) -> DataFrame:
+    """Rows of finished lists (rec_name, rec_area, rec_type, score) as pool records, the best score of each place.
+
+    A place stands in many lists, so its rows are combined before they meet the other sources.
+    """
+    rows = union_all([df.select("rec_name", "rec_area", "rec_type", F.col("score").cast("double").alias("score")) for df in lists])
+    best = rows.groupBy("rec_name", "rec_area", "rec_type").agg(F.max("score").alias("score"))
+    return best.select(F.col("rec_name").alias("place_name"), F.col("rec_area").alias("area"), F.col("rec_type").alias("place_type"), F.lit(None).cast("string").alias("address"),
+                       F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"), "score", F.lit(fv.SOURCE_DEFAULT).alias("source"))
+
+
+def record_pool(records: DataFrame, source: str) -> DataFrame:
+    """Records met in JSON documents as pool records; a missing score is 0."""
+    return records.select("place_name", "area", "place_type", "address", "lat", "lng", F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(source).alias("source"))
+
+
 def canonical_source(*cols) -> Column:
     raw = F.coalesce(*[F.nullif(clean(c), F.lit("")) for c in cols], F.lit(""))
     return label_map(raw, fv.SOURCE_ALIASES, F.when(raw == "", fv.SOURCE_DEFAULT).otherwise(raw))
@@ -207,6 +223,38 @@ def _synthetic(short: DataFrame) -> DataFrame:
         F.lit("synthetic_district_fallback").alias("stage"))
 
 
+RUNGS = ["strict_real_candidates", "relaxed_place_type_real_candidates", "relaxed_context_real_candidates", "all_real_district_candidates"]
+
+
+def relaxation_ladder(requests: DataFrame, pool: DataFrame) -> DataFrame:
+    """Per request: candidates on each rung, how many places the rungs hold together, and the first rung where these are enough.
+
+    Rung 1 takes the preferred types in the asked areas, rung 2 all types, rung 3
+    any context, rung 4 the whole area; a place counts for the first rung that it is
+    on. Without areas the whole pool is asked. The pool is one row per place; it is
+    counted per (area, type) first, and requests are reduced to what they ask for,
+    so a request never meets places. rung is null where all rungs are too few.
+    """
+    sizes = pool.filter("not is_fallback").groupBy("area", "place_type").agg(F.count("*").alias("rows"))
+    sizes = sizes.unionByName(sizes.groupBy("place_type").agg(F.sum("rows").alias("rows")).withColumn("area", F.lit("*")))
+    keys = ["areas", "preferred_types"]
+    listed = F.when(F.size("areas") > 0, F.array_distinct("areas")).otherwise(F.array(F.lit("*")))
+    asks = requests.select(*keys).distinct()
+    strict = (F.size("preferred_types") == 0) | F.array_contains("preferred_types", F.col("place_type"))
+    counts = asks.withColumn("area", F.explode(listed)).join(sizes, "area").groupBy(*keys).agg(
+        F.sum(F.when(strict, F.col("rows")).otherwise(0)).alias("strict"), F.sum("rows").alias("every"))
+    rows = requests.select("route_id", "num_visits", *keys).join(counts, keys, "left").na.fill(0, ["strict", "every"])
+    rungs = F.array(F.col("strict"), F.col("every"), F.col("every"), F.col("every"))
+    # Later rungs hold the earlier ones, so the places met so far are the largest count so far.
+    together = F.transform(F.sequence(F.lit(1), F.lit(len(RUNGS))), lambda i: F.array_max(F.slice(rungs, F.lit(1), i)))
+    enough = F.transform(together, lambda c: c >= F.col("num_visits"))
+    rung = F.nullif(F.array_position(enough, F.lit(True)), F.lit(0).cast("long")).cast("int")
+    rows = rows.withColumns({"stage_counts": rungs, "together": together, "rung": rung})
+    return rows.select("route_id", "num_visits", *[F.get("stage_counts", F.lit(i)).alias(f"rung_{i + 1}") for i in range(len(RUNGS))],
+                       F.element_at("together", -1).alias("together"), "rung", F.get(lit_array(RUNGS), F.col("rung") - 1).alias("rung_name"),
+                       F.greatest(F.col("num_visits") - F.element_at("together", -1), F.lit(0)).alias("short_by"))
+
+
 def candidate_debug(requests: DataFrame, pool: DataFrame, candidates: DataFrame) -> DataFrame:
     """Per request: counts before and after the area filter, per stage, and
     the stage that was reached. Pool counts are per (area, type) first."""

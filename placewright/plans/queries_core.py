@@ -179,6 +179,42 @@ def gold_normalised(spark, sf):
     return rows.select(F.col("gold_id").cast("long").alias("query_id"), "area", "place_type", "activity_type", "presence", "label", "context_tags")
 
 
+_MK = "actor, date, time, area, place_name, title"
+_MP = "CASE WHEN actor = 'BUILDING' THEN 'BD' WHEN actor = 'MACHINERY' THEN 'MC' ELSE 'CD' END"
+_ID = lambda n: f"pre || '_' || CASE WHEN length(({n})::VARCHAR) >= 4 THEN ({n})::VARCHAR ELSE lpad(({n})::VARCHAR, 4, '0') END"
+
+
+def _gold_rows(spark, sf):
+    """Requests as gold rows that repeat often: place, area and title come from few values."""
+    q = F.col("query_id")
+    title = roles.pick(q % 6, {0: "여의도 출근 인사", 1: "시장 방문", 2: "방송 인터뷰"}, "주민 대화")
+    return roles.requests(spark, sf).select(
+        F.col("actor"), "date", "time", F.when(q % 5 == 0, "").otherwise(F.concat(F.lit("hall "), (q % 3).cast("string"))).alias("place_name"), F.when(q % 2 == 0, "종로구").otherwise("").alias("area"),
+        title.alias("event_title"), F.lit("").alias("source_image"), q.alias("ord"), F.when(F.col("date") < "1996-01-01", "early.csv").otherwise("late.csv").alias("file_path"))
+
+
+@query("gold_merge", f"""
+WITH b AS (SELECT query_id AS ord, actor, date, time, CASE WHEN query_id % 5 = 0 THEN '' ELSE 'hall ' || (query_id % 3) END AS place_name,
+  CASE query_id % 6 WHEN 0 THEN '여의도 출근 인사' WHEN 1 THEN '시장 방문' WHEN 2 THEN '방송 인터뷰' ELSE '주민 대화' END AS title, query_id % 2 = 0 AS even FROM r_requests),
+ a AS (SELECT *, CASE WHEN even THEN '종로구' WHEN contains(title, '여의도') THEN '영등포구' ELSE '' END AS area, {_MP} AS pre FROM b),
+ o AS (SELECT * FROM a WHERE date < '1996-01-01' QUALIFY row_number() OVER (PARTITION BY {_MK} ORDER BY ord) = 1),
+ k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pre ORDER BY actor, date, time, area, place_name, ord) AS n FROM o),
+ f AS (SELECT a.* FROM a ANTI JOIN k USING ({_MK}) QUALIFY row_number() OVER (PARTITION BY {_MK} ORDER BY ord) = 1),
+ g AS (SELECT *, row_number() OVER (PARTITION BY pre ORDER BY actor, date, time, area, place_name, ord) AS n FROM f),
+ mx AS (SELECT pre, max(n) AS last FROM k GROUP BY pre),
+ st AS (SELECT {_MK}, {_ID('n')} AS gold_id, NULL AS own FROM k UNION ALL SELECT {_MK}, {_ID('n + coalesce(last, 0)')}, g.ord FROM g LEFT JOIN mx USING (pre)),
+ s1 AS (SELECT {_MK}, {_ID('n')} AS gold_id, ord AS own FROM k)
+SELECT 'first' AS run, a.ord, gold_id, a.ord = own AS is_kept FROM a JOIN s1 USING ({_MK}) WHERE date < '1996-01-01'
+UNION ALL SELECT 'second', a.ord, gold_id, coalesce(a.ord = own, false) FROM a JOIN st USING ({_MK})""")
+def gold_merge(spark, sf):
+    """Early rows first, then all rows: early ids stay, and each row names the row that stands for it."""
+    rows, prefixes = _gold_rows(spark, sf), {"BUILDING": "BD", "MACHINERY": "MC"}
+    kept, told = goldset.merge_again(None, rows.filter("file_path = 'early.csv'"), prefixes)
+    _, again = goldset.merge_again(kept, rows, prefixes)
+    runs = {"first": told, "second": again}
+    return shaping.union_all([df.select(F.lit(n).alias("run"), "ord", "gold_id", "is_kept") for n, df in runs.items()])
+
+
 @query("target_groups", f"""SELECT query_id, t AS targets FROM (SELECT query_id, CASE WHEN len(x) = 0 THEN '{fv.TARGET_DEFAULT}' ELSE array_to_string(x, ';') END AS t FROM (
  SELECT query_id, {all_of("concat_ws(' ', place_type, activity_type, target_group)", fv.TARGET_RULES)} AS x FROM r_requests))""")
 def target_groups(spark, sf):
@@ -213,3 +249,46 @@ def seeded_top_k(spark, sf):
 @query("split_ids", "SELECT query_id, split FROM r_split")
 def split_ids(spark, sf):
     return ev.train_split(roles.gold(spark, sf))
+
+
+# --- functions on messy values --------------------------------------------------------
+_FIT = "CASE WHEN fit IS NULL THEN '{0}' ".format(fv.FIT_LABEL_NULL) + " ".join(f"WHEN fit >= {lo} THEN '{n}'" for lo, n in fv.FIT_LABELS) + f" ELSE '{fv.FIT_LABEL_OTHER}' END"
+_KINDS = ["market", "", "nan", "체육시설", "policy_site", " subway "]
+_ADDRESSES = ["", "확인 필요", "nan", "Main street 1", " 해당 없음 "]
+_LABELS = {"market": "전통시장", "": "기타", "nan": "기타", "체육시설": "체육시설", "policy_site": "정책현장", " subway ": "교통거점"}
+_PICK = lambda values, n: "[" + ", ".join(f"'{v}'" for v in values) + f"][k % {n} + 1]"
+
+
+@query("messy_fields", f"""
+WITH b AS (SELECT o_orderkey AS k, o_orderkey % 24 AS h, o_orderkey % 60 AS m, o_orderdate AS d, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE (o_orderkey % 100) / 25.0 END AS fit FROM orders)
+SELECT k AS id, CASE k % 5 WHEN 0 THEN printf('%02d:%02d', h, m) WHEN 1 THEN printf('%02d:%02d', h % 12 + 12, m) WHEN 2 THEN printf('%02d:%02d', h, m) WHEN 3 THEN '00:30' ELSE '' END AS clock,
+ CASE WHEN k % 4 = 3 THEN 'unknown day' ELSE strftime(d, '%Y-%m-%d') END AS day,
+ CASE WHEN k % 3 = 0 THEN '' ELSE coalesce(strftime(try_strptime('2026' || strftime(d, '%m%d'), '%Y%m%d'), '%Y-%m-%d'), '') END AS file_day,
+ CASE WHEN k % 7 = 0 THEN 0.0 ELSE (k % 5000)::DOUBLE END AS amount, {_FIT} AS fit_label,
+ round(CASE WHEN (k % 300) / 100.0 > 1 THEN least(1.0, (k % 300) / 200.0) ELSE (k % 300) / 100.0 END, 6) AS bounded, CASE WHEN k % 3 = 0 THEN (k % 50)::DOUBLE ELSE 12.5 END AS first_number,
+ CASE WHEN k % 3 = 0 THEN 'third' WHEN k % 3 = 1 THEN 'second' ELSE 'first' END AS first_text, CASE WHEN h % 2 = 0 THEN h * 60 + m END AS minute_of_day,
+ array_to_string(list_transform(range(0, greatest(least(k % 10, 8), 1)), lambda i: printf('%02d:%02d', (round_even(390 + ((8 + k % 15) * 60 - 390) / greatest(greatest(least(k % 10, 8), 1) - 1, 1) * i, 0)::INT // 60),
+   round_even(390 + ((8 + k % 15) * 60 - 390) / greatest(greatest(least(k % 10, 8), 1) - 1, 1) * i, 0)::INT % 60)), ' ') AS slots,
+ {_PICK([_LABELS[x] for x in _KINDS], 6)} AS kind, {_PICK([fv.ADDRESS_UNKNOWN, fv.ADDRESS_UNKNOWN, fv.ADDRESS_UNKNOWN, 'Main street 1', fv.ADDRESS_UNKNOWN], 5)} AS address,
+ {_PICK(['BUILDING', 'MACHINERY', 'other', ''], 4)} AS actor, {_PICK(['hall 3', 'hall 4 x', 'Ab c'], 3)} AS place FROM b""")
+def messy_fields(spark, sf):
+    """Field functions on values as files have them: several layouts, blanks, labels, full-width letters."""
+    o = roles.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("d"))
+    k, h, m = F.col("k"), (F.col("k") % 24).cast("int"), (F.col("k") % 60).cast("int")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    of = lambda values: F.get(tf.lit_array(values), (k % len(values)).cast("int"))
+    raw = o.withColumns({
+        "h": h, "m": m, "clock": roles.pick(k % 5, {0: F.concat_ws(":", h.cast("string"), m.cast("string")), 1: F.concat(F.lit("오후 "), (h % 12).cast("string"), F.lit("시 "), m.cast("string"), F.lit("분")),
+                                                    2: F.concat(two(h), two(m)), 3: F.lit("오전 12.30")}, F.lit("nan")),
+        "day": roles.pick(k % 4, {0: F.date_format("d", "yyyy.MM.dd"), 1: F.date_format("d", "MM/dd/yyyy"), 2: F.date_format("d", "yyyyMMdd")}, F.lit("unknown day")),
+        "file": F.when(k % 3 == 0, "scan.png").otherwise(F.concat(F.lit("img "), F.date_format("d", "MMdd"), F.lit(".png"))),
+        "amount": F.when(k % 7 == 0, "none").otherwise(F.concat(F.format_number(k % 5000, 0), F.lit("명"))), "fit": F.when(k % 11 != 0, (k % 100) / 25.0),
+        "n1": F.when(k % 3 == 0, "x").otherwise("12.5"), "n2": (k % 50).cast("string"), "t1": F.when(k % 3 == 2, " first "), "t2": F.when(k % 3 == 1, "second").otherwise(" "),
+        "until": F.concat(two(F.lit(8) + k % 15), F.lit(":00")), "n": (k % 10).cast("int"), "kind": of(_KINDS), "address": of(_ADDRESSES), "actor": of(["BUILDING co", "Mach", "other", "none"]),
+        "place": of(["장소 : hall 3", "방문지:hall  4 x", "Ａｂ c"])})
+    return raw.select(
+        k.alias("id"), tm.norm_time_locale("clock").alias("clock"), tm.norm_date("day").alias("day"), tm.date_from_name("file").alias("file_day"), tf.leading_number("amount").alias("amount"),
+        nf.fit_label(F.col("fit")).alias("fit_label"), F.round(nf.bounded((k % 300) / 100.0), 6).alias("bounded"), nf.first_numeric("n1", "n2").alias("first_number"),
+        tf.first_non_blank("t1", "t2", F.lit("third")).alias("first_text"), tm.minutes(F.when(h % 2 == 0, F.concat_ws(":", h.cast("string"), two(m))).otherwise("25:00")).alias("minute_of_day"),
+        F.array_join(tm.time_slots(F.lit("06:30"), "until", "n"), " ").alias("slots"), tf.route_type("kind").alias("kind"), tf.normalise_address("address").alias("address"),
+        tf.normalise_actor("actor", {"BUILDING": ["bldg"], "MACHINERY": ["mach"]}).alias("actor"), tf.clean_place_name("place").alias("place"))

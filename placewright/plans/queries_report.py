@@ -105,6 +105,42 @@ def actor_profile_text(spark, sf):
     return rank.top_shares_text(rank.actor_profiles(pipe.asked(spark, sf)))
 
 
+@query("actor_profile_priors", f"""
+WITH s AS (SELECT CASE s_suppkey % 7 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'HOUSEHOLD' WHEN 4 THEN 'MACHINERY' WHEN 5 THEN 'NEWCOMER' ELSE 'OUTSIDER' END AS actor,
+  CASE s_nationkey % 4 WHEN 0 THEN 'subway' WHEN 1 THEN 'market' WHEN 2 THEN 'park' ELSE 'senior_friendly' END AS key FROM supplier),
+ pr AS (SELECT actor, 'category' AS dim, key, count(*) / sum(count(*)) OVER (PARTITION BY actor)::DOUBLE AS prior FROM s GROUP BY actor, key)
+SELECT actor, dim, key, round(CASE WHEN actor IN (SELECT actor FROM r_profile) THEN greatest(coalesce(p, 0.0), {fv.PRIOR_DISCOUNT} * coalesce(prior, 0.0)) ELSE prior END, 6) AS p
+FROM r_profile FULL JOIN pr USING (actor, dim, key)""")
+def actor_profile_priors(spark, sf):
+    """Observed shares with discounted priors; actors without history keep their priors whole."""
+    return rank.actor_profiles(pipe.asked(spark, sf), roles.priors(spark, sf)).select("actor", "dim", "key", *R6("p"))
+
+
+_TRACED = ["baseline", "type_weighted", "combined"]
+
+
+@query("recommendation_trace", f"""
+WITH b AS (SELECT model, g.query_id, min(rank) AS rank FROM r_goldsig g JOIN r_variants_ranked l ON l.sig = g.sig AND (contains(l.rec_name, g.place_name) OR contains(g.place_name, l.rec_name)) AND (g.area = '' OR g.area = l.rec_area)
+  GROUP BY model, g.query_id),
+ q AS (SELECT DISTINCT query_id, actor, sig FROM r_goldsig),
+ turned AS (SELECT query_id, actor FROM q JOIN (SELECT query_id FROM b WHERE model = 'combined' EXCEPT SELECT query_id FROM b WHERE model = 'baseline') USING (query_id)
+   QUALIFY row_number() OVER (PARTITION BY actor ORDER BY query_id) = 1),
+ s AS (SELECT query_id, actor, 0 AS k, actor AS o FROM q QUALIFY row_number() OVER (PARTITION BY actor ORDER BY query_id) <= 1
+  UNION ALL (SELECT query_id, actor, 1, '' FROM turned ORDER BY query_id LIMIT 1) UNION ALL (SELECT query_id, actor, 2, '' FROM q ORDER BY query_id LIMIT 9)),
+ pick AS (SELECT * FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k, o) = 1) ORDER BY k, o, query_id LIMIT 8)
+SELECT query_id, actor, ['head', 'miss_to_hit', 'fill'][k + 1] AS reason, {', '.join(f"(SELECT rank FROM b WHERE model = '{m}' AND b.query_id = pick.query_id) AS {m}_rank" for m in _TRACED)},
+ {', '.join(f"(SELECT string_agg(rec_name, ' | ' ORDER BY rank) FROM r_variants_ranked v WHERE model = '{m}' AND v.sig = q.sig) AS {m}_places" for m in _TRACED)}
+FROM pick JOIN q USING (query_id, actor)""")
+def recommendation_trace(spark, sf):
+    """First query of each actor, the first miss that the combined model turns into a hit, and fillers: eight in all, with ranks and names by model."""
+    recs, gold = pipe.variants(spark, sf), pipe.gold(spark, sf)
+    found = diag.best_ranks(gold, recs, "rank", "rank", "sig", by=["model"], areas=roles.AREAS).groupBy("model", "query_id").agg(F.min("rank").alias("rank"))
+    of = lambda m: found.filter(F.col("model") == m).select("query_id", "rank")
+    actors = gold.select("query_id", "actor").distinct()
+    samples = ev.trace_sample(actors, ev.transitions(of("baseline"), of("combined"), actors), 1, 8)
+    return ev.trace(recs, gold, _TRACED, samples, list_col="sig", areas=roles.AREAS).select("query_id", "actor", "reason", *[f"{m}_rank" for m in _TRACED], *[f"{m}_places" for m in _TRACED])
+
+
 @query("tfidf_similarity", f"""
 WITH n AS (SELECT count(*) AS nb FROM benchmark), pr AS (SELECT doc_id, 'd' || doc_id AS l, 'b' || item_id AS r, text AS lt, bt AS rt FROM (SELECT d.*, b.item_id, b.text AS bt FROM documents d, n
   JOIN (SELECT row_number() OVER (ORDER BY item_id) - 1 AS i, * FROM benchmark) b ON b.i = doc_id % nb)),
@@ -136,10 +172,12 @@ _ALIAS = """al AS (SELECT DISTINCT p_name AS cn, string_split(p_name, ' ')[2] AS
 
 
 @query("alias_match", f"""
-WITH {_ALIAS}, ok AS (SELECT area, f, t FROM ed), gx AS (SELECT gold_id, sig, area, replace(place_name, ' ', '') AS k FROM r_goldsig), rx AS (SELECT DISTINCT sig, rank, rec_area, replace(rec_name, ' ', '') AS k FROM r_combined),
- base AS (SELECT gold_id, rank, g.k AS gk, r.k AS rk, CASE WHEN g.k = r.k THEN 'exact' WHEN contains(g.k, r.k) OR contains(r.k, g.k) THEN 'partial' END AS m, r.rec_area AS a FROM gx g JOIN rx r ON r.sig = g.sig AND (g.area = '' OR g.area = r.rec_area)),
- ah AS (SELECT DISTINCT gold_id, rank FROM base JOIN ok x ON x.f = gk AND x.area = a JOIN ok y ON y.f = rk AND y.area = a AND y.t = x.t)
-SELECT gold_id, rank, method FROM (SELECT gold_id, rank, CASE WHEN m = 'exact' THEN 'exact' WHEN ah.gold_id IS NOT NULL THEN 'alias' ELSE m END AS method FROM base LEFT JOIN ah USING (gold_id, rank))
+WITH {_ALIAS}, ok AS MATERIALIZED (SELECT area, f, t FROM ed), gx AS (SELECT gold_id, sig, area, replace(place_name, ' ', '') AS k FROM r_goldsig), rx AS (SELECT DISTINCT sig, rank, rec_area, replace(rec_name, ' ', '') AS k FROM r_combined),
+ base AS MATERIALIZED (SELECT gold_id, rank, g.k AS gk, r.k AS rk, CASE WHEN g.k = r.k THEN 'exact' WHEN contains(g.k, r.k) OR contains(r.k, g.k) THEN 'partial' END AS m, r.rec_area AS a FROM gx g JOIN rx r ON r.sig = g.sig AND (g.area = '' OR g.area = r.rec_area)),
+ names AS MATERIALIZED (SELECT DISTINCT gk, rk, a FROM base WHERE m IS DISTINCT FROM 'exact'),
+ gt AS MATERIALIZED (SELECT gk, rk, a, t FROM names JOIN ok ON f = gk AND area = a),
+ ah AS MATERIALIZED (SELECT DISTINCT gk, rk, a FROM gt JOIN ok y ON y.f = rk AND y.area = a AND y.t = gt.t)
+SELECT gold_id, rank, method FROM (SELECT gold_id, rank, CASE WHEN m = 'exact' THEN 'exact' WHEN ah.gk IS NOT NULL THEN 'alias' ELSE m END AS method FROM base LEFT JOIN ah USING (gk, rk, a))
 WHERE method IS NOT NULL""")
 def alias_match(spark, sf):
     recs = pipe.variants(spark, sf, "combined")
@@ -162,7 +200,7 @@ def alias_pool(spark, sf):
 @query("leave_one_type_out")
 def leave_one_type_out(spark, sf):
     rows = ablation.leave_one_out(pipe.tuned(spark, sf, True), pipe.gold(spark, sf), fv.TUNED_REQUIRED[2], ["전통시장", "공원", "교통거점", "복지시설"], areas=roles.AREAS)
-    return rows
+    return rows.select("ablation", *R6(*[c for c in rows.columns if c != "ablation"]))
 
 
 #: Public sources under the reference's names, and the kind of place of each.
@@ -180,10 +218,11 @@ def alias_audit(spark, sf):
 
 @query("coverage_before_after")
 def coverage_before_after(spark, sf):
-    sizes = lambda a: pipe.frozen(spark, sf, a).groupBy("pool_id").agg(F.count("*").alias("rows")).join(pipe.asked(spark, sf).groupBy("pool_id").agg(F.count("*").alias("q")), "pool_id").select(
-        F.explode(F.sequence(F.lit(1), F.col("q").cast("int"))).alias("_"), "rows")
-    b, a = (diag.coverage_stats(pipe.coverage(spark, sf, x), sizes(x)) for x in (False, True))
-    return diag.before_after(b, a)
+    asked = pipe.asked(spark, sf).groupBy("pool_id").agg(F.count("*").alias("queries"))
+    sizes = lambda a: pipe.frozen(spark, sf, a).groupBy("pool_id").agg(F.count("*").alias("rows")).join(asked, "pool_id")
+    b, a = (diag.coverage_stats(pipe.coverage(spark, sf, x), sizes(x), "queries") for x in (False, True))
+    rows = diag.before_after(b, a)
+    return rows.select("metric", *R6("before", "after", "absolute_change", "relative_change"), "interpretation")
 
 
 # --- forecasts --------------------------------------------------------------------------------

@@ -5,28 +5,45 @@ from __future__ import annotations
 from placewright.functions import text as tf
 from placewright.plans.oracle import CTE, build, share
 from placewright.plans.queries import *  # noqa: F403
+from placewright.sources import files
 
 ROUTE_KINDS = {"subway": ("subway_csv", "교통거점"), "market": ("market_csv", "전통시장"), "park": ("park_csv", "공원"), "senior_friendly": ("welfare_csv", "복지시설")}
 
 
+SOURCES = [fv.SOURCE_DEFAULT, "market_csv", "park_csv", "subway_csv", "welfare_csv", "medical_welfare_csv", "commercial_worker_csv", "commercial_street_csv", "public_csv", "frontend_static_json"]
+
+
 @pipe.stage
 def _pool(spark, sf):
+    """Places of optimised lists, frozen candidates, seven public tables and JSON documents, one row per place by source priority."""
     t = {k: d.withColumnRenamed("name", "place_name") for k, d in roles.place_tables(spark, sf).items()}
     measure = {"subway": F.col("morning_in") + F.col("afternoon_in"), "market": F.col("store_count") + F.col("floor_area") / 100.0, "park": F.col("area_sqm"), "senior_friendly": None}
     sources = {src: (t[k].withColumnsRenamed({"latitude": "lat", "longitude": "lng"}), kind, measure[k]) for k, (src, kind) in ROUTE_KINDS.items()}
-    return routes.unified_pool([routes.public_pool(sources, "City")], roles.AREAS)
+    sources |= {"medical_welfare_csv": (roles.medical_places(spark, sf), "복지시설", None), "commercial_worker_csv": (roles.worker_places(spark, sf), "골목상권", F.col("total_worker_population")),
+                "commercial_street_csv": (roles.commercial_places(spark, sf), "골목상권", F.col("total_flow"))}
+    texts = roles.place_documents(spark, sf)
+    records = [routes.record_pool(files.flatten_json_records(texts.filter(F.col("source") == s), "value"), s) for s in ("public_csv", "frontend_static_json")]
+    lists = routes.recommended_pool(pipe.tuned_recs(spark, sf), pipe.frozen(spark, sf).withColumn("score", F.col("base_score")))
+    return routes.unified_pool([lists, routes.public_pool(sources, "City"), *records], roles.AREAS)
 
 
 _top = lambda x: f"max({x}) OVER ()"
+_KIND = "CASE rec_type WHEN 'subway' THEN '교통거점' WHEN 'market' THEN '전통시장' WHEN 'park' THEN '공원' ELSE '복지시설' END"
 CTE["r_routepool"] = f"""
-SELECT * FROM (
+SELECT *, CASE source WHEN 'route_candidate_pool' THEN 1 WHEN 'frontend_static_json' THEN 3 ELSE 2 END AS priority FROM (
  SELECT name, area, '교통거점' AS place_type, 'subway_csv' AS source, 0.92 + 0.35 * ({share('m', 't')}) AS score FROM (SELECT *, {_top('m')} AS t FROM (
    SELECT *, (pk * 37 % 1000)::DOUBLE + (pk * 53 % 1000 + size)::DOUBLE AS m FROM r_places WHERE kind = 'subway' AND pk % 2 = (SELECT max(pk % 2) FROM r_places WHERE kind = 'subway')
    QUALIFY row_number() OVER (PARTITION BY name ORDER BY area, place_id) = 1))
  UNION ALL SELECT name, area, '전통시장', 'market_csv', 0.90 + 0.30 * ({share('m', 't')}) FROM (SELECT *, {_top('m')} AS t FROM (SELECT *, size::DOUBLE + price / 100.0 AS m FROM r_places WHERE kind = 'market'))
  UNION ALL SELECT name, area, '공원', 'park_csv', 0.86 + 0.28 * ({share('m', 't')}) FROM (SELECT *, {_top('m')} AS t FROM (SELECT *, (size * size * 10)::DOUBLE AS m FROM r_places WHERE kind = 'park'))
- UNION ALL SELECT name, area, '복지시설', 'welfare_csv', 0.88 FROM r_places WHERE kind = 'senior_friendly')
-QUALIFY row_number() OVER (PARTITION BY replace(name, ' ', ''), area, place_type ORDER BY score DESC, name, source) = 1"""
+ UNION ALL SELECT name, area, '복지시설', 'welfare_csv', 0.88 FROM r_places WHERE kind = 'senior_friendly'
+ UNION ALL SELECT s_name || ' clinic', 'Brand#' || (s_nationkey + 1), '복지시설', 'medical_welfare_csv', 0.86 FROM supplier
+ UNION ALL SELECT s_name || ' zone', 'Brand#' || (s_nationkey + 1), '골목상권', 'commercial_worker_csv', 0.88 + 0.32 * ({share('m', 't')}) FROM (SELECT *, {_top('m')} AS t FROM (SELECT *, greatest(s_acctbal + 2000, 0.0) AS m FROM supplier))
+ UNION ALL SELECT c_name || ' zone', 'Brand#' || (c_nationkey + 1), '골목상권', 'commercial_street_csv', 0.88 + 0.32 * ({share('m', 't')}) FROM (SELECT *, {_top('m')} AS t FROM (SELECT *, greatest(c_acctbal + 2000, 0.0) AS m FROM customer))
+ UNION ALL SELECT p_name || ' plaza', p_brand, '체육시설', CASE WHEN p_size % 2 = 0 THEN 'public_csv' ELSE 'frontend_static_json' END, round(p_retailprice / 10000.0, 6) FROM part
+ UNION ALL SELECT rec_name, rec_area, {_KIND}, 'route_candidate_pool', max(s) FROM (SELECT rec_name, rec_area, rec_type, score AS s FROM r_tuned_recs UNION ALL SELECT rec_name, rec_area, rec_type, base_score FROM r_frozen)
+  GROUP BY rec_name, rec_area, rec_type)
+QUALIFY row_number() OVER (PARTITION BY replace(name, ' ', ''), area, place_type ORDER BY priority, score DESC, name, source) = 1"""
 CTE["r_routes"] = """
 SELECT c_custkey AS route_id, ['Brand#' || (c_nationkey + 1), 'Brand#' || ((c_nationkey + 1) % 25 + 1)] AS areas, (1 + c_custkey % 8)::INT AS n FROM customer"""
 
@@ -51,23 +68,75 @@ def route_pool(spark, sf):
     return _pool(spark, sf).select("place_name", "area", "place_type", "source", *R6("score"))
 
 
-@query("source_matrix", """SELECT a.area, coalesce(subway_csv, 0) AS subway_csv, coalesce(market_csv, 0) AS market_csv, coalesce(park_csv, 0) AS park_csv, coalesce(welfare_csv, 0) AS welfare_csv,
- coalesce(n, 0) AS total_real_count, coalesce(n, 0) <= 0 AS fallback_needed FROM (SELECT DISTINCT p_brand AS area FROM part) a LEFT JOIN (SELECT area,
- count_if(source = 'subway_csv') AS subway_csv, count_if(source = 'market_csv') AS market_csv, count_if(source = 'park_csv') AS park_csv, count_if(source = 'welfare_csv') AS welfare_csv,
- count(*) AS n FROM r_routepool GROUP BY area) USING (area)""")
+@query("source_matrix", f"""SELECT a.area, {', '.join(f'coalesce({c}, 0) AS {c}' for c in SOURCES)}, coalesce(n, 0) AS total_real_count, coalesce(n, 0) <= 0 AS fallback_needed
+ FROM (SELECT DISTINCT p_brand AS area FROM part) a LEFT JOIN (SELECT area, {', '.join(f"count_if(source = '{c}') AS {c}" for c in SOURCES)}, count(*) AS n FROM r_routepool GROUP BY area) USING (area)""")
 def source_matrix(spark, sf):
     areas = roles.places(spark, sf).select("area").distinct()
-    return routes.source_matrix(_pool(spark, sf), [s for s, _ in ROUTE_KINDS.values()], areas)
+    return routes.source_matrix(_pool(spark, sf), SOURCES, areas)
 
 
 @query("round_robin", """
-WITH h AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY score DESC, name, place_type) AS turn FROM r_routepool),
+WITH h AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY priority, score DESC, name, place_type) AS turn FROM r_routepool),
  c AS (SELECT route_id, n, turn, list_position(areas, h.area) AS ap, h.name, h.area, h.place_type FROM r_routes JOIN h ON list_contains(areas, h.area) AND turn <= n)
 SELECT route_id, row_number() OVER (PARTITION BY route_id ORDER BY turn, ap) AS pos, name AS place_name, area, place_type FROM c QUALIFY pos <= n""")
 def round_robin(spark, sf):
     return routes.route_candidates(_requests(spark, sf), _pool(spark, sf), None, roles.AREAS).filter("not is_fallback").select("route_id", "pos", "place_name", "area", "place_type")
 
 
+_WANTED = "CASE WHEN c_custkey % 2 = 0 THEN ['전통시장', '공원'] ELSE ['교통거점'] END"
+
+
+@query("relaxation_ladder", f"""
+WITH r AS (SELECT c_custkey AS route_id, (1 + c_custkey % 8)::INT AS n, ['Brand#' || (c_nationkey + 1), 'Brand#' || ((c_nationkey + 1) % 25 + 1)] AS areas, {_WANTED} AS kinds FROM customer),
+ c AS (SELECT route_id, n, count_if(list_contains(kinds, place_type)) AS s, count(place_type) AS e FROM r LEFT JOIN r_routepool p ON list_contains(areas, p.area) GROUP BY route_id, n)
+SELECT route_id, n AS num_visits, s AS rung_1, e AS rung_2, e AS rung_3, e AS rung_4, e AS together, CASE WHEN s >= n THEN 1 WHEN e >= n THEN 2 END::INT AS rung,
+ CASE WHEN s >= n THEN 'strict_real_candidates' WHEN e >= n THEN 'relaxed_place_type_real_candidates' END AS rung_name, greatest(n - e, 0) AS short_by FROM c""")
+def relaxation_ladder(spark, sf):
+    return routes.relaxation_ladder(_requests(spark, sf), _pool(spark, sf))
+
+
+def _short(spark, sf):
+    """Candidates where clinics are the only real places and each area has one seed: requests fall short in every way."""
+    real = routes.unified_pool([routes.public_pool({"medical_welfare_csv": (roles.medical_places(spark, sf), "복지시설", None)}, "City")], roles.AREAS)
+    return routes.route_candidates(_requests(spark, sf), real, roles.area_seeds(spark, sf), roles.AREAS)
+
+
+CTE["r_short"] = f"""
+WITH r AS (SELECT c_custkey AS route_id, (1 + c_custkey % 8)::INT AS n, ['Brand#' || (c_nationkey + 1), 'Brand#' || ((c_nationkey + 1) % 25 + 1)] AS areas, {_WANTED} AS kinds FROM customer),
+ cl AS (SELECT s_name || ' clinic' AS name, 'Brand#' || (s_nationkey + 1) AS area FROM supplier QUALIFY row_number() OVER (PARTITION BY replace(s_name, ' ', ''), s_nationkey ORDER BY s_name) = 1),
+ h AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY name) AS turn FROM cl),
+ real AS (SELECT route_id, n, areas, kinds, h.name, h.area, row_number() OVER (PARTITION BY route_id ORDER BY turn, list_position(areas, h.area)) AS pos FROM r JOIN h ON list_contains(areas, h.area) AND turn <= n QUALIFY pos <= n),
+ got AS (SELECT r.*, count(real.name) AS have FROM r LEFT JOIN real USING (route_id) GROUP BY r.route_id, r.n, r.areas, r.kinds),
+ seed AS (SELECT route_id, n_name || ' base' AS name, areas[k] AS area, have + row_number() OVER (PARTITION BY route_id ORDER BY k) AS pos FROM (SELECT *, unnest([1, 2]) AS k FROM got WHERE have < n) JOIN nation ON 'Brand#' || (n_nationkey + 1) = areas[k]
+   QUALIFY pos <= n),
+ more AS (SELECT g.*, have + count(seed.name) AS all_ FROM got g LEFT JOIN seed USING (route_id) GROUP BY g.route_id, g.n, g.areas, g.kinds, g.have),
+ made AS (SELECT route_id, areas, kinds, all_, unnest(range(1, n - all_ + 1)) AS i FROM more WHERE all_ < n)
+SELECT route_id, pos, name AS place_name, area, '복지시설' AS place_type, 0.86 AS score, CASE WHEN list_contains(kinds, '복지시설') THEN 'strict_real_candidates' ELSE 'relaxed_place_type_real_candidates' END AS stage, false AS is_fallback FROM real
+UNION ALL SELECT route_id, pos, name, area, '정책현장', 1.05, 'district_fallback_seed', true FROM seed
+UNION ALL SELECT route_id, all_ + i, areas[(i - 1) % 2 + 1] || ' 생활권 유세 거점 ' || i, areas[(i - 1) % 2 + 1], kinds[(i - 1) % len(kinds) + 1], 0.98 - i * 0.01, 'synthetic_district_fallback', true FROM made"""
+
+
+@query("short_lists", "SELECT route_id, pos, place_name, area, place_type, round(score, 6) AS score, stage, is_fallback FROM r_short")
+def short_lists(spark, sf):
+    """Real candidates, then seeds, then generated fillers, as each request needs."""
+    return _short(spark, sf).select("route_id", "pos", "place_name", "area", "place_type", *R6("score"), "stage", "is_fallback")
+
+
+def _breaks_sql(order):
+    return f"""SELECT '{order}' AS ordering, route_id, place_name, pos AS at, f AS first_filler FROM (SELECT *, min(CASE WHEN is_fallback THEN pos END) OVER (PARTITION BY route_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f
+ FROM (SELECT * REPLACE (row_number() OVER (PARTITION BY route_id ORDER BY {'pos' if order == 'as_built' else 'score DESC, pos'}) AS pos) FROM r_short)) WHERE NOT is_fallback AND f IS NOT NULL"""
+
+
+@query("filler_breaks", f"{_breaks_sql('as_built')} UNION ALL {_breaks_sql('by_score')}")
+def filler_breaks(spark, sf):
+    """Real stops behind a filler: none as the lists are built, many once they are ordered by score."""
+    rows = _short(spark, sf).select("route_id", "place_name", "pos", "score", "is_fallback")
+    orders = {"as_built": ["pos"], "by_score": [F.desc("score"), "pos"]}
+    ordered = shaping.union_all([shaping.first_per(rows, ["route_id"], o, routes.MOST_VISITS, "at").withColumn("ordering", F.lit(n)) for n, o in orders.items()])
+    found = quality.filler_breaks(ordered.withColumn("list", F.concat_ws("|", "ordering", F.col("route_id").cast("string"))), "list", "at")
+    return found.select("ordering", "route_id", "place_name", "at", "first_filler")
+
+
 def _stops(spark, sf):
     req = _requests(spark, sf)
     found = routes.route_candidates(req, _pool(spark, sf), None, roles.AREAS)

@@ -136,3 +136,47 @@ def transit_raw(spark, sf) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         F.date_format("l_shipdate", "yyyyMM").alias("use_month"), F.col("l_suppkey").cast("string").alias("line_name"),
         F.col("l_partkey").cast("string").alias("station_name"), *[c.alias(n) for n, c in cols.items()])
+
+
+# --- further sources of route places, stored records, priors ------------------------
+def commercial_places(spark, sf) -> DataFrame:
+    """Customers as commercial areas, workers' areas and medical facilities from suppliers."""
+    return table(spark, sf, "customer").select(F.concat("c_name", F.lit(" zone")).alias("place_name"), F.concat(F.lit("Brand#"), (F.col("c_nationkey") + 1).cast("string")).alias("area"),
+                                               (F.col("c_acctbal") + 2000).alias("total_flow"))
+
+
+def worker_places(spark, sf) -> DataFrame:
+    return table(spark, sf, "supplier").select(F.concat("s_name", F.lit(" zone")).alias("place_name"), F.concat(F.lit("Brand#"), (F.col("s_nationkey") + 1).cast("string")).alias("area"),
+                                               (F.col("s_acctbal") + 2000).alias("total_worker_population"))
+
+
+def medical_places(spark, sf) -> DataFrame:
+    return table(spark, sf, "supplier").select(F.concat("s_name", F.lit(" clinic")).alias("place_name"), F.concat(F.lit("Brand#"), (F.col("s_nationkey") + 1).cast("string")).alias("area"))
+
+
+def area_seeds(spark, sf) -> DataFrame:
+    """Nations as the kept seed place of each area."""
+    return table(spark, sf, "nation").select(F.concat("n_name", F.lit(" base")).alias("place_name"), F.concat(F.lit("Brand#"), (F.col("n_nationkey") + 1).cast("string")).alias("area"),
+                                             F.lit("정책현장").alias("place_type"), F.lit("").alias("address"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"),
+                                             F.lit(1.05).alias("score"), F.lit("district_fallback_seed").alias("source"))
+
+
+def place_documents(spark, sf) -> DataFrame:
+    """Parts as JSON documents (source, value) that hold one place each, at three depths and under different keys."""
+    p = table(spark, sf, "part")
+    plaza, score = F.concat("p_name", F.lit(" plaza")), F.round(F.col("p_retailprice") / 10000.0, 6)
+    flat = F.to_json(F.struct(plaza.alias("name"), F.col("p_brand").alias("district"), F.lit("체육시설").alias("type"), score.alias("score")))
+    listed = F.to_json(F.struct(F.array(F.struct(plaza.alias("place_name"), F.col("p_brand").alias("region"), F.lit("체육시설").alias("category"), score.alias("score"))).alias("items")))
+    deep = F.struct(F.struct(F.array(F.struct(plaza.alias("title"), F.col("p_brand").alias("district_name"), F.lit("체육시설").alias("place_type"), score.alias("score"))).alias("places")).alias("group"))
+    return p.select(F.when(F.col("p_size") % 2 == 0, "public_csv").otherwise("frontend_static_json").alias("source"),
+                    F.when(F.col("p_size") % 3 == 0, flat).when(F.col("p_size") % 3 == 1, listed).otherwise(F.to_json(deep)).alias("value"))
+
+
+def priors(spark, sf) -> DataFrame:
+    """Shares of suppliers by category as priors of the known actors and of two that have no history."""
+    s = table(spark, sf, "supplier")
+    actor = pick(F.col("s_suppkey") % 7, {0: "AUTOMOBILE", 1: "BUILDING", 2: "FURNITURE", 3: "HOUSEHOLD", 4: "MACHINERY", 5: "NEWCOMER"}, "OUTSIDER")
+    key = pick(F.col("s_nationkey") % 4, {0: "subway", 1: "market", 2: "park"}, "senior_friendly")
+    counts = s.select(actor.alias("actor"), key.alias("key")).groupBy("actor", "key").agg(F.count("*").alias("n"))
+    total = counts.groupBy("actor").agg(F.sum("n").alias("total"))
+    return counts.join(total, "actor").select("actor", "key", (F.col("n") / F.col("total")).alias("p"))
