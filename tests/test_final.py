@@ -65,7 +65,7 @@ def test_search_final_metrics(spark, features, trials):
     g = spark.createDataFrame(gold, "query_id string, gold_id string, place_name string, area string, relevance int, sig string")
     split = {f"q{q}": "train" if q < 6 else "validation" for q in range(9)}
     splits = spark.createDataFrame(list(split.items()), "query_id string, split string")
-    got = {r.trial_id: r for r in search.search_final(df, g, splits, table, ks=[1, 3], k=3).collect()}
+    got = {r.trial_id: r for r in search.search_final(df, g, splits, table, ks=[1, 3, 10], k=3).collect()}
     import math
 
     by_name = {(r[0], r[1]): r for r in rows}
