@@ -44,11 +44,13 @@ def _thin(edges: DataFrame) -> DataFrame:
             schema = batch.schema
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
                 forest.join(a, b)
-            if len(forest.parent) > 500_000:  # memory stays bounded; the rest starts a new forest
+            if len(forest.parent) > 200_000:  # memory stays bounded; the rest starts a new forest
                 yield star(forest, schema)
                 forest = Forest()
         if forest.parent:
             yield star(forest, schema)
+        forest = None
+        give_back()
 
     def star(forest, schema):
         pairs = [(x, forest.root(x)) for x in forest.parent]
@@ -68,14 +70,16 @@ def _are_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, root for every node of the edges; root is the least node of its component.
 
-    Each task first thins its edges to stars. Then rounds of large stars (each node
+    Each task first thins its edges to stars, which leaves up to one edge per task
+    and node. Dealt by their larger node and thinned again, they are about one per
+    node, for what then stands in several places are only the roots. Then rounds of large stars (each node
     links its larger neighbours to its least one) and small stars (each node links
     its smaller neighbours and itself to the least) go on until only stars are left;
     the number of rounds grows with the logarithm of the nodes. Edges are grouped
     by node with partial minima only, and never collected.
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b")
-    edges = _thin(edges)
+    edges = _thin(_thin(edges).repartition("a"))
     edges = cut_lineage(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
 
     while not _are_stars(edges):
