@@ -81,3 +81,30 @@ def test_run_equals_brute_force(spark, tmp_path):
 def test_names_and_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "jaccard_join", "repeated_passages", "packing"]
     assert np.all([callable(f) for _, f in corpus_pipeline.STAGES])
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Repeated rows, null ids and texts, one very long text, no n_chars, and columns whose names the stages use inside."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    long = "\n".join(" ".join(word() for _ in range(12)) for _ in range(4000))
+    plain = "\n".join(" ".join(word() for _ in range(12)) for _ in range(6))
+    rows = [(1, plain), (1, plain), (2, None), (2, None), (3, ""), (None, " ".join(word() for _ in range(40))), (4, long), (5, plain.replace(" ", "  "))]
+    docs = spark.createDataFrame([(i, t, 1, "g", 2, "k") for i, t in rows], "doc_id long, text string, row int, gone string, runs int, text_id string").repartition(3)
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    step = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[1:4]):
+        stage(spark, step, str(tmp_path)).write.parquet(str(tmp_path / f"odd{k}"))
+        step = spark.read.parquet(str(tmp_path / f"odd{k}"))
+        assert step.columns == docs.columns, name
+    kept = sorted(((r.doc_id, r.text) for r in step.collect()), key=str)
+    assert [i for i, _ in kept].count(1) == 1 and (2, None) in kept and (3, "") in kept and (4, long) in kept and any(i is None for i, _ in kept) and 5 not in {i for i, _ in kept}
+    assert corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).columns == docs.columns
+    pieces = corpus_pipeline.sequences(spark, step, str(tmp_path)).collect()
+    assert all(r.length <= 1024 for r in pieces) and sum(r.doc_id == 4 for r in pieces) > 10
